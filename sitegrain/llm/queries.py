@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.llm import near_dedup
+from sitegrain.llm import near_dedup, packing, secret_scan
+
+
+def tokenizer_path() -> str:
+    """Where the public tokenizer's vocabulary is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_documents(spark, table(spark, sf_dir, "documents")))
+
+
 def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_karmarkar_karp_packing": op1_karmarkar_karp_packing,
+        "op7_trigram_secret_scan": op7_trigram_secret_scan,
         "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
     }
 

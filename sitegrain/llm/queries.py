@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.llm import near_dedup, packing, secret_scan
+from sitegrain.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
 
 
 def tokenizer_path() -> str:
@@ -24,10 +24,18 @@ def op1_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_documents(spark, table(spark, sf_dir, "documents")))
 
 
+def op8_prefix_join_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_windows(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -35,10 +43,14 @@ def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_karmarkar_karp_packing": op1_karmarkar_karp_packing,
+        "op2_mcd_quality_rules": op2_mcd_quality_rules,
         "op7_trigram_secret_scan": op7_trigram_secret_scan,
+        "op8_prefix_join_decontamination": op8_prefix_join_decontamination,
         "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_prefix_join_decontamination": decontaminate.ORACLE,
+    }

@@ -1,4 +1,78 @@
-"""The corpus pipeline."""
+"""A corpus pipeline: quality rules, near-duplicates, benchmark passages, secrets, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
+the next stage's ``docs``. All but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitegrain.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
+from sitegrain.llm.queries import tokenizer_path
+from sitegrain.llm.scratch import Scratch, sized
+
+
+def _without(scratch: Scratch, docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` less the rows with a (doc_id, text_hash) of ``rejected``; null ids compare as equal."""
+    rejected = sized(scratch.save(rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()))
+    return docs.join(rejected, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_hash")), "left_anti").select(*[docs[c] for c in docs.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return _without(Scratch(spark), docs, quality_rules.judge(spark, docs).where("not kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id, once."""
+    s = Scratch(spark)
+    groups = s.save(near_dedup.near_duplicates(spark, docs))
+    copies = sized(s.save(groups.where("not kept").select("doc_id").distinct()))
+    left = docs.join(copies, "doc_id", "left_anti")
+    repeated = sized(s.save(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")))
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontaminate.find_windows(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(Scratch(spark), docs, found.where("contaminated"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by their kind; ``n_chars`` follows the text."""
+    found = secret_scan.scan_documents(spark, docs, spans_col="_spans")
+    some = F.size("_spans") > 0
+    out = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("_spans")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the token windows that hold all documents."""
+    return packing.pack_documents(spark, docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", benchmark_passages),
+    ("secret_scans", secrets),
+    ("packing", pack),
+]
+
+#: The robust estimates and tokens of the stages have no SQL form.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written before the next."""
+    s = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = s.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -52,7 +52,7 @@ def windows_of(benchmark: DataFrame, id_col: str, text_col: str, width: int) ->
 
 
 def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; ``text_hash`` (xxhash64) tells rows of one id apart."""
     s = Scratch(spark)
     named = s.save(windows_of(benchmark, item_col, item_text_col, width))
     windows = named.select("wid", "window", "size").dropDuplicates(["wid"])
@@ -118,6 +118,7 @@ def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
             F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
             F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            F.col("th").alias("text_hash"),
         )
     )
 

@@ -163,9 +163,9 @@ def robust_distances(scratch: Scratch, rows: DataFrame) -> DataFrame:
 
 
 def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: its statistics, ``distance2``, ``base_failed`` and ``kept``."""
+    """One row per row of ``docs``: its statistics, ``distance2``, ``base_failed`` and ``kept``; ``text_hash`` (xxhash64) tells rows of one id apart."""
     s = Scratch(spark)
-    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.to_json(F.struct(F.col(lang_col).alias("l"))).alias("pool"), F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s"))).alias("own"))
+    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), F.to_json(F.struct(F.col(lang_col).alias("l"))).alias("pool"), F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s"))).alias("own"))
     df = statistics(raw)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = s.save(df.select("*", failed.alias("base_failed"), *[v.cast("double").alias(f"x{i}") for i, v in enumerate(vector())]))
@@ -175,12 +175,12 @@ def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     pools = s.save(sizes.where(F.col("n") < LEAST_GROUP).groupBy("pool").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_GROUP).select("pool", F.col("pool").alias("grp2")))
     rows = s.save(
         stats.join(sized(large), "own", "left").join(sized(pools), "pool", "left").withColumn("grp", F.coalesce("grp", "grp2"))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "grp", *X)
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "text_hash", "grp", *X)
     )
     s.drop(stats, sizes, large, pools)
     judged = robust_distances(s, rows.where("grp is not null"))
     both = judged.unionByName(rows.where("grp is null").withColumn("d2", F.lit(0.0)))
     return both.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("d2") <= chi2(P, Z_REJECT))).alias("kept"), F.col("d2").alias("distance2"),
+        (~F.col("base_failed") & (F.col("d2") <= chi2(P, Z_REJECT))).alias("kept"), F.col("d2").alias("distance2"), "text_hash",
     )

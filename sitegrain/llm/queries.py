@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
+from sitegrain.llm import decontaminate, language_id, license_scan, near_dedup, packing, quality_crf, quality_rules, secret_scan
 
 
 def tokenizer_path() -> str:
@@ -25,15 +25,27 @@ def op1_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(spark, table(spark, sf_dir, "documents"))
+    return quality_rules.judge(spark, table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op3_crf_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_template_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(spark, table(spark, sf_dir, "documents"))
 
 
 def op7_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan_documents(spark, table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan_documents(spark, table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_prefix_join_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_windows(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_windows(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +53,15 @@ def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_karmarkar_karp_packing": op1_karmarkar_karp_packing,
         "op2_mcd_quality_rules": op2_mcd_quality_rules,
+        "op3_crf_quality_classifier": op3_crf_quality_classifier,
+        "op4_hierarchical_language_id": op4_hierarchical_language_id,
+        "op6_template_license_scan": op6_template_license_scan,
         "op7_trigram_secret_scan": op7_trigram_secret_scan,
         "op8_prefix_join_decontamination": op8_prefix_join_decontamination,
         "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
@@ -52,5 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_template_license_scan": license_scan.oracle(),
         "op8_prefix_join_decontamination": decontaminate.ORACLE,
     }

@@ -189,25 +189,27 @@ class Scanner:
         return found
 
 
-def _scan(rules: dict[str, tuple[str, int, int]]):
+def _scan(rules: dict[str, tuple[str, int, int]], text: str):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        empty = pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])))
-        for rows, data, off in V.chunks(batches):
-            texts = rows.column("text").to_pylist()
+        for rows, data, off in V.chunks(batches, text):
+            texts = rows.column(text).to_pylist()
             found = scanner.scan(lambda i, texts=texts: texts[i] or "", data, off)
             spans = [[{"start": a, "end": b, "kind": k} for a, b, k in found.get(i, ())] for i in range(rows.num_rows)]
-            yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(rows.num_columns)] + [pa.array(spans, empty.type)], [*rows.schema.names, "spans"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(spans, kind)], [*rows.schema.names, "spans"])
 
     return run
 
 
-def scan_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, tuple[str, int, int]] = RULES) -> DataFrame:
-    """(id, text, spans): every row with its secrets, as array<struct<start, end, kind>> in code points."""
+def scan_documents(spark: SparkSession, docs: DataFrame, text_col: str = "text", rules: dict[str, tuple[str, int, int]] = RULES, spans_col: str = "spans") -> DataFrame:
+    """Every row of ``docs`` with its secrets in ``spans_col``, as array<struct<start, end, kind>> in code points."""
     prepare(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_scan(rules), f"id {id_type}, text string, spans array<struct<start: long, end: long, kind: string>>")
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the names, they don't clash
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
+    run = _scan(rules, f"c{docs.columns.index(text_col)}")
+    return named.mapInArrow(run, f"{fields}, spans array<struct<start: long, end: long, kind: string>>").toDF(*docs.columns, spans_col)
 
 
 def redacted(text, spans):
@@ -223,7 +225,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_RULES))
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return scanned.select(
-        F.col("id").cast("long").alias("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         *(of(k).alias(f"n_{k}") for k in BASE_RULES),
         F.sha2(as_text(base), 256).alias("base_sha256"),
         as_text(F.col("spans")).alias("spans"),

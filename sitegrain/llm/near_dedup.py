@@ -9,9 +9,10 @@ least 0.75 and groups what is linked.
    document stops at the first step that can no longer lower any slot) and its 32 band keys.
 2. Documents with equal digests are one class; only its smallest id goes on.
 3. In every bucket of a band, the members are compared with the bucket's smallest member, then with
-   another one chosen by hash, and links are grouped; what remains in different groups of one
-   bucket is then compared member by member, so that a bucket never needs all its pairs and yet no
-   pair that shares a bucket and could change the groups is left out.
+   another one chosen by hash, and links are grouped. Buckets that then still hold several groups are finished by an
+   exact prefix join: of their members, those of different groups that share one of their rarest
+   shingles are compared. A bucket never needs all its pairs, texts that only have a frequent passage in common are
+   not compared, and no pair that shares a bucket and could change the groups is left out.
 4. Candidates are confirmed on the full shingle sets.
 
 A pair with similarity s shares a bucket with probability 1 - (1 - s**4)**32: 0.999995 at 0.75.
@@ -42,6 +43,8 @@ SLOTS = 128
 BAND_ROWS = 4
 #: A candidate whose signatures agree on a smaller share is dropped unconfirmed (0.75 is five deviations away).
 LEAST_AGREEMENT = 0.55
+#: Cells in which shingles are counted for their rarity.
+RARITY_CELLS = 1 << 18
 #: Steps of a signature are kept as step << 24 | 24 random bits.
 LEVEL = 24
 
@@ -143,53 +146,113 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("comp")))
     while True:
-        near = scratch.save(both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near")))
-        hop = scratch.save(labels.join(near.hint("merge"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid")))
-        new = scratch.save(
-            hop.join(labels.select(F.col("id").alias("mid"), F.col("comp").alias("up")).hint("merge"), "mid", "left").select("id", "old", F.least("mid", F.coalesce("up", "mid")).alias("comp"))
-        )
+        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        hop = labels.join(near.hint("merge"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        up = labels.select(F.col("id").alias("mid"), F.col("comp").alias("up")).hint("merge")
+        new = scratch.save(hop.join(up, "mid", "left").select("id", "old", F.least("mid", F.coalesce("up", "mid")).alias("comp")))
         moved = bool(new.where("old != comp").take(1))
-        scratch.drop(near, hop, labels)
+        scratch.drop(labels)
         labels = new.select("id", "comp")
-        scratch.paths[id(labels)] = scratch.paths.pop(id(new))
+        labels.__dict__["_scratch_path"] = new.__dict__.pop("_scratch_path")
         if not moved:
             scratch.drop(both)
             return labels
 
 
+def _histogram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall in each cell of the rarity table."""
+    total = np.zeros(RARITY_CELLS, np.int64)
+    for b in batches:
+        for x in b.column("shingles"):
+            np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(RARITY_CELLS)).astype(np.int64), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+
+def _prefixes(count: np.ndarray):
+    """The shingles of each set of which two sets of the least similarity must share one: its rarest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes, places, keys = [], [], [], []
+            for i, x in zip(b.column("id").to_pylist(), b.column("shingles"), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(h) - -(-PERCENT * len(h) // 100) + 1
+                order = np.lexsort((h, count[(h % np.uint64(RARITY_CELLS)).astype(np.int64)]))[:n]
+                keys.append(h[order].view(np.int64))
+                ids += [i] * len(order)
+                sizes += [len(h)] * len(order)
+                places += range(len(order))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(places, pa.int64()), pa.array(np.concatenate(keys))], ["id", "n", "i", "key"])
+
+    return run
+
+
+def _sharing_rare(s: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs (id, other) with their comps, of documents that share one of their rarest shingles.
+
+    With shingles in one order throughout, two sets of similarity at least t share one of the first
+    n - ceil(t * n) + 1 shingles of each, and from the first one that they share enough are left in both: no link is missed. The order is by how many shingles of these documents share
+    a cell of a table of fixed size, so what is gathered for it is bounded.
+    """
+    sets = s.save(docs.select("id", "text").join(sized(ids.select("id").distinct()), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"))
+    count = np.zeros(RARITY_CELLS, np.int64)
+    for r in sets.mapInArrow(_histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        count[r.cell] = r.n
+    first = s.save(sets.mapInArrow(_prefixes(count), "id long, n long, i long, key long").join(sized(ids), "id").select("key", "id", "n", "i", "comp"))
+    often = s.save(first.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key"))
+    some = s.save(first.join(often.hint("merge"), "key", "left_semi"))
+    s.drop(sets, first)
+    rest = some.toDF("key", "other", "m", "j", "other_comp").hint("merge")
+    bound = f"{100 + PERCENT} * least(n - i, m - j) >= {PERCENT} * (n + m)"  # if this is the first that they share
+    return some.join(rest, "key").where(f"id < other and comp != other_comp and {bound}")
+
+
 class _Grouping:
-    """Links confirmed so far and the groups they make."""
+    """Groups (id, comp) of the links confirmed so far; ids without a link have no row."""
 
     def __init__(self, scratch: Scratch, docs: DataFrame, reps: DataFrame):
         self.scratch, self.docs, self.reps = scratch, docs, reps
-        self.links = self.tested = self.groups = None
+        self.tested = self.groups = None
 
-    def test(self, pairs: DataFrame) -> None:
-        """Confirm candidate pairs (a < b) that were not candidates before."""
+    def confirmed(self, pairs: DataFrame) -> DataFrame | None:
+        """The links among candidate pairs (a < b) that were not candidates before; None without such."""
         s = self.scratch
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = s.save(pairs)
+        if not pairs.take(1):
+            return None
+        self.tested = pairs if self.tested is None else s.save(self.tested.union(pairs))
         sig = self.reps.select("id", "n_shingles", "low")
-        near = pairs.join(sig.toDF("b", "n_b", "low_b").hint("merge"), "b")
-        near = s.save(near)
-        near2 = near.join(sig.toDF("a", "n_a", "low_a").hint("merge"), "a").where(
-            F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-        )
-        alike = s.save(near2.select("a", "b", "low_a", "low_b").mapInArrow(_alike, "a long, b long"))
-        s.drop(near)
+        near = pairs.join(sig.toDF("b", "n_b", "low_b").hint("merge"), "b").join(sig.toDF("a", "n_a", "low_a").hint("merge"), "a")
+        near = near.where(F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")).select("a", "b", "low_a", "low_b")
+        alike = s.save(near.mapInArrow(_alike, "a long, b long"))
         ids = s.save(alike.select(F.col("a").alias("id")).union(alike.select("b")).distinct())
-        texts = self.docs.select("id", "text").join(sized(ids), "id", "left_semi")
-        sets = s.save(texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]))
-        one = s.save(alike.join(sets.toDF("b", "set_b").hint("merge"), "b"))
-        found = s.save(one.join(sets.toDF("a", "set_a").hint("merge"), "a").mapInArrow(_confirmed, "a long, b long"))
-        s.drop(alike, ids, sets, one)
-        self.tested = pairs if self.tested is None else s.save(self.tested.union(pairs))
-        self.links = found if self.links is None else s.save(self.links.union(found))
-        if self.groups is not None:
-            s.drop(self.groups)
-        self.groups = components(s, self.links)
+        sets = self.docs.select("id", "text").join(sized(ids), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
+        sets = s.save(sets)
+        both = alike.join(sets.toDF("b", "set_b").hint("merge"), "b").join(sets.toDF("a", "set_a").hint("merge"), "a")
+        found = s.save(both.mapInArrow(_confirmed, "a long, b long"))
+        s.drop(alike, ids, sets)
+        return found if found.take(1) else None
+
+    def link(self, links: DataFrame | None) -> None:
+        """Add links: those between present groups are grouped, and the result is composed with the groups."""
+        s = self.scratch
+        if links is None:
+            return
+        if self.groups is None:
+            self.groups = components(s, links)
+            return
+        of = lambda c: self.groups.toDF(c, f"comp_{c}").hint("merge")
+        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a != b")
+        more = components(s, between.distinct())
+        joined = self.groups.join(more.toDF("comp", "up").hint("merge"), "comp", "full_outer")
+        new = s.save(joined.select(F.coalesce("id", "comp").alias("id"), F.coalesce("up", "comp").alias("comp")).union(more).distinct())
+        s.drop(self.groups, more)
+        self.groups = new
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,43 +263,51 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     sigs = s.save(docs.mapInArrow(_signatures, "id long, n_shingles long, digest binary, bands array<long>, low binary"))
     some = sigs.where("n_shingles > 0 and id is not null")
 
-    # Equal sets, or rows of one id: a class, known by its smallest id.
+    # Equal sets are a class, known by its smallest id.
     classes = s.save(some.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep"))
-    same = s.save(some.select("id", "digest").join(classes.hint("merge"), "digest").where("id != rep").select("id", "rep").distinct())
-    reps = s.save(some.join(sized(same.select("id").distinct()), "id", "left_anti").select("id", "n_shingles", "bands", "low").dropDuplicates(["id", "low"]))
+    same = s.save(some.select("id", "digest").join(classes.hint("merge"), "digest").where("id != rep").select("id", "digest", "rep").distinct())
+    reps = s.save(some.join(same.select("id", "digest").hint("merge"), ["id", "digest"], "left_anti").select("id", "n_shingles", "bands", "low").dropDuplicates(["id", "low"]))
     s.drop(classes)
+    # An id with several texts belongs to the class of each.
+    several = s.save(some.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("id"))
+    given = s.save(same.join(sized(several), "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
     entries = reps.select("id", F.explode("bands").alias("key"))
-    shared = s.save(entries.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by("id", F.xxhash64("id", "key")).alias("other"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    shared = s.save(entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
     members = s.save(entries.join(shared.select("key").hint("merge"), "key", "left_semi"))
 
     def grouped(g: _Grouping) -> DataFrame:
         """Members of buckets with their group."""
-        lookup = g.groups.hint("merge")
-        return members.join(lookup, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        if g.groups is None:
+            return members.withColumn("comp", F.col("id"))
+        return members.join(g.groups.hint("merge"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     g = _Grouping(s, docs, reps)
-    g.test(members.join(shared.hint("merge"), "key").where("id != pivot").select(*pair("id", "pivot")))
-    for _ in range(2):
+    g.link(given if given.take(1) else None)
+    g.link(g.confirmed(members.join(shared.hint("merge"), "key").where("id != pivot").select(*pair("id", "pivot"))))
+    for last in (False, True):
         now = s.save(grouped(g))
         split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key")).alias("other")).where("low != high")
         split = s.save(split.select("key", F.col("other.id").alias("other"), F.col("other.comp").alias("other_comp")))
         if not split.take(1):
             break
-        g.test(now.join(split.hint("merge"), "key").where("comp != other_comp").select(*pair("id", "other")))
+        left = now.join(split.hint("merge"), "key")
+        if last:
+            left = _sharing_rare(s, docs, s.save(left.select("id", "comp").distinct()))
+        g.link(g.confirmed(left.where("comp != other_comp").select(*pair("id", "other"))))
         s.drop(now, split)
+    s.drop(members, shared, reps)
+
+    # A row has its class's group; it keeps its own id where it is linked with nothing.
+    group = same.select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep"))
+    if g.groups is not None:
+        lookup = g.groups.toDF("rep", "comp").hint("merge")
+        group = group.join(lookup, "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp"))
+        group = group.union(g.groups.select("id", "comp")).groupBy("id").agg(F.min("comp").alias("comp"))
     else:
-        now = s.save(grouped(g))
-        split = s.save(now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key"))
-        left = s.save(now.join(split.hint("merge"), "key", "left_semi"))
-        rest = left.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2")).hint("merge")
-        g.test(left.join(rest, "key").where("id < id2 and comp != comp2").select(F.col("id").alias("a"), F.col("id2").alias("b")))
-        s.drop(left)
-    s.drop(now, split, members, shared, reps)
-
-    # Classes and groups together; a row keeps its own id where it is linked with nothing.
-    group = s.save(components(s, same.select(F.col("id").alias("a"), F.col("rep").alias("b")).union(g.groups.select(F.col("id").alias("a"), F.col("comp").alias("b")).where("id != comp"))).where("id != comp"))
+        group = group.withColumnRenamed("rep", "comp")
+    group = s.save(group.where("id != comp"))
     return (
         sigs.select("id", "n_shingles")
         .join(sized(group), "id", "left")

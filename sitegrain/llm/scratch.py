@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.cluster import ship
+
 #: Rows of an id list (8 to 16 bytes each) up to which it is broadcast; longer lists are shuffled.
 BROADCAST_ROWS = 500_000
 #: Rows in an Arrow batch sent to a Python worker: bounds a worker's memory where texts are long.
@@ -30,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session; texts may be long."""
+    """Send the package to the executors and bound this session's Arrow batches, as texts may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -41,7 +44,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: cuts lineage and gives Spark true sizes."""
@@ -49,13 +51,13 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.__dict__["_scratch_path"] = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing lazy refers to any more."""
         for t in tables:
-            if path := self.paths.pop(id(t), None):
+            if path := t.__dict__.pop("_scratch_path", None):
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 

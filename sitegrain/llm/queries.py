@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.llm import decontaminate, language_id, license_scan, near_dedup, packing, quality_crf, quality_rules, secret_scan
+from sitegrain.llm import decontaminate, gru_lm, language_id, license_scan, near_dedup, packing, quality_crf, quality_rules, secret_scan, suffix_dedup
 
 
 def tokenizer_path() -> str:
@@ -36,6 +36,10 @@ def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_gru_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_template_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(spark, table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,10 @@ def op8_prefix_join_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.find_windows(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op9_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -61,9 +69,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mcd_quality_rules": op2_mcd_quality_rules,
         "op3_crf_quality_classifier": op3_crf_quality_classifier,
         "op4_hierarchical_language_id": op4_hierarchical_language_id,
+        "op5_gru_lm_scoring": op5_gru_lm_scoring,
         "op6_template_license_scan": op6_template_license_scan,
         "op7_trigram_secret_scan": op7_trigram_secret_scan,
         "op8_prefix_join_decontamination": op8_prefix_join_decontamination,
+        "op9_sparse_suffix_dedup": op9_sparse_suffix_dedup,
         "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
     }
 

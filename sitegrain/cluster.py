@@ -23,3 +23,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(to))
     _shipped.add(app)
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """A checkpoint folder of our own where the cluster names none (``spark.checkpoint.dir``), as in tests."""
+    sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))

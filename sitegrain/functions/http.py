@@ -53,7 +53,7 @@ def is_retryable(status: Column) -> Column:
 def retry_after_ms(header: Column, at: Column) -> Column:
     """A retry-after header in milliseconds from ``at``: seconds, or an HTTP date; else null."""
     date = F.try_to_timestamp(F.regexp_extract(header, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.when(header.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.round(F.trim(header).try_cast("double") * 1000)).otherwise(F.greatest(F.lit(0.0), (F.unix_millis(date) - F.unix_millis(at)).cast("double"))).cast("long")
+    return F.when(header.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.round(F.trim(header).try_cast("double") * 1000)).when(date.isNotNull(), F.greatest(F.lit(0.0), (F.unix_millis(date) - F.unix_millis(at)).cast("double"))).cast("long")
 
 
 def is_public_ip(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sitegrain.functions.address import absolute
 
@@ -13,12 +14,12 @@ TRACKING = ("fbclid", "gclid", "msclkid")
 _PLAIN = r"^https?://[a-z0-9.-]+(/[A-Za-z0-9_~!$&()*+,;=:@/-]*(\.[A-Za-z0-9_~!$&()*+,;=:@-]+)*)?(\?[A-Za-z0-9._~!$&()*+,;=:@/?%-]*)?$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _absolute(value: pd.Series) -> pd.Series:
     return value.map(absolute, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _resolved(value: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([absolute(v, b) if v is not None and b is not None else None for v, b in zip(value, base, strict=True)], dtype="object")
 
@@ -66,8 +67,17 @@ def strip_tracking(c: Column) -> Column:
     return F.when(F.exists(parts, tracked), F.when(again == "", path).otherwise(F.concat_ws("?", path, again))).otherwise(bare)
 
 
+_HEAD = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"
+
+
+def url_origin(c: Column) -> Column:
+    """scheme://host[:port], lower case, without a port that is the scheme's own; null if the address has no host."""
+    head = F.regexp_replace(F.lower(F.regexp_extract(c, _HEAD, 0)), r"//[^@/]*@", "//")
+    return F.nullif(F.regexp_replace(head, r"^(http://.*):80$|^(https://.*):443$", "$1$2"), F.lit(""))
+
+
 def url_host(c: Column) -> Column:
-    return F.lower(F.try_parse_url(c, F.lit("HOST")))
+    return F.nullif(F.regexp_extract(url_origin(c), r"^[^/]*//(.*?)(:\d+)?$", 1), F.lit(""))
 
 
 def url_scheme(c: Column) -> Column:
@@ -76,20 +86,13 @@ def url_scheme(c: Column) -> Column:
 
 def url_port(c: Column) -> Column:
     """The port where it is written and is not the scheme's own; else empty."""
-    port = F.regexp_extract(c, r"^[a-zA-Z]+://[^/?#]*?:(\d+)(?:[/?#]|$)", 1)
-    own = ((url_scheme(c) == "http") & (port == "80")) | ((url_scheme(c) == "https") & (port == "443"))
-    return F.when(own, F.lit("")).otherwise(port)
-
-
-def url_origin(c: Column) -> Column:
-    """scheme://host[:port]; null if the address has no host."""
-    return F.when(url_host(c).isNotNull(), F.concat(url_scheme(c), F.lit("://"), url_host(c), F.when(url_port(c) != "", F.concat(F.lit(":"), url_port(c))).otherwise(F.lit(""))))
+    return F.regexp_extract(url_origin(c), r":(\d+)$", 1)
 
 
 def url_path(c: Column) -> Column:
-    """The path, ``/`` if empty; null if the address cannot be parsed."""
-    path = F.regexp_extract(without_fragment(c), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(/[^?]*)?", 1)
-    return F.when(url_host(c).isNotNull(), F.when(path == "", F.lit("/")).otherwise(path))
+    """The path, ``/`` if empty; null if the address has no host."""
+    path = F.regexp_extract(c, _HEAD + r"(/[^?#]*)?", 1)
+    return F.when(c.rlike(_HEAD), F.when(path == "", F.lit("/")).otherwise(path))
 
 
 def url_key(c: Column) -> Column:

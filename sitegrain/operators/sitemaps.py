@@ -71,12 +71,12 @@ def _inlinked(pages: DataFrame) -> DataFrame:
 
 def dataset_sitemaps(pages: DataFrame, errors: DataFrame, entries: DataFrame, start_url: str, discovered: bool = True) -> DataFrame:
     """The sitemap table: every entry's capture status, internal discovery and indexability; then captured pages that no sitemap lists."""
-    asked = pages.select(F.col("url").alias("URL"), "capture_seq", F.lit(0).alias("k"), "url", "requested_url", "robots", "x_robots_tag").unionByName(
-        pages.where("requested_url is not null").select(F.col("requested_url").alias("URL"), "capture_seq", F.lit(1).alias("k"), "url", "requested_url", "robots", "x_robots_tag")
+    asked = pages.select(F.col("url").alias("URL"), "capture_seq", F.lit(0).alias("k"), F.col("url").alias("final"), "requested_url", "robots", "x_robots_tag").unionByName(
+        pages.where("requested_url is not null").select(F.col("requested_url").alias("URL"), "capture_seq", F.lit(1).alias("k"), F.col("url").alias("final"), "requested_url", "robots", "x_robots_tag")
     )
     known = last_per_key(asked.withColumn("seq", F.col("capture_seq") * 2 + F.col("k")).drop("capture_seq", "k"), ["URL"], "seq")
     noindex = F.when(declares_noindex(F.col("robots"), F.col("x_robots_tag")), "noindex declared").otherwise("No noindex observed")
-    known = known.select("URL", F.when(F.col("requested_url") != F.col("url"), "Redirected").otherwise("Crawled").alias("captured"), noindex.alias("idx"))
+    known = known.select("URL", F.when(F.col("requested_url") != F.col("final"), "Redirected").otherwise("Crawled").alias("captured"), noindex.alias("idx"))
     failed = last_per_key(errors.select(F.col("url").alias("URL"), "kind", "status_code", "error_seq"), ["URL"], "error_seq").select("URL", F.concat(F.lit("Error "), F.coalesce(F.col("status_code").cast("string"), "kind")).alias("failed"))
     inside = _inlinked(pages)
     listed = entries.withColumnRenamed("url", "URL").join(known, "URL", "left").join(failed, "URL", "left").join(inside, "URL", "left").select(
@@ -86,7 +86,7 @@ def dataset_sitemaps(pages: DataFrame, errors: DataFrame, entries: DataFrame, st
     )
     if not discovered:
         return listed
-    absent = absent_from_sitemaps(pages, entries).withColumnRenamed("url", "URL").join(inside, "URL", "left").select(
+    absent = absent_from_sitemaps(pages, entries).select(F.col("url").alias("URL"), "robots").join(inside, "URL", "left").select(
         "URL", F.lit("Absent from discovered sitemaps").alias("Status"), F.when(F.col("linked"), "Linked internally").otherwise("Start/redirect URL").alias("Internal discovery"),
         F.when(F.coalesce("robots", F.lit("")).rlike("(?i)noindex"), "noindex declared").otherwise("No noindex observed").alias("Indexability"),
         F.lit("").alias("Sitemap"), F.lit("").alias("Lastmod"), F.lit("").alias("Changefreq"), F.lit("").alias("Priority"),

@@ -554,6 +554,186 @@ def a01(spark, d):
     return p.groupBy(urls.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.sum(F.size("doc.plain_links")).alias("links"))
 
 
+# More of the inventory
+
+
+@query("e09_metadata", f"""{WITH} SELECT page_id, 'robots' AS name, 'NoIndex, follow' AS value FROM ep WHERE page_id % 7 = 0 UNION ALL SELECT page_id, 'keywords', 'a,b' FROM ep WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 'description', CASE WHEN page_id % 3 = 0 THEN 'About ' || page_id ELSE '' END FROM ep WHERE page_id % 3 < 2""")
+def e09(spark, d):
+    return parsed(spark, d).select("page_id", F.explode("doc.metadata").alias("name", "v")).select("page_id", "name", F.explode("v").alias("value")).where("name in ('robots', 'keywords', 'description')")
+
+
+@query("e15_render_signals", f"{WITH} SELECT page_id, CAST(0 AS INTEGER) AS empty_root FROM ep")
+def e15(spark, d):
+    return parsed(spark, d).select("page_id", F.size(F.filter("doc.render_signals", lambda s: s == "Empty application root")).alias("empty_root"))
+
+
+@query("e20_page_links", f"""{WITH}, l AS (SELECT DISTINCT page_id, CASE WHEN h[1:1] = '/' THEN 'in' ELSE 'out' END AS side, h FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM ep))
+SELECT page_id, CAST(count(*) FILTER (WHERE side = 'in') AS INTEGER) AS internal, CAST(count(*) FILTER (WHERE side = 'out') AS INTEGER) AS external, CAST(0 AS INTEGER) AS cut FROM l GROUP BY page_id""")
+def e20(spark, d):
+    p = parsed(spark, d)
+    out = links.page_links(p).join(p.select("page_id", "url"), "url")
+    return out.select("page_id", F.size("internal_links").alias("internal"), F.size("external_links").alias("external"), F.col("link_limit").alias("cut"))
+
+
+@query("e23_robots_sitemaps", "SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/maps/all.xml' AS url FROM pages")
+def e23(spark, d):
+    origin = urls.url_origin(F.col("url"))
+    texts = pages(spark, d).select(origin.alias("origin")).distinct().withColumn("text", F.concat(F.lit("User-agent: *\nSitemap: "), "origin", F.lit("/maps/all.xml\nSITEMAP : "), "origin", F.lit("/maps/all.xml\nSitemap: https://elsewhere.example/m.xml")))
+    return sitemaps.robots_sitemaps(texts).select("origin", "url")
+
+
+@query("g7_expand_sitemaps", """SELECT 'https://site.example/b' || CAST(page_id AS VARCHAR) || '.xml' AS sitemap, 'https://site.example/leaf' || CAST(page_id AS VARCHAR) AS url FROM pages WHERE page_id BETWEEN 1 AND 12""")
+def g7(spark, d):
+    from sitegrain.cluster import checkpoints
+
+    checkpoints(spark)
+    p = pages(spark, d)
+    n = F.col("page_id").cast("string")
+    leaf = p.select(F.concat(F.lit("https://site.example/b"), n, F.lit(".xml")).alias("sitemap_url"), F.concat(F.lit("<urlset><url><loc>https://site.example/leaf"), n, F.lit("</loc></url></urlset>")).alias("text"))
+    child = F.concat(F.lit("<sitemap><loc>https://site.example/b"), n, F.lit(".xml</loc></sitemap>"))
+    index = p.where("page_id between 1 and 12").agg(F.array_join(F.sort_array(F.collect_list(child)), "").alias("x")).select(F.lit("https://site.example/sitemap.xml").alias("sitemap_url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("text"))
+    seeds = index.select(F.lit("https://site.example").alias("origin"), F.col("sitemap_url").alias("url"))
+    return sitemaps.expand_sitemaps(leaf.unionByName(index), seeds).select("sitemap", "url")
+
+
+@query("a01_run_summary", f"{WITH} SELECT count(*) AS pages, (SELECT count(*) FROM err) AS failed, (SELECT count(DISTINCT target) FROM tgt WHERE starts_with(target, 'https://site.example')) AS internal_links, (SELECT count(DISTINCT target) FROM tgt WHERE NOT starts_with(target, 'https://site.example')) AS external_links FROM cap")
+def a01_run(spark, d):
+    from sitegrain.operators.merge import run_summary
+
+    return run_summary(captures(spark, d), errors(spark, d))
+
+
+@query("a22_render_totals", "SELECT user_id AS url, count(*) AS requests, count(*) FILTER (WHERE event_id % 7 = 0 OR event_id % 500 >= 400) AS errors, CAST(coalesce(sum(CASE WHEN event_id % 3 > 0 THEN length(props) END), 0) AS BIGINT) AS bytes FROM events GROUP BY user_id")
+def a22(spark, d):
+    n = F.col("event_id")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("url"), F.when(n % 7 == 0, "blocked").alias("error"), (n % 500).alias("status"), (n % 3 == 0).alias("cached"), F.length("props").alias("body_bytes"))
+    return tables.render_totals(rows)
+
+
+@query("a23_facets", "SELECT DISTINCT event_type AS value FROM events ORDER BY 1 LIMIT 80")
+def a23(spark, d):
+    return tables.facets(table(spark, d, "events"), "event_type")
+
+
+@query("a26_telemetry", f"{WITH} SELECT 'state' AS what, CASE WHEN page_id % 4 = 0 THEN 'queued' ELSE 'fetched' END AS name, count(*) AS n FROM cap GROUP BY 2 UNION ALL SELECT 'method', CASE WHEN page_id % 3 = 0 THEN 'browser' ELSE 'http' END, count(*) FROM cap GROUP BY 2")
+def a26(spark, d):
+    from sitegrain.operators.merge import telemetry
+
+    p = captures(spark, d)
+    return telemetry(p.select(F.when(F.col("page_id") % 4 == 0, "queued").otherwise("fetched").alias("state")), p.select(F.when(F.col("page_id") % 3 == 0, "browser").alias("method")))
+
+
+@query("j9_inlinks", f"{WITH} SELECT DISTINCT c.url FROM tgt t JOIN cap c USING (capture_seq) WHERE t.target IN ('https://site.example/g0/p0', 'https://site.example/old/0')")
+def j9(spark, d):
+    return links.inlinks(captures(spark, d), "https://site.example/g0/p0")
+
+
+@query("j10_neighbourhood", f"{WITH}, e AS (SELECT DISTINCT source, target FROM res) SELECT target AS id FROM e WHERE source = 'https://site.example/g1/p1' UNION SELECT source FROM e WHERE target = 'https://site.example/g1/p1' UNION SELECT 'https://site.example/g1/p1'")
+def j10(spark, d):
+    return graph.neighbourhood(graph.edges(captures(spark, d)), "https://site.example/g1/p1")
+
+
+@query("j6_absent_from_sitemaps", f"{WITH} SELECT url FROM cap WHERE page_id % 3 <> 0 AND NOT (page_id % 13 = 0 AND page_id % 26 = 0)")
+def j6(spark, d):
+    p = captures(spark, d)
+    listed = p.where("page_id % 3 = 0").select("url").union(p.where("page_id % 26 = 0").select("requested_url"))
+    return sitemaps.absent_from_sitemaps(p, listed.toDF("url")).select("url")
+
+
+@query("l4_rank_pages", f"""{WITH}, inc AS (SELECT target, count(DISTINCT capture_seq) AS n FROM res WHERE starts_with(target, 'https://site.example') GROUP BY target)
+SELECT c.url, CAST(coalesce(n, 0) AS BIGINT) AS incoming FROM cap c LEFT JOIN inc ON inc.target = c.url ORDER BY 2 DESC, 1 LIMIT 20""")
+def l4(spark, d):
+    p = captures(spark, d)
+    none = fi.findings(p, errors(spark, d))
+    return fi.rank_pages(fi.page_metrics(p, none), "incoming").select("url", "incoming").limit(20)
+
+
+@query("l5_top_hubs", f"""{WITH}, e AS (SELECT DISTINCT source, target FROM res) SELECT target AS id, count(*) AS inbound FROM e WHERE target IN (SELECT url FROM cap) GROUP BY target ORDER BY 2 DESC, 1 LIMIT 6""")
+def l5(spark, d):
+    p = captures(spark, d)
+    e = graph.edges(p)
+    n = graph.nodes(p, errors(spark, d), e, pages(spark, d).select("url").limit(0), ROOT)
+    return graph.top_hubs(n, 6).select("id", "inbound")
+
+
+@query("l7_page_of", "SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 100")
+def l7(spark, d):
+    return tables.page_of(table(spark, d, "documents"), [F.desc("n_chars"), "doc_id"], 2, 50).select("doc_id")
+
+
+@query("p1_filter_pages", f"{WITH} SELECT url FROM cap WHERE contains(lower(url), '/p1')")
+def p1(spark, d):
+    return tables.filter_pages(captures(spark, d).withColumn("method", F.lit("http")).withColumn("discovery", F.lit("link")), "/P1", "external").select("url")
+
+
+@query("p2_filter_findings", RULE_SQL + " SELECT f.capture_seq, title FROM f JOIN cap USING (capture_seq) WHERE title IN ('Missing title', 'Missing description', 'Repeated title', 'Matching body text') AND contains(url, '/g1/')".replace("SELECT f.capture_seq, title", "SELECT f.capture_seq, f.title").replace("WHERE title IN", "WHERE f.title IN"))
+def p2(spark, d):
+    found = fi.findings(captures(spark, d), errors(spark, d))
+    return fi.filter_findings(found, category="Content", severity="review").where(F.col("url").contains("/g1/")).select("capture_seq", "title")
+
+
+@query("p6_filter_issues", f"{WITH} SELECT url, message AS detail FROM err WHERE contains(lower(message), 'late') OR contains(url, 'late')")
+def p6(spark, d):
+    return fi.filter_issues(fi.issues(captures(spark, d), errors(spark, d)), "HTTP / Network", "LATE").select("url", "detail")
+
+
+@query("w2_cap_query_variants", f"SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY {H}, {P}, regexp_extract(url, '^[a-z]+') ORDER BY page_id) AS n FROM pages) WHERE n <= 1")
+def w2(spark, d):
+    return frontier.cap_query_variants(pages(spark, d), 1, ["page_id"]).select("page_id")
+
+
+@query("w10_waterfall", "SELECT event_id, event_id % 100 / greatest(1, max(event_id % 100 + user_id % 50) OVER (PARTITION BY user_id)) AS start_share FROM events")
+def w10(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").alias("page"), (F.col("event_id") % 100).alias("start_ms"), (F.col("user_id") % 50).alias("duration_ms"))
+    return windows.waterfall(rows).select("event_id", "start_share")
+
+
+@query("w13_share_of_max", "SELECT user_id, n / max(n) OVER () AS share FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def w13(spark, d):
+    return windows.share_of_max(table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), "n").select("user_id", "share")
+
+
+@query("d4_structured", f"""{WITH} SELECT url AS "Source page", CASE WHEN page_id % 5 = 0 THEN 'Article, Person, Agent' ELSE 'Unspecified' END AS "Type", CASE WHEN page_id % 5 = 0 THEN 'Parsed' ELSE 'Invalid' END AS "Parsing" FROM ep WHERE page_id % 5 < 2""")
+def d4(spark, d):
+    items = parsed(spark, d).select("url", F.explode("doc.structured_data").alias("s")).select("url", "s.*", F.lit(None).cast("string").alias("context"))
+    return tables.dataset_structured(items).select("Source page", "Type", "Parsing")
+
+
+@query("d7_custom", f"""{WITH} SELECT url AS "URL", 'Paper' AS "Field: paper", 'mail | t' AS "Field: names" FROM ep""")
+def d7(spark, d):
+    rules = [{"name": "paper", "selector": "a[rel=nofollow]", "mode": "text", "attribute": None}, {"name": "names", "selector": "form input[name]", "mode": "attribute", "attribute": "name"}]
+    rows = parse_pages(enriched(spark, d), rules).select("url", F.lit("http").alias("method"), F.explode("doc.custom").alias("rule", "values"), F.col("doc.extraction_errors").alias("errors"))
+    return tables.custom_dataset(rows, ["paper", "names"]).select("URL", "Field: paper", "Field: names")
+
+
+@query("d3_resources", f"""{WITH}, o AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS o FROM ep), r AS (
+SELECT page_id, o || '/s.css' AS "URL", 'Browser request' AS "Evidence" FROM o UNION ALL SELECT page_id, o || '/_next/app.js', 'Declared in DOM' FROM o UNION ALL SELECT page_id, o || '/doc/' || page_id % 6 || '.pdf', 'Declared in DOM' FROM o UNION ALL SELECT page_id, o || '/i/' || page_id % 10 || '.png', 'Image candidate' FROM o)
+SELECT "URL", "Evidence", count(*) AS n FROM r GROUP BY 1, 2""")
+def d3(spark, d):
+    p = parsed(spark, d).select("page_id", F.col("page_id").cast("string").alias("url"), F.col("url").alias("u"), "doc")
+    seen = p.select("url", F.lit(0).alias("pos"), F.concat(urls.url_origin(F.col("u")), F.lit("/s.css")).alias("resource"), F.lit("stylesheet").alias("type"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), F.lit("text/css").alias("content_type"), F.lit(10).alias("body_bytes"), F.lit(5).alias("duration_ms"), F.lit(False).alias("cached"))
+    declared = p.select("url", F.posexplode("doc.resources").alias("pos", "r")).select("url", "pos", F.col("r.url").alias("resource"), "r.kind", "r.type")
+    shown = p.select("url", F.posexplode("doc.images").alias("pos", "i")).select("url", "pos", F.explode("i.candidates").alias("resource"), "i.alt")
+    return tables.dataset_resources(seen, declared, shown).groupBy("URL", "Evidence").agg(F.count("*").alias("n"))
+
+
+@query("g4_replay_crawl", """WITH RECURSIVE w AS (SELECT 0 AS depth, 0 AS n UNION ALL SELECT depth + 1, n * 2 + k FROM w, (VALUES (1), (2)) v(k) WHERE depth < 4 AND n * 2 + k <= (SELECT max(page_id) FROM pages))
+SELECT 'https://site.example/n' || CAST(n AS VARCHAR) AS url, depth, 'fetched' AS state FROM w""")
+def g4(spark, d):
+    from sitegrain.cluster import checkpoints
+
+    checkpoints(spark)
+    n = F.col("page_id")
+    at = lambda c: F.concat(F.lit("https://site.example/n"), c.cast("string"))
+    p = pages(spark, d)
+    top = p.agg(F.max("page_id").alias("top"))
+    own = [F.when(n * 2 + k <= F.col("top"), at(n * 2 + k)) for k in (1, 2)]
+    store = p.join(F.broadcast(top)).select(at(n).alias("url"), F.array_compact(F.array(*own, at(n), F.lit("https://else.example/"))).alias("outgoing_links"))
+    found, _ = frontier.replay_crawl(store, "https://site.example/n0", max_depth=4, max_pages=100_000)
+    return found.select("url", "depth", "state")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

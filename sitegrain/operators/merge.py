@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 MOST = {"images": 500, "links": 500, "resources": 500, "headings": 500, "forms": 500, "structured_data": 60, "outgoing_links": 2000, "image_urls": 2000}
 
 
+def _size_of(name: str):
+    return lambda x: F.size(x[name])
+
+
 def merge_contexts(pages: DataFrame, contexts: DataFrame) -> DataFrame:
     """Parsed pages (url, doc) with the inventories of their frames and shadow roots (url, n, kind, context_url, doc) appended, in order, and cut.
 
@@ -25,7 +29,7 @@ def merge_contexts(pages: DataFrame, contexts: DataFrame) -> DataFrame:
         flat = F.flatten(F.transform("p", lambda x: F.coalesce(x[name], F.array())))
         return F.slice(F.array_distinct(flat) if name in ("outgoing_links", "image_urls") else flat, 1, MOST[name]).alias(name)
 
-    over = F.exists(F.array(*[F.aggregate("p", F.lit(0), lambda a, x, c=c: a + F.size(x[c])) > MOST[c] for c in lists]), lambda x: x)
+    over = F.exists(F.array(*[F.aggregate(F.transform("p", _size_of(c)), F.lit(0), lambda a, n: a + n) > MOST[c] for c in lists]), lambda x: x)
     labels = F.slice(F.flatten(F.transform("p", lambda x: F.array_repeat(x["context"], x["n_links"]))), 1, MOST["links"])
     return out.select("url", F.aggregate("p", F.lit(0), lambda a, x: a + x["words"]).alias("word_count"), *[joined(c) for c in lists], labels.alias("link_contexts"), over.alias("truncated"))
 

@@ -141,19 +141,26 @@ class Encoder:
     """Token ids of texts; remembers the ids of distinct pretokens in sorted arrays."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
         self.ids = np.empty(0, np.uint32)
 
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        if not texts:
+            return []
+        if self.tokenizer is None:  # a large object; a worker that waits for its next task doesn't keep it
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        n = np.array([len(x) for x in found], np.int64)
-        at = len(self.ids) + np.cumsum(n) - n
+        found = self._encoded(texts)
+        n = np.array([len(x) for x in found], np.uint32)
+        at = (len(self.ids) + np.cumsum(n, dtype=np.int64) - n).astype(np.uint32)
         self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.n, where, n)
@@ -172,14 +179,13 @@ class Encoder:
         raw = data.tobytes()
         self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]], ends[first[new]], strict=True)])
         where = np.searchsorted(self.keys, keys)[back]
-        n = self.n[where]
+        n = self.n[where].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(self.at[where] - total[:-1], n) + np.arange(total[-1])]
+        ids = self.ids[np.repeat(self.at[where].astype(np.int64) - total[:-1], n) + np.arange(total[-1])]
         bounds = total[np.searchsorted(starts, off)]
         out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        whole = self.tokenizer.encode_batch([raw[off[i] : off[i + 1]].decode() for i in slow], add_special_tokens=False) if len(slow) else []
-        for i, e in zip(slow, whole, strict=True):
-            out[i] = np.array(e.ids, np.uint32)
+        for i, found in zip(slow, self._encoded([raw[off[i] : off[i + 1]].decode() for i in slow]), strict=True):
+            out[i] = np.array(found, np.uint32)
         return out
 
 
@@ -226,6 +232,8 @@ def _blocks(path: str, window: int):
                     yield flush()
         if done or rest:
             yield flush()
+        encoder.tokenizer = None
+        V.release()
 
     return run
 

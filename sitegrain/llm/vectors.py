@@ -6,6 +6,7 @@ bounds. A word's 64-bit hash comes from prefix sums of a polynomial, so no word
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer document makes a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def _mask(separators: Iterable[int]) -> np.ndarray:
@@ -58,6 +59,16 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["q"]
 
 
+def release() -> None:
+    """Give freed memory back at a task's end: workers stay alive beside the next stage's JVM tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column (null: empty) and the offsets of its rows in them."""
     if isinstance(column, pa.ChunkedArray):
@@ -81,6 +92,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    release()
 
 
 def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

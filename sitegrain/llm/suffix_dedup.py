@@ -7,13 +7,13 @@
    words alone, so a passage of that length has the same suffixes kept in every document.
 2. Suffixes whose first run no other document has are dropped. The others get their context: the
    words that a match of ``LEAST`` words through this run can reach, to the right and to the left.
-3. Suffixes with equal contexts are one entry. Entries are sorted and neighbours compared twice, by what
-   follows and by what precedes; a match is extended right and left from the run. A match of ``LEAST`` words
-   shares either the ``AHEAD`` words from the run on or the ``BEHIND`` words before it with its run, so entries
-   are dealt by these, and groups beyond ``HOT`` entries are dealt on by their ids.
+3. Suffixes with equal contexts are one entry. Every window of ``LEAST`` words of an entry's context that holds the run
+   is compared by its hash with the same windows of all entries of that run, and stays where it has two documents or more.
+   Runs of up to ``HOT`` entries are compared within a task; the windows of others are dealt by their hashes, so
+   what is found depends neither on the size of a group nor on an order.
 4. A document's matches are merged into maximal passages.
 
-Words are runs other than ASCII blanks, A-Z lower-cased, compared by 32 bits of their hash within contexts that
+Words are runs other than ASCII blanks, A-Z lower-cased, compared by 32 bits of their hash within windows that
 agree on a 64-bit hash. Contexts have a fixed size, so rows do whatever the texts' lengths.
 
 Defined results: one row per passage; documents without one (null, empty, short) have none. A passage repeated only within one
@@ -36,13 +36,11 @@ from sitegrain.llm.scratch import Scratch, prepare, sized
 LEAST = 50
 GRAM = 12
 WINDOW = LEAST - GRAM + 1
-AHEAD = 24
-BEHIND = 12
 #: Words of context from the run on, and before it.
 RIGHT, LEFT = LEAST, LEAST - GRAM
-#: Entries of one group beyond which it is dealt to several tasks, and how many go to each.
+#: Entries of one run beyond which their windows are dealt to several tasks.
 HOT = 20_000
-#: Rows whose neighbours are compared at once.
+#: Entries whose windows are compared at once, at least.
 CHUNK = 20_000
 
 
@@ -107,59 +105,85 @@ def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SPAN = "ctx long, ahead_by int, behind_by int, partner long, partner2 long"
-
-
-def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of sorted entries with the nearest one on either side that has another document."""
+DEALT = "win long, ctx long, low long, high long, behind_by int"
+#: Words before the run in each window.
+SPLITS = np.arange(LEFT + 1)
+
+
+def _mix(h: np.ndarray, x) -> np.ndarray:
+    h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _windows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of each entry (rows) by the words that stand before the run (columns), and which the document has."""
+    wide = lambda c, n: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(-1, n).astype(np.uint64)
+    of = lambda c: t.column(c).to_numpy()
+    ahead, behind = wide("ahead", RIGHT), wide("behind", LEFT)
+    h = of("gram").astype(np.int64).view(np.uint64)
+    out = np.empty((len(h), len(SPLITS)), np.uint64)
+    for k in range(RIGHT):
+        h = _mix(h, ahead[:, k])
+        if k + 1 >= LEAST - LEFT:
+            out[:, LEAST - (k + 1)] = h
+    h = np.full(len(h), LEAST, np.uint64)
+    for b in SPLITS:
+        out[:, b] = _mix(_mix(out[:, b], h), np.uint64(b))
+        if b < LEFT:
+            h = _mix(h, behind[:, b])
+    return out, (of("n_ahead")[:, None] >= LEAST - SPLITS) & (of("n_behind")[:, None] >= SPLITS)
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the windows of another document cover of each entry, of entries sorted by their runs."""
 
     def compare(t: pa.Table) -> pa.RecordBatch:
-        of = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        wide = lambda c, n: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(-1, n)
-        key, low, high, ctx, na, nb = (of(c) for c in ("key", "low", "high", "ctx", "n_ahead", "n_behind"))
-        ahead, behind = wide("ahead", RIGHT), wide("behind", LEFT)
-        n = len(key)
-        # runs of entries that all have one and the same document
-        one = low == high
-        new = np.ones(n, bool)
-        new[1:] = (key[1:] != key[:-1]) | ~one[1:] | ~one[:-1] | (low[1:] != low[:-1])
-        run = np.cumsum(new) - 1
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], n)
-        out = []
-        for other, ok in ((begin[run] - 1, begin[run] > 0), (end[run], end[run] < n)):
-            i = np.flatnonzero(ok)
-            j = other[i]
-            same = key[i] == key[j]
-            i, j = i[same], j[same]
-
-            def common(x: np.ndarray, most: np.ndarray, i: np.ndarray = i, j: np.ndarray = j) -> np.ndarray:
-                differ = x[i] != x[j]
-                at = np.where(differ.any(1), differ.argmax(1), x.shape[1])
-                return np.minimum(at, np.minimum(most[i], most[j]))
-
-            r, b = common(ahead, na), common(behind, nb)
-            good = (r >= GRAM) & (r + b >= LEAST)
-            out.append((ctx[i][good], r[good], b[good], low[j][good], high[j][good]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        win, has = _windows(t)
+        low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
+        n = len(low)
+        least, most = np.full(n, LEAST), np.full(n, -1)
+        partner, partner2 = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        for b in SPLITS:
+            i = np.flatnonzero(has[:, b])
+            if not len(i):
+                continue
+            i = i[np.argsort(win[i, b])]
+            at = np.flatnonzero(np.append(True, win[i[1:], b] != win[i[:-1], b]))
+            size = np.diff(np.append(at, len(i)))
+            first, last = (np.repeat(f.reduceat(x[i], at), size) for f, x in ((np.minimum, low), (np.maximum, high)))
+            two = first != last
+            i, first, last = i[two], first[two], last[two]
+            least[i], most[i] = np.minimum(least[i], b), b
+            partner[i], partner2[i] = np.minimum(partner[i], first), np.maximum(partner2[i], last)
+        i = np.flatnonzero(most >= 0)
+        cols = (t.column("ctx").to_numpy()[i], LEAST - least[i], most[i], partner[i], partner2[i])
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(x) for c, x in zip(cols, types, strict=True)], [f.split()[0] for f in SPAN.split(", ")])
 
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= CHUNK:
+        size += batch.num_rows
+        if size >= CHUNK:
             t = pa.Table.from_batches(held)
-            yield compare(t)
-            # the last document's entries may have a neighbour yet to come; what stands before them is theirs too
-            low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
-            k = t.num_rows - 1
-            while k > 0 and low[k - 1] == high[k - 1] == low[k] == high[k]:
-                k -= 1
-            held = t.slice(max(0, k - 1)).to_batches()
-    if held:
-        t = pa.Table.from_batches(held)
-        if t.num_rows:
-            yield compare(t)
+            gram = t.column("gram").to_numpy()
+            whole = int(np.flatnonzero(gram == gram[-1])[0])  # the last run may go on
+            if whole:
+                yield compare(t.slice(0, whole))
+            held, size = t.slice(whole).to_batches(), t.num_rows - whole
+    if size:
+        yield compare(pa.Table.from_batches(held))
+
+
+def _dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per window of each entry."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        win, has = _windows(t)
+        i, b = np.nonzero(has)
+        cols = [pa.array(win[i, b].view(np.int64))] + [t.column(c).to_numpy()[i] for c in ("ctx", "low", "high")]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(b.astype(np.int32))], [f.split()[0] for f in DEALT.split(", ")])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,23 +203,24 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     same = ["gram", "ahead", "n_ahead", "behind", "n_behind"]
     ctx = F.xxhash64(*same).alias("ctx")
     classes = s.save(entries.groupBy(*same).agg(F.min("id").alias("low"), F.max("id").alias("high")).select("*", ctx))
-    found = [classes.where(f"low != high and n_ahead + n_behind >= {LEAST}").select("ctx", F.col("n_ahead").alias("ahead_by"), F.col("n_behind").alias("behind_by"), F.col("low").alias("partner"), F.col("high").alias("partner2"))]
-    for side, words in (("ahead", AHEAD), ("behind", BEHIND)):
-        keyed = classes.withColumn("key", F.xxhash64("gram", F.substring(side, 1, 4 * words)))
-        counts = s.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-        keyed = keyed.join(counts.hint("merge"), "key")
-        dealt = keyed.withColumn("deal", F.when(F.col("n") > HOT, F.pmod(F.xxhash64("low"), F.ceil(F.col("n") / HOT))).otherwise(F.lit(0)))
-        ordered = dealt.repartition("key", "deal").sortWithinPartitions("key", "deal", side, "ahead", "behind", "low")
-        ordered = ordered.select(F.xxhash64("key", "deal").alias("key"), "low", "high", "ctx", "ahead", "n_ahead", "behind", "n_behind")
-        found.append(s.save(ordered.mapInArrow(_neighbours, SPAN)))
-    matches = found[0].unionByName(found[1]).unionByName(found[2])
-    best = matches.groupBy("ctx", "behind_by").agg(F.max("ahead_by").alias("ahead_by"), F.min("partner").alias("partner"), F.max("partner2").alias("partner2"))
+    parts = ["gram", "ctx", "low", "high", "ahead", "n_ahead", "behind", "n_behind"]
+    hot = s.save(classes.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram"))
+    few = sized(hot)
+    cold = classes.join(few, "gram", "left_anti").select(*parts).repartition("gram").sortWithinPartitions("gram")
+    found = s.save(cold.mapInArrow(_shared, SPAN))
+    dealt = s.save(classes.join(few, "gram", "left_semi").select(*parts).mapInArrow(_dealt, DEALT))
+    two = dealt.groupBy("win").agg(F.min("low").alias("partner"), F.max("high").alias("partner2")).where("partner != partner2")
+    wide = (
+        dealt.select("win", "ctx", "behind_by").join(two.hint("merge"), "win").groupBy("ctx")
+        .agg((LEAST - F.min("behind_by")).cast("int").alias("ahead_by"), F.max("behind_by").alias("behind_by"), F.min("partner").alias("partner"), F.max("partner2").alias("partner2"))
+    )
+    best = found.unionByName(wide)
     spans = s.save(
         entries.select("id", "pos", ctx).join(best.hint("merge"), "ctx")
         .select("id", (F.col("pos") - F.col("behind_by")).alias("start"), (F.col("pos") + F.col("ahead_by")).alias("stop"), F.when(F.col("partner") != F.col("id"), F.col("partner")).otherwise(F.col("partner2")).alias("partner"))
         .groupBy("id", "start").agg(F.max("stop").alias("stop"), F.min("partner").alias("partner"))
     )
-    s.drop(entries, classes, found[1], found[2])
+    s.drop(entries, classes, hot, found, dealt)
     run = spans.selectExpr("*", "max(stop) over (partition by id order by start rows between unbounded preceding and 1 preceding) as before")
     run = run.selectExpr("*", "sum(if(start <= before, 0, 1)) over (partition by id order by start rows between unbounded preceding and current row) as run")
     merged = run.groupBy("id", "run").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("partner").alias("partner_id"))

@@ -226,6 +226,34 @@ def test_repeated_passages(spark, edge, empty):
     assert suffix_dedup.repeated_passages(spark, empty).count() == 0
 
 
+def passages_agree(spark, texts):
+    """repeated_passages covers the words of the windows of 50 words that two texts have, and no others."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = suffix_dedup.repeated_passages(spark, docs).collect()
+    seen = collections.defaultdict(set)
+    every = [words(t) for t in texts]
+    windows = lambda w: [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+    for i, w in enumerate(every):
+        for x in windows(w):
+            seen[x].add(i)
+    expected = {(i, k + j) for i, w in enumerate(every) for k, x in enumerate(windows(w)) if len(seen[x]) > 1 for j in range(50)}
+    assert expected and {(r.doc_id, k) for r in rows for k in range(r.start_word, r.end_word)} == expected
+    for r in rows:
+        own = windows(every[r.doc_id][r.start_word : r.end_word])
+        assert r.partner_id != r.doc_id and any(r.partner_id in seen[x] for x in own)
+
+
+def test_repeated_passages_of_a_frequent_notice(spark, monkeypatch):
+    """Notices of 46 words in more surroundings than one task takes; pairs of documents have a longer version."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    texts = []
+    for n in range(8):
+        notice = prose(46, 500 + n)
+        longer = [prose(3, 600 + 20 * n + i) + " " + notice + " " + prose(3, 900 + 20 * n + i) for i in range(10)]
+        texts += [prose(60, 2000 + 40 * n + i) + " " + (longer[i % 10] if i < 20 else notice) + " " + prose(60, 4000 + 40 * n + i) for i in range(40)]
+    passages_agree(spark, texts)
+
+
 def test_trigram_queries_are_necessary():
     q = {k: secret_scan.trigram_query(p) for k, (p, _, _) in secret_scan.RULES.items()}
     assert q["hex"] is True and q["access"] == ("and", ("aki", "kia"))

@@ -254,6 +254,20 @@ def test_repeated_passages_of_a_frequent_notice(spark, monkeypatch):
     passages_agree(spark, texts)
 
 
+@pytest.mark.parametrize("hot", [20_000, 8])
+def test_repeated_passages_of_overlapping_copies(spark, monkeypatch, hot):
+    """Copies of parts of one text, each by other cuts: what a passage shares with its best partner need not be next to it in any order."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r, texts = random.Random(5), []
+    for n in range(4):
+        base = words(prose(130, 800 + n))
+        for i in range(60):
+            a = r.randrange(80)
+            part = base[a : a + r.randint(20, 60)]
+            texts.append(" ".join([*words(prose(30, 9000 + 100 * n + i)), *part, *words(prose(30, 9500 + 100 * n + i))]))
+    passages_agree(spark, texts)
+
+
 def test_trigram_queries_are_necessary():
     q = {k: secret_scan.trigram_query(p) for k, (p, _, _) in secret_scan.RULES.items()}
     assert q["hex"] is True and q["access"] == ("and", ("aki", "kia"))

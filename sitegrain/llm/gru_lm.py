@@ -6,9 +6,9 @@ factored: P(class | state) * P(word | class, state), with classes of words of si
 the probability of that entry times its share, (count + 1) out of all such words' and one unseen one, so a
 text's score is a proper log-probability.
 
-Training is truncated back-propagation through time in numpy. A fixed share of the training documents
-(``TRAIN_SHARE``, by a hash of their ids) is dealt to trainers; each runs over its documents in lanes, carrying states from
-window to window, and the trainers' parameters are averaged, weighted by tokens, ``ROUNDS`` times. What is
+Training is truncated back-propagation through time in numpy. Every training document is dealt to one of ``ROUNDS`` rounds
+and, in it, to a trainer; each runs over its documents in lanes, carrying states from
+window to window, and the trainers' parameters are averaged, weighted by tokens, after each round. What is
 trained on thus grows with the corpus, and a model's size does not.
 
 Scoring steps all documents of a chunk together, window by window, with states carried on, so a
@@ -42,13 +42,14 @@ CLASSES, PER_CLASS = 32, 64
 KNOWN = CLASSES * PER_CLASS - 2
 FREQUENT = 1 << 18
 HIDDEN, EMBED = 24, 24
-TRAIN_SHARE = 16
 ROUNDS = 2
 LANES, WINDOW = 64, 32
 SCORE_WINDOW = 64
 RATE = 1e-2
 #: Training tokens to one trainer, at least, and trainers to one core, at most.
 TRAINER_TOKENS, TRAINERS_PER_CORE = 250_000, 1
+#: Parameters of a trainer in one row.
+SLICE = 4096
 #: Bytes of text whose documents are scored together.
 BLOCK_BYTES = 1 << 23
 #: The end token's place among word hashes.
@@ -151,6 +152,16 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _views(v: np.ndarray) -> dict[str, np.ndarray]:
+    """As ``unflat``, on the memory of ``v``."""
+    out, at = {}, 0
+    for k, s in SHAPES.items():
+        n = int(np.prod(s))
+        out[k] = v[at : at + n].reshape(s)
+        at += n
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -177,27 +188,30 @@ class Trainer:
     """Adam on windows of lanes; a lane goes on with the next document, from a zero state, when its own ends."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p = p
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.flat = flat(p)
+        self.p = _views(self.flat)
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.t = 0
 
     def window(self, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, live: np.ndarray) -> np.ndarray:
         """One step of learning over (time x lanes) inputs; returns the last states."""
         p, n = self.p, HIDDEN
-        steps = len(ids)
+        steps, lanes = ids.shape
         keep = []
-        states = np.empty((steps, len(h), n), np.float32)
+        states = np.empty((steps, lanes, n), np.float32)
+        old = (~fresh).astype(np.float32)[:, :, None]
+        given = (p["x"] @ p["wx"] + p["b"])[ids]
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            g = p["x"][ids[t]] @ p["wx"] + p["b"]
-            u = h @ p["wh"]
-            r, z = _sigmoid(g[:, :n] + u[:, :n]), _sigmoid(g[:, n : 2 * n] + u[:, n : 2 * n])
-            c = np.tanh(g[:, 2 * n :] + r * u[:, 2 * n :])
-            keep.append((h, r, z, c, u[:, 2 * n :]))
-            h = (1 - z) * c + z * h
+            h = h * old[t]
+            g, u = given[t], h @ p["wh"]
+            rz = _sigmoid(g[:, : 2 * n] + u[:, : 2 * n])
+            r, z, uc = rz[:, :n], rz[:, n:], u[:, 2 * n :]
+            c = np.tanh(g[:, 2 * n :] + r * uc)
+            keep.append((h, r, z, c, uc))
+            h = c + z * (h - c)
             states[t] = h
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        slope = np.zeros_like(self.flat)
+        grad = _views(slope)
         at = np.flatnonzero(live.ravel())
         s, y = states.reshape(-1, n)[at], target.ravel()[at]
         scale = np.float32(1 / max(1, len(at)))
@@ -205,39 +219,60 @@ class Trainer:
         cls, word = y // PER_CLASS, y % PER_CLASS
         d[np.arange(len(y)), cls] -= 1
         d *= scale
-        grad["wc"], grad["bc"] = s.T @ d, d.sum(0)
+        grad["wc"][:], grad["bc"][:] = s.T @ d, d.sum(0)
         ds = d @ p["wc"].T
-        for k in np.unique(cls):
-            i = np.flatnonzero(cls == k)
-            e = np.exp(_log_softmax(s[i] @ p["ww"][k] + p["bw"][k]))
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        for k in range(CLASSES):
+            i = order[cuts[k] : cuts[k + 1]]
+            if not len(i):
+                continue
+            of = s[i]
+            e = of @ p["ww"][k] + p["bw"][k]
+            e -= e.max(1, keepdims=True)
+            np.exp(e, out=e)
+            e /= e.sum(1, keepdims=True)
             e[np.arange(len(i)), word[i]] -= 1
             e *= scale
-            grad["ww"][k], grad["bw"][k] = s[i].T @ e, e.sum(0)
+            grad["ww"][k], grad["bw"][k] = of.T @ e, e.sum(0)
             ds[i] += e @ p["ww"][k].T
-        dh_out = np.zeros((steps * len(h), n), np.float32)
+        dh_out = np.zeros((steps * lanes, n), np.float32)
         dh_out[at] = ds
         dh_out = dh_out.reshape(states.shape)
         dh = np.zeros_like(h)
+        dgs, dus = np.empty((2, steps, lanes, 3 * n), np.float32)
+        back = np.ascontiguousarray(p["wh"].T)
         for t in range(steps - 1, -1, -1):
             before, r, z, c, uc = keep[t]
             dh = dh + dh_out[t]
-            da = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = da * uc * r * (1 - r)
-            dg = np.concatenate([dr, dz, da], 1)
-            du = np.concatenate([dr, dz, da * r], 1)
-            x = p["x"][ids[t]]
-            grad["wx"] += x.T @ dg
-            grad["b"] += dg.sum(0)
-            grad["wh"] += before.T @ du
-            np.add.at(grad["x"], ids[t], dg @ p["wx"].T)
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z + du @ p["wh"].T)
+            dg, du, free = dgs[t], dus[t], 1 - z
+            da = dh * free * (1 - c * c)
+            dg[:, :n] = da * uc * r * (1 - r)
+            dg[:, n : 2 * n] = dh * (before - c) * z * free
+            dg[:, 2 * n :] = da
+            du[:, : 2 * n] = dg[:, : 2 * n]
+            du[:, 2 * n :] = da * r
+            dh = (dh * z + du @ back) * old[t]
+        grad["wh"][:] = np.concatenate([k[0] for k in keep]).T @ dus.reshape(-1, 3 * n)
+        # inputs' gradients summed by entry first
+        of, dgs = ids.ravel(), dgs.reshape(-1, 3 * n)
+        order = np.argsort(of, kind="stable")
+        new = np.flatnonzero(np.append(True, np.diff(of[order]) > 0))
+        sums, entry = np.add.reduceat(dgs[order], new), of[order][new]
+        grad["b"][:] = sums.sum(0)
+        grad["wx"][:] = p["x"][entry].T @ sums
+        grad["x"][entry] = sums @ p["wx"].T
         self.t += 1
-        for k, g in grad.items():
-            g = np.clip(g, -1, 1)
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
-            p[k] -= (RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
+        np.clip(slope, -1, 1, out=slope)
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * slope
+        self.v *= np.float32(0.99)
+        slope *= slope
+        self.v += np.float32(0.01) * slope
+        step = np.sqrt(self.v * np.float32(1 / (1 - 0.99**self.t)))
+        step += np.float32(1e-6)
+        np.divide(self.m, step, out=step)
+        self.flat -= step * np.float32(RATE / (1 - 0.9**self.t))
         return h
 
     def run(self, docs: list[np.ndarray], start: int) -> int:
@@ -309,12 +344,27 @@ def _train(p: np.ndarray, vocabulary: Vocabulary):
         if held:
             tokens += trainer.run(held, start)
         if tokens:
-            v = flat(trainer.p).astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v) + 1)), pa.array(np.append(v, tokens))], ["i", "v"])
+            v = flat(trainer.p)
+            cut = [v[a : a + SLICE].tobytes() for a in range(0, len(v), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([tokens] * len(cut), pa.int64()), pa.array(cut, pa.binary())], ["i", "tokens", "v"])
 
     return run
 
 
+TRAINED = "i int, tokens long, v binary"
+
+
+def _sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the trainers' parameters, summed by tokens."""
+    n, total = {}, {}
+    for batch in batches:
+        for i, tokens, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n[i] = n.get(i, 0) + tokens
+            total[i] = total.get(i, 0) + np.frombuffer(v, np.float32).astype(np.float64) * tokens
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["i", "tokens", "v"])
+
+
 SCORED = "rid long, id long, n_tokens long, n_known long, logs double, logs_unknown double, n_unknown long, net double, rare array<long>, rare_n array<long>"
 
 
@@ -386,16 +436,14 @@ def fit(spark: SparkSession, rows: DataFrame, counts: DataFrame) -> tuple[np.nda
     order = np.lexsort((h, -n))
     vocabulary = Vocabulary(h[order], n[order], total, distinct)
     p = flat(initial(vocabulary.freq))
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(TRAIN_SHARE * ROUNDS))
+    row = F.xxhash64("id", "text")
     most = spark.sparkContext.defaultParallelism * TRAINERS_PER_CORE
-    trainers = max(1, min(most, total // (TRAIN_SHARE * ROUNDS * TRAINER_TOKENS)))
+    trainers = max(1, min(most, total // (max(1, ROUNDS) * TRAINER_TOKENS)))
     for r in range(ROUNDS):
-        own = rows.where(part == r).repartition(trainers, F.xxhash64("id"))
-        v = own.mapInArrow(_train(p, vocabulary), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-        if v.num_rows:
-            got = np.zeros(len(p) + 1)
-            got[v.column("i").to_numpy()] = v.column("v").to_numpy()
-            p = (got[:-1] / got[-1]).astype(np.float32)
+        own = rows.where(F.pmod(row, F.lit(ROUNDS)) == r).repartition(trainers, row)
+        got = own.mapInArrow(_train(p, vocabulary), TRAINED).repartition("i").mapInArrow(_sum, TRAINED).toArrow().sort_by("i").to_pylist()
+        if got:
+            p = np.concatenate([np.frombuffer(x["v"]) / x["tokens"] for x in got]).astype(np.float32)
     return p, vocabulary
 
 

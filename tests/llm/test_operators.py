@@ -385,3 +385,13 @@ def test_language_model_scores(spark, edge, empty):
     out = gru_lm.score_documents(spark, docs).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == expected
     assert all(r.score < 0 for r in out) and gru_lm.score_documents(spark, empty).count() == 0
+
+
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    """Documents that rounds over a share of the training rows (2 of 32 parts) leave out are learnt from."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i + k) % 9}" for k in range(300))) for i in range(60)], "doc_id long, text string")
+    docs = docs.where("pmod(xxhash64(doc_id, text), 32) >= 2")
+    mean = lambda: sum(r.score for r in gru_lm.score_documents(spark, docs).collect()) / docs.count()
+    learnt = mean()
+    monkeypatch.setattr(gru_lm, "ROUNDS", 0)
+    assert learnt > mean() + 1

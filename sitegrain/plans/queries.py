@@ -118,6 +118,15 @@ def f14(spark, d):
     return table(spark, d, "documents").select("doc_id", text.html_escape(t).alias("html"), text.csv_safe(t).alias("csv"))
 
 
+@query(
+    "f14_escapes_whole",
+    """SELECT doc_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
+  CASE WHEN regexp_matches(t, '^[\\x00-\\x20]*[=+@-]') OR regexp_matches(t, '^[\\t\\r\\n]') THEN '''' || t ELSE t END AS csv FROM (SELECT doc_id, text AS t FROM documents)""",
+)
+def f14_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.html_escape(F.col("text")).alias("html"), text.csv_safe(F.col("text")).alias("csv"))
+
+
 @query(
     "f16_messages",
     """SELECT event_id, regexp_replace(m, '(https?://)[^\\s/@]+:[^\\s/@]+@', '\\1[redacted]@', 'g') AS message,
@@ -146,6 +155,16 @@ def f22(spark, d):
     return docs.select("doc_id", text.content_fingerprint(F.col("text")).alias("fp"), text.word_count(F.col("text")).alias("words"))
 
 
+@query(
+    "f22_content_fingerprint_all",
+    """SELECT doc_id, CASE WHEN length(text) BETWEEN 1 AND 2097151 THEN 'sha256-text-v1:' || sha256(text) END AS fp,
+  CASE WHEN text = '' THEN 0 ELSE CAST(len(regexp_split_to_array(text, '[\\s\\x{A0}]+')) AS INTEGER) END AS words FROM documents""",
+)
+def f22_all(spark, d):
+    words = F.when(F.col("text").isNotNull(), text.word_count(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", text.content_fingerprint(F.col("text")).alias("fp"), words.alias("words"))
+
+
 @query("f29_retry", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 90 * 1000 WHEN event_id % 3 = 1 THEN 0 END AS ms, s IN (408, 429, 500, 502, 503, 504) AS again FROM (SELECT *, 400 + event_id % 110 AS s FROM events)")
 def f29(spark, d):
     header = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 90).cast("string")).when(F.col("event_id") % 3 == 1, "Wed, 21 Oct 2015 07:28:00 GMT").otherwise("soon")
@@ -485,6 +504,12 @@ def o7(spark, d):
     return tables.source_line_diff(pairs).groupBy("id").agg(F.sum(F.col("same") + F.col("removed")).cast("long").alias("before_lines"))
 
 
+@query("o7_source_line_diff_sides")
+def o7_sides(spark, d):
+    pairs = pages(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("before")).join(enriched(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("after")), "id")
+    return tables.source_line_diff(pairs).groupBy("id").agg(*[F.sum(c).cast("long").alias(c) for c in ("same", "added", "removed")])
+
+
 @query("j7_compare_rendering", f"{WITH} SELECT url, CAST(10 AS BIGINT) AS word_delta, CASE WHEN page_id * 7 % 500 + 10 > 0 THEN CAST(floor(10 / (page_id * 7 % 500 + 10) * 100 + 0.5) AS BIGINT) END AS added_text_percent, CAST(1 AS INTEGER) AS added, CAST(1 AS INTEGER) AS removed, CAST(CASE WHEN page_id % 10 = 0 THEN 1 ELSE 0 END AS INTEGER) AS changes FROM cap")
 def j7(spark, d):
     p = captures(spark, d)

@@ -35,3 +35,20 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {r.doc_id: r.html for r in site.queries()["f14_escapes_whole"](spark, SF).collect()}
+    plain = {r.doc_id: r.text for r in docs.collect() if r.text is not None and not set(r.text) & set("&<>\"'")}
+    assert plain and all(out[i] == t for i, t in plain.items())
+    assert site.queries()["f22_content_fingerprint_all"](spark, SF).count() == docs.count()
+
+
+def test_line_diff_sides(spark):
+    import re
+
+    sides = {r.id: (r.same + r.removed, r.same + r.added) for r in site.queries()["o7_source_line_diff_sides"](spark, SF).collect()}
+    lines = lambda df: {r.page_id: len(re.split(r"(?<=>)\s*(?=<)", r.html[:120_000])[:300]) for r in df.collect()}
+    before, after = lines(site.pages(spark, SF)), lines(site.enriched(spark, SF))
+    assert sides == {i: (n, after[i]) for i, n in before.items()} and any(a != b for a, b in sides.values())

@@ -1,12 +1,13 @@
 """Words and shingles of Arrow text columns, by whole-array numpy operations.
 
 A chunk of documents is one byte array; words are runs of word bytes that do not cross a document's
-bounds. A word's 64-bit hash comes from prefix sums of a polynomial, so no word is cut out one by one.
+bounds. A word's 64-bit hash comes from its blocks of eight bytes, read in place, so few words are cut out one by one.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,28 +41,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A value for each byte; A-Z have those of a-z.
-VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-LOWER_VALUES = VALUES.copy()
-LOWER_VALUES[65:91] = VALUES[97:123]
-BASE = 0x5851F42D4C957F2D
-_powers: dict[str, np.ndarray] = {}
+def _lower() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint8)
+    t[65:91] += 32
+    return t
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64, for i < n."""
-    if len(_powers.get("p", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, b in (("p", BASE), ("q", pow(BASE, -1, 1 << 64))):
-            x = np.full(size, b, U64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x)
-    return _powers["p"], _powers["q"]
+#: Bytes with A-Z lower-cased, and as they are.
+LOWER, PLAIN = _lower(), np.arange(256, dtype=np.uint8)
+#: For each length up to 8, which bits of eight bytes belong to it.
+HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 
 def release() -> None:
     """Give freed memory back at a task's end: workers stay alive beside the next stage's JVM tasks."""
-    _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -113,13 +108,28 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = BY_SPACE) ->
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = LOWER_VALUES) -> np.ndarray:
-    """A 64-bit hash of each word; with LOWER_VALUES, of the word with A-Z lower-cased."""
-    p, q = _pow(len(data) + 1)
-    total = np.empty(len(data) + 1, U64)
-    total[0] = 0
-    np.cumsum(values[data] * p[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts])
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = LOWER) -> np.ndarray:
+    """A 64-bit hash of each word; with LOWER, of the word with A-Z lower-cased.
+
+    A word's length and its blocks of eight bytes are scrambled in turn, so words of up to eight bytes and one length never
+    collide; words of more than LONG bytes have a cryptographic hash.
+    """
+    if not len(starts):
+        return np.empty(0, U64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data if values is PLAIN else values[data]
+    eight = np.ndarray(len(data) + 1, U64, padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) ^ (eight[starts] & HEADS[np.minimum(size, 8)]))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    for at in range(8, LONG, 8):
+        if not len(more):
+            break
+        h[more] = mix((h[more] * U64(0x9FB21C651E98DF25)) ^ (eight[starts[more] + at] & HEADS[np.minimum(size[more] - at, 8)]))
+        more = more[size[more] > at + 8]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ a task's memory is bounded; a retried task reads the same rows and makes the sam
 
 Tokenising: a pretoken's ids do not depend on what surrounds it, so each distinct pretoken of a task is
 encoded once. Pretokens are found by array operations where the text has only Latin-1 characters and no
-apostrophe; other texts are encoded whole.
+apostrophe; other texts are encoded whole, and so are those with a pretoken whose bytes are not the remembered ones.
 
 Defined results: null and empty texts are the end id alone. Repeated rows are packed each. Extra
 columns are ignored, whatever their names. A null id is carried. An empty table gives no rows.
@@ -147,6 +147,7 @@ class Encoder:
     def clear(self) -> None:
         self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
         self.ids = np.empty(0, np.uint32)
+        self.raw, self.raw_at, self.raw_n = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         if not texts:
@@ -157,13 +158,24 @@ class Encoder:
             self.tokenizer = Tokenizer.from_file(self.path)
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = self._encoded(texts)
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        found = self._encoded([x.decode("utf-8", "replace") for x in raw])
+        size = np.array([len(x) for x in raw], np.int64)
+        begin = len(self.raw) + np.cumsum(size) - size
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(raw), np.uint8)])
         n = np.array([len(x) for x in found], np.uint32)
         at = (len(self.ids) + np.cumsum(n, dtype=np.int64) - n).astype(np.uint32)
         self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.raw_at, self.raw_n = np.insert(self.raw_at, where, begin), np.insert(self.raw_n, where, size)
+
+    def _other(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Pretokens (which follow each other without gaps) whose bytes are not those remembered for their hash."""
+        size = ends - starts
+        at = np.arange(len(data)) + np.repeat(self.raw_at[where] - starts, size)
+        differs = self.raw[np.minimum(at, len(self.raw) - 1)] != data
+        return np.flatnonzero((self.raw_n[where] != size) | np.logical_or.reduceat(differs, starts))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Ids of each row."""
@@ -171,14 +183,15 @@ class Encoder:
             return [np.empty(0, np.uint32)] * (len(off) - 1)
         starts, slow = pretokens(data, off)
         ends = np.append(starts[1:], len(data))
-        keys, first, back = np.unique(V.word_hashes(data, starts, ends, V.VALUES), return_index=True, return_inverse=True)
+        keys, first, back = np.unique(V.word_hashes(data, starts, ends, V.PLAIN), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE:
             self.clear()
         where = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[where] != keys) if len(self.keys) else np.arange(len(keys))
         raw = data.tobytes()
-        self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]], ends[first[new]], strict=True)])
+        self._learn(keys[new], [raw[a:b] for a, b in zip(starts[first[new]], ends[first[new]], strict=True)])
         where = np.searchsorted(self.keys, keys)[back]
+        slow = np.union1d(slow, np.searchsorted(off, starts[self._other(data, starts, ends, where)], "right") - 1)
         n = self.n[where].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.at[where].astype(np.int64) - total[:-1], n) + np.arange(total[-1])]

@@ -1,17 +1,18 @@
 """Language-model scores of whole documents from a gated recurrent network.
 
 Tokens are words (A-Z lower-cased) and one end per document. Counting covers every training document. The network
-knows the ``KNOWN`` most frequent words, the end and one entry for all others; its output is
-factored: P(class | state) * P(word | class, state), with classes of words of similar frequency. A word outside has
-the probability of that entry times its share, (count + 1) out of all such words' and one unseen one, so a
-text's score is a proper log-probability.
+has an entry for each of the ``KNOWN`` most frequent words, for the end, and for each of ``BUCKETS`` groups that the first two
+bytes of all other words make; its output is factored: P(class | state) * P(entry | class, state), with classes
+of entries of similar frequency. A word of a group has the probability of the group's entry times its share in it,
+(count + 1) out of all such words' and one unseen one, so a text's score is a proper log-probability.
 
 Training is truncated back-propagation through time in numpy. Every training document is dealt to one of ``ROUNDS`` rounds
 and, in it, to a trainer; each runs over its documents in lanes, carrying states from
 window to window, and the trainers' parameters are averaged, weighted by tokens, after each round. What is
-trained on thus grows with the corpus, and a model's size does not.
+trained on thus grows with the corpus, and a model's size does not. How many trainers there are follows from the
+tokens alone, and each takes its documents in the order of a hash, so that scores do not depend on the cluster.
 
-Scoring steps all documents of a chunk together, window by window, with states carried on, so a
+Scoring steps all documents of a chunk together, with states carried on from window to window, so a
 document is scored as one sequence whatever its length.
 
 Counts of the ``FREQUENT`` most frequent words (a bounded table) go to every task; the other words of a document are
@@ -24,6 +25,7 @@ equal when their 64-bit hashes are.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -38,81 +40,104 @@ from sitegrain.llm.quality_crf import fold
 from sitegrain.llm.scratch import Scratch, prepare
 
 HELD_OUT, FOLDS = 2, 7
-CLASSES, PER_CLASS = 32, 64
-KNOWN = CLASSES * PER_CLASS - 2
+CLASSES, PER_CLASS = 64, 64
+BUCKETS = 1024
+KNOWN = CLASSES * PER_CLASS - BUCKETS - 1
 FREQUENT = 1 << 18
-HIDDEN, EMBED = 24, 24
+HIDDEN, EMBED = 32, 32
 ROUNDS = 2
-LANES, WINDOW = 64, 32
-SCORE_WINDOW = 64
-RATE = 1e-2
-#: Training tokens to one trainer, at least, and trainers to one core, at most.
-TRAINER_TOKENS, TRAINERS_PER_CORE = 250_000, 1
+LANES, WINDOW = 256, 32
+#: Tokens whose output is computed together in scoring.
+SCORE_TOKENS = 1 << 16
+#: The first round's rate; each one after it has half. The first WARM steps rise to it.
+RATE, WARM = 4e-3, 20
+#: Training tokens to one trainer in a round, about.
+TRAINER_TOKENS = 1_500_000
 #: Parameters of a trainer in one row.
 SLICE = 4096
+#: Tokens whose documents are trained on together, by one trainer.
+TRAIN_BLOCK = 1 << 20
 #: Bytes of text whose documents are scored together.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 24
 #: The end token's place among word hashes.
 END = np.uint64(zlib.crc32(b"end of document") << 32 | 1)
 
 
-def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all documents, each followed by END, and the documents' bounds."""
+def _groups() -> np.ndarray:
+    """The group of a word by its first two bytes (A-Z lower-cased; 0 for a missing second one)."""
+    of = V.mix(np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) % np.uint64(BUCKETS)
+    return of.astype(np.int16)
+
+
+GROUPS = _groups()
+
+
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all documents, each followed by END, their groups, and the documents' bounds."""
     starts, ends, first = V.words(data, off)
     h = np.insert(V.word_hashes(data, starts, ends), first[1:], END)
-    return h, first + np.arange(len(first))
+    one = V.LOWER[data[starts]].astype(np.int64)
+    two = np.where(ends - starts > 1, V.LOWER[data[np.minimum(starts + 1, max(0, len(data) - 1))]], 0)
+    return h, np.insert(GROUPS[one << 8 | two], first[1:], 0), first + np.arange(len(first))
+
+
+COUNTED = "h long, g int, n long"
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts, merged up to a bounded number of words."""
-    keys, ns = [], []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, back = np.unique(np.concatenate(keys), return_inverse=True)
-        return k, np.bincount(back, np.concatenate(ns)).astype(np.int64)
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        k, at, back = np.unique(h, return_index=True, return_inverse=True)
+        return k, g[at], np.bincount(back, n).astype(np.int64)
+
+    def out(h: np.ndarray, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.astype(np.int32)), pa.array(n)], ["h", "g", "n"])
 
     for _, data, off in V.chunks(batches):
-        k, n = np.unique(_tokens(data, off)[0], return_counts=True)
-        keys.append(k)
-        ns.append(n)
-        if sum(map(len, keys)) > 1_000_000:
-            k, n = merged()
-            keys, ns = [k], [n]
-            if len(k) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["h", "n"])
-                keys, ns = [], []
-    if keys:
-        k, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["h", "n"])
+        h, g, _ = _tokens(data, off)
+        k, at, n = np.unique(h, return_index=True, return_counts=True)
+        held.append((k, g[at], n))
+        if sum(len(x[0]) for x in held) > 1_000_000:
+            held = [merged(held)]
+            if len(held[0][0]) > 500_000:
+                yield out(*held[0])
+                held = []
+    if held:
+        yield out(*merged(held))
 
 
 class Vocabulary:
-    """The network's entries: words by count, the end and the rest; and counts of frequent words."""
+    """The network's entries: words by count, the end and the groups of other words; and counts of frequent words."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray, total: int, distinct: int):
-        """``h`` and ``n``: the most frequent tokens, descending."""
+    def __init__(self, h: np.ndarray, n: np.ndarray, g: np.ndarray, total: int, distinct: int, group_n: np.ndarray, group_words: np.ndarray):
+        """``h``, ``n``, ``g``: the most frequent tokens, descending; ``group_n`` and ``group_words``: tokens and words of each group but END."""
         self.total, self.distinct = total, distinct
         order = np.argsort(h)
         self.h, self.n = h[order], n[order]
-        own = h[h != END][:KNOWN]
-        entry_n = np.concatenate([n[h != END][:KNOWN], [n[h == END].sum()]])
-        rest = max(0, total - int(entry_n.sum()))
-        entry_n = np.append(entry_n, rest).astype(np.float64)
+        word = h != END
+        own, own_n, own_g = h[word][:KNOWN], n[word][:KNOWN], g[word][:KNOWN]
+        rest = group_n - np.bincount(own_g, own_n, minlength=BUCKETS)
+        entry_n = np.concatenate([own_n, np.zeros(KNOWN - len(own)), [n[~word].sum()], rest])
         by = np.argsort(-entry_n, kind="stable")
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        self.unknown = int(place[-1])
+        self.groups, self.end = place[-BUCKETS:], int(place[KNOWN])
         names = np.append(own, END)
         order = np.argsort(names)
-        self.names, self.places = names[order], place[:-1][order]
-        self.freq = np.full(CLASSES * PER_CLASS, 0.0)
+        self.names, self.places = names[order], np.append(place[: len(own)], self.end)[order]
+        self.freq = np.zeros(CLASSES * PER_CLASS)
         self.freq[place] = entry_n
-        # of all words outside: their counts plus one each, and one for a word never seen
-        self.rest = np.log10(rest + max(0, distinct - len(names[np.isin(names, h)])) + 1)
+        # of each group's words outside: their counts plus one each, and one for a word never seen
+        self.rest = np.log10(rest + (group_words - np.bincount(own_g, minlength=BUCKETS)) + 1)
 
-    def entries(self, tokens: np.ndarray) -> np.ndarray:
+    def entries(self, tokens: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens' entries, and which of them have one of their own."""
         at = np.minimum(np.searchsorted(self.names, tokens), len(self.names) - 1)
-        return np.where(self.names[at] == tokens, self.places[at], self.unknown)
+        own = self.names[at] == tokens
+        return np.where(own, self.places[at], self.groups[groups]), own
 
     def counts(self, tokens: np.ndarray) -> np.ndarray:
         """Counts of frequent tokens; 0 for others."""
@@ -166,28 +191,51 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and natural logs of their sums, computed in place."""
+    top = x.max(1, keepdims=True)
+    x -= top
+    np.exp(x, out=x)
+    total = x.sum(1, keepdims=True)
+    x /= total
+    return x, (np.log(total) + top)[:, 0]
+
+
+def _log_total(x: np.ndarray) -> np.ndarray:
+    top = x.max(1, keepdims=True)
+    x -= top
+    np.exp(x, out=x)
+    return np.log(x.sum(1)) + top[:, 0]
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by class, and where each class starts in it."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
 
 
 def output_logs(p: dict[str, np.ndarray], state: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of the targets given the states before them."""
     c, w = target // PER_CLASS, target % PER_CLASS
-    out = _log_softmax(state @ p["wc"] + p["bc"])[np.arange(len(c)), c]
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    order, cuts = _by_class(c)
+    state, c, w = state[order], c[order], w[order]
+    x = state @ p["wc"] + p["bc"]
+    logs = x[np.arange(len(c)), c] - _log_total(x)
     for k in range(CLASSES):
-        i = order[cuts[k] : cuts[k + 1]]
-        if len(i):
-            out[i] += _log_softmax(state[i] @ p["ww"][k] + p["bw"][k])[np.arange(len(i)), w[i]]
+        a, b = cuts[k], cuts[k + 1]
+        if a < b:
+            x = state[a:b] @ p["ww"][k] + p["bw"][k]
+            logs[a:b] += x[np.arange(b - a), w[a:b]] - _log_total(x)
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
 class Trainer:
     """Adam on windows of lanes; a lane goes on with the next document, from a zero state, when its own ends."""
 
-    def __init__(self, p: dict[str, np.ndarray]):
+    def __init__(self, p: dict[str, np.ndarray], rate: float = RATE):
+        self.rate = rate
         self.flat = flat(p)
         self.p = _views(self.flat)
         self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
@@ -213,29 +261,25 @@ class Trainer:
         slope = np.zeros_like(self.flat)
         grad = _views(slope)
         at = np.flatnonzero(live.ravel())
+        order, cuts = _by_class(target.ravel()[at] // PER_CLASS)
+        at = at[order]
         s, y = states.reshape(-1, n)[at], target.ravel()[at]
         scale = np.float32(1 / max(1, len(at)))
-        d = np.exp(_log_softmax(s @ p["wc"] + p["bc"]))
         cls, word = y // PER_CLASS, y % PER_CLASS
+        d, _ = _softmax(s @ p["wc"] + p["bc"])
         d[np.arange(len(y)), cls] -= 1
         d *= scale
         grad["wc"][:], grad["bc"][:] = s.T @ d, d.sum(0)
         ds = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
-            i = order[cuts[k] : cuts[k + 1]]
-            if not len(i):
+            i, j = cuts[k], cuts[k + 1]
+            if i == j:
                 continue
-            of = s[i]
-            e = of @ p["ww"][k] + p["bw"][k]
-            e -= e.max(1, keepdims=True)
-            np.exp(e, out=e)
-            e /= e.sum(1, keepdims=True)
-            e[np.arange(len(i)), word[i]] -= 1
+            e, _ = _softmax(s[i:j] @ p["ww"][k] + p["bw"][k])
+            e[np.arange(j - i), word[i:j]] -= 1
             e *= scale
-            grad["ww"][k], grad["bw"][k] = of.T @ e, e.sum(0)
-            ds[i] += e @ p["ww"][k].T
+            grad["ww"][k], grad["bw"][k] = s[i:j].T @ e, e.sum(0)
+            ds[i:j] += e @ p["ww"][k].T
         dh_out = np.zeros((steps * lanes, n), np.float32)
         dh_out[at] = ds
         dh_out = dh_out.reshape(states.shape)
@@ -254,14 +298,12 @@ class Trainer:
             du[:, 2 * n :] = da * r
             dh = (dh * z + du @ back) * old[t]
         grad["wh"][:] = np.concatenate([k[0] for k in keep]).T @ dus.reshape(-1, 3 * n)
-        # inputs' gradients summed by entry first
         of, dgs = ids.ravel(), dgs.reshape(-1, 3 * n)
-        order = np.argsort(of, kind="stable")
+        grad["b"][:] = dgs.sum(0)
+        grad["wx"][:] = p["x"][of].T @ dgs
+        order = np.argsort(of.astype(np.int16), kind="stable")
         new = np.flatnonzero(np.append(True, np.diff(of[order]) > 0))
-        sums, entry = np.add.reduceat(dgs[order], new), of[order][new]
-        grad["b"][:] = sums.sum(0)
-        grad["wx"][:] = p["x"][entry].T @ sums
-        grad["x"][entry] = sums @ p["wx"].T
+        grad["x"][of[order][new]] = np.add.reduceat((dgs @ p["wx"].T)[order], new)
         self.t += 1
         np.clip(slope, -1, 1, out=slope)
         self.m *= np.float32(0.9)
@@ -272,30 +314,33 @@ class Trainer:
         step = np.sqrt(self.v * np.float32(1 / (1 - 0.99**self.t)))
         step += np.float32(1e-6)
         np.divide(self.m, step, out=step)
-        self.flat -= step * np.float32(RATE / (1 - 0.9**self.t))
+        self.flat -= step * np.float32(self.rate * min(1.0, self.t / WARM) / (1 - 0.9**self.t))
         return h
 
     def run(self, docs: list[np.ndarray], start: int) -> int:
         """Learn from token sequences (each ends with the end); ``start`` is what precedes a document. Returns the tokens."""
         lanes: list[list[np.ndarray]] = [[] for _ in range(LANES)]
-        size = [0] * LANES
+        shortest = [(0, i) for i in range(LANES)]
         for d in sorted(docs, key=len, reverse=True):
-            i = int(np.argmin(size))
+            size, i = shortest[0]
             lanes[i].append(d)
-            size[i] += len(d)
-        longest = max(size)
-        ids, target = np.zeros((2, longest, LANES), np.int64)
-        fresh, live = np.zeros((2, longest, LANES), bool)
-        for i, lane in enumerate(lanes):
-            at = 0
-            for d in lane:
-                target[at : at + len(d), i], ids[at, i], ids[at + 1 : at + len(d), i] = d, start, d[:-1]
-                fresh[at, i], live[at : at + len(d), i] = True, True
-                at += len(d)
-        h = np.zeros((LANES, HIDDEN), np.float32)
-        for a in range(0, longest, WINDOW):
-            h = self.window(ids[a : a + WINDOW], target[a : a + WINDOW], fresh[a : a + WINDOW], h, live[a : a + WINDOW])
-        return sum(size)
+            heapq.heapreplace(shortest, (size + len(d), i))
+        lanes = sorted((x for x in lanes if x), key=lambda x: -sum(map(len, x)))
+        size = np.array([sum(map(len, x)) for x in lanes])
+        head = np.cumsum(size) - size
+        target = np.concatenate([d for x in lanes for d in x])
+        fresh = np.zeros(len(target), bool)
+        lengths = np.array([len(d) for x in lanes for d in x])
+        fresh[np.cumsum(lengths) - lengths] = True
+        ids = np.where(fresh, start, np.roll(target, 1))
+        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        for a in range(0, int(size[0]), WINDOW):
+            k = int(np.searchsorted(-size, -a))  # lanes longer than a
+            t = np.arange(a, min(a + WINDOW, int(size[0])))[:, None]
+            live = t < size[:k]
+            at = head[:k] + np.minimum(t, size[:k] - 1)
+            h = self.window(ids[at], target[at], fresh[at], h[:k], live)
+        return len(target)
 
 
 def sequence_logs(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
@@ -308,83 +353,86 @@ def sequence_logs(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray,
     h = np.zeros((len(order), m), np.float32)
     out = np.zeros(len(order))
     last = np.full(len(order), start)
-    for a in range(0, int(size[0]) if len(size) else 0, SCORE_WINDOW):
-        states, targets, lanes = [], [], []
-        for t in range(a, min(a + SCORE_WINDOW, int(size[0]))):
-            k = int(np.searchsorted(-size, -t))  # those longer than t
-            g, u = table[last[:k]], h[:k] @ wh
-            rz = _sigmoid(g[:, : 2 * m] + u[:, : 2 * m])
-            c = np.tanh(g[:, 2 * m :] + rz[:, :m] * u[:, 2 * m :])
-            z = rz[:, m:]
-            h[:k] = c + z * (h[:k] - c)
-            now = ids[head[:k] + t]
-            states.append(h[:k].copy())
-            targets.append(now)
-            lanes.append(k)
-            last[:k] = now
-        logs = output_logs(p, np.concatenate(states), np.concatenate(targets))
-        out += np.bincount(np.concatenate([np.arange(k) for k in lanes]), logs, minlength=len(out))
+    longest = int(size[0]) if len(size) else 0
+    # documents longer than t, for each t
+    alive = len(size) - np.cumsum(np.bincount(size, minlength=longest + 1))[:longest]
+    states, targets, lanes, held = [], [], [], 0
+    for t, k in enumerate(alive.tolist()):
+        g, u = table[last[:k]], h[:k] @ wh
+        rz = _sigmoid(g[:, : 2 * m] + u[:, : 2 * m])
+        c = np.tanh(g[:, 2 * m :] + rz[:, :m] * u[:, 2 * m :])
+        state = c + rz[:, m:] * (h[:k] - c)
+        h[:k] = state
+        last = ids[head[:k] + t]
+        states.append(state)
+        targets.append(last)
+        lanes.append(k)
+        held += k
+        if held >= SCORE_TOKENS or t + 1 == longest:
+            logs = output_logs(p, np.concatenate(states), np.concatenate(targets))
+            out += np.bincount(np.concatenate([np.arange(k) for k in lanes]), logs, minlength=len(out))
+            states, targets, lanes, held = [], [], [], 0
     back = np.empty(len(out))
     back[order] = out
     return back
 
 
-def _train(p: np.ndarray, vocabulary: Vocabulary):
+def _train(p: np.ndarray, vocabulary: Vocabulary, rate: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, tokens, held, size = Trainer(unflat(p.copy())), 0, [], 0
-        start = int(vocabulary.entries(np.array([END]))[0])
+        trainer, tokens, held, size = Trainer(unflat(p.copy()), rate), 0, [], 0
         for _, data, off in V.chunks(batches):
-            h, bounds = _tokens(data, off)
-            ids = vocabulary.entries(h)
+            h, groups, bounds = _tokens(data, off)
+            ids, _ = vocabulary.entries(h, groups)
             held += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             size += len(ids)
-            if size > 8 * LANES * 1024:
-                tokens += trainer.run(held, start)
+            if size >= TRAIN_BLOCK:
+                tokens += trainer.run(held, vocabulary.end)
                 held, size = [], 0
         if held:
-            tokens += trainer.run(held, start)
+            tokens += trainer.run(held, vocabulary.end)
         if tokens:
             v = flat(trainer.p)
             cut = [v[a : a + SLICE].tobytes() for a in range(0, len(v), SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([tokens] * len(cut), pa.int64()), pa.array(cut, pa.binary())], ["i", "tokens", "v"])
+            part = TaskContext.get().partitionId()
+            cols = ([part] * len(cut), pa.int32()), (range(len(cut)), pa.int32()), ([tokens] * len(cut), pa.int64()), (cut, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["part", "i", "tokens", "v"])
 
     return run
 
 
-TRAINED = "i int, tokens long, v binary"
+TRAINED = "part int, i int, tokens long, v binary"
 
 
 def _sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of the trainers' parameters, summed by tokens."""
+    """Slices of the trainers' parameters, summed by tokens in the trainers' order."""
     n, total = {}, {}
     for batch in batches:
-        for i, tokens, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, i, tokens, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n[i] = n.get(i, 0) + tokens
             total[i] = total.get(i, 0) + np.frombuffer(v, np.float32).astype(np.float64) * tokens
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["i", "tokens", "v"])
+        cols = ([0] * len(n), pa.int32()), (list(n), pa.int32()), (list(n.values()), pa.int64()), ([v.tobytes() for v in total.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["part", "i", "tokens", "v"])
 
 
-SCORED = "rid long, id long, n_tokens long, n_known long, logs double, logs_unknown double, n_unknown long, net double, rare array<long>, rare_n array<long>"
+SCORED = "rid long, id long, n_tokens long, n_known long, logs double, logs_grouped double, rest double, net double, rare array<long>, rare_n array<long>"
 
 
 def _score(p: np.ndarray, vocabulary: Vocabulary):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unflat(p)
-        start = int(vocabulary.entries(np.array([END]))[0])
         rid = TaskContext.get().partitionId() << 40
-        ids_of, tokens, lengths, size = [], [], [], 0
+        ids_of, tokens, grouped, lengths, size = [], [], [], [], 0
 
         def scored() -> pa.RecordBatch:
-            nonlocal rid, ids_of, tokens, lengths, size
-            h = np.concatenate(tokens)
+            nonlocal rid, ids_of, tokens, grouped, lengths, size
+            h, groups = np.concatenate(tokens), np.concatenate(grouped)
             bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
             docs = len(bounds) - 1
             doc = np.repeat(np.arange(docs), np.diff(bounds))
-            entry, count = vocabulary.entries(h), vocabulary.counts(h)
-            net = sequence_logs(model, entry, bounds, start) / np.log(10)
+            (entry, own), count = vocabulary.entries(h, groups), vocabulary.counts(h)
+            net = sequence_logs(model, entry, bounds, vocabulary.end) / np.log(10)
             logs, known = np.log10(count + 1.0), count > 0
-            unknown = entry == vocabulary.unknown
             rare = np.flatnonzero(~known)
             order = rare[np.lexsort((h[rare], doc[rare]))]
             new = np.ones(len(order), bool)
@@ -395,19 +443,20 @@ def _score(p: np.ndarray, vocabulary: Vocabulary):
             total = lambda x: np.bincount(doc, x, minlength=docs)
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rid + np.arange(docs)), pa.concat_arrays(ids_of), pa.array(np.diff(bounds)), pa.array(total(known).astype(np.int64)), pa.array(total(logs)), pa.array(total(logs * unknown)),
-                    pa.array(total(unknown).astype(np.int64)), pa.array(net), pa.ListArray.from_arrays(cut, pa.array(h[order][at].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(n)),
+                    pa.array(rid + np.arange(docs)), pa.concat_arrays(ids_of), pa.array(np.diff(bounds)), pa.array(total(known).astype(np.int64)), pa.array(total(logs)), pa.array(total(logs * ~own)),
+                    pa.array(total(np.where(own, 0.0, vocabulary.rest[groups]))), pa.array(net), pa.ListArray.from_arrays(cut, pa.array(h[order][at].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(n)),
                 ],
                 [f.split()[0] for f in SCORED.split(", ")],
             )
             rid += docs
-            ids_of, tokens, lengths, size = [], [], [], 0
+            ids_of, tokens, grouped, lengths, size = [], [], [], [], 0
             return out
 
         for rows, data, off in V.chunks(batches):
-            h, bounds = _tokens(data, off)
+            h, groups, bounds = _tokens(data, off)
             ids_of.append(rows.column("id"))
             tokens.append(h)
+            grouped.append(groups)
             lengths.append(np.diff(bounds))
             size += len(data)
             if size >= BLOCK_BYTES:
@@ -419,9 +468,14 @@ def _score(p: np.ndarray, vocabulary: Vocabulary):
 
 
 def fit(spark: SparkSession, rows: DataFrame, counts: DataFrame) -> tuple[np.ndarray, Vocabulary]:
-    """Averaged parameters and the vocabulary, from training rows (id, text) and the saved counts (h, n)."""
-    all_n = counts.agg(F.sum("n"), F.count("*")).first()
-    total, distinct = int(all_n[0] or 0), int(all_n[1])
+    """Averaged parameters and the vocabulary, from training rows (id, text) and the saved counts (h, g, n)."""
+    end = F.col("h") == int(END.astype(np.int64))
+    group_n, group_words = np.zeros((2, BUCKETS), np.int64)
+    total, distinct = 0, 0
+    for r in counts.groupBy("g", end.alias("end")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # BUCKETS rows and one
+        total, distinct = total + r.n, distinct + r.words
+        if not r.end:
+            group_n[r.g], group_words[r.g] = r.n, r.words
     # the least count that at most FREQUENT words reach: from a histogram, as a sort would meet in one task
     step = F.floor(F.log2("n") * 16).cast("int")
     sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
@@ -432,16 +486,16 @@ def fit(spark: SparkSession, rows: DataFrame, counts: DataFrame) -> tuple[np.nda
             break
         least = r.step
     top = counts.where(F.lit(False) if least is None else step >= least).toArrow()  # at most FREQUENT rows
-    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    h, n, g = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("g").to_numpy()
     order = np.lexsort((h, -n))
-    vocabulary = Vocabulary(h[order], n[order], total, distinct)
+    vocabulary = Vocabulary(h[order], n[order], g[order], total, distinct, group_n, group_words)
     p = flat(initial(vocabulary.freq))
     row = F.xxhash64("id", "text")
-    most = spark.sparkContext.defaultParallelism * TRAINERS_PER_CORE
-    trainers = max(1, min(most, total // (max(1, ROUNDS) * TRAINER_TOKENS)))
+    trainers = max(1, -(-total // (max(1, ROUNDS) * TRAINER_TOKENS)))
     for r in range(ROUNDS):
-        own = rows.where(F.pmod(row, F.lit(ROUNDS)) == r).repartition(trainers, row)
-        got = own.mapInArrow(_train(p, vocabulary), TRAINED).repartition("i").mapInArrow(_sum, TRAINED).toArrow().sort_by("i").to_pylist()
+        own = rows.where(F.pmod(row, F.lit(ROUNDS)) == r).withColumn("row", row).repartition(trainers, "row").sortWithinPartitions("row", "id")
+        trained = own.select("text").mapInArrow(_train(p, vocabulary, RATE / 2**r), TRAINED)
+        got = trained.repartition("i").sortWithinPartitions("i", "part").mapInArrow(_sum, TRAINED).toArrow().sort_by("i").to_pylist()
         if got:
             p = np.concatenate([np.frombuffer(x["v"]) / x["tokens"] for x in got]).astype(np.float32)
     return p, vocabulary
@@ -454,11 +508,11 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held_out = F.coalesce(fold("id", FOLDS) == HELD_OUT, F.lit(False))
     training = rows.where(~held_out)
-    counts = s.save(training.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    counts = s.save(training.select("text").mapInArrow(_count, COUNTED).groupBy("h").agg(F.min("g").alias("g"), F.sum("n").alias("n")))
     p, vocabulary = fit(spark, training, counts)
     scored = s.save(rows.mapInArrow(_score(p, vocabulary), SCORED))
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("rid", F.col("w.rare").alias("h"), F.col("w.rare_n").alias("k"))
-    found = rare.join(counts.hint("merge"), "h").groupBy("rid").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("rare_logs"))
+    found = rare.join(counts.select("h", "n").hint("merge"), "h").groupBy("rid").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("rare_logs"))
     found = s.save(found)
     n, v = vocabulary.total, vocabulary.distinct
     more = F.coalesce("rare_logs", F.lit(0.0))
@@ -469,6 +523,6 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("logs") + more - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-            (F.col("net") + F.col("logs_unknown") + more - F.col("n_unknown") * float(vocabulary.rest)).alias("score"),
+            (F.col("net") + F.col("logs_grouped") + more - F.col("rest")).alias("score"),
         )
     )

@@ -11,8 +11,8 @@ gradient ascent on the conditional log-likelihood. The model is a few dozen numb
 whole texts of all documents, in Arrow batches.
 
 Only the text enters a score. Defined results: a text without lines (null, empty, blank) gets the
-training documents' share of label 1, or 0.5 where there are no labels at all. Repeated rows are scored each. Repeated
-labels of one document: the largest counts. Extra columns are ignored, whatever their names.
+training documents' share of label 1, or 0.5 where there are no labels at all. Repeated rows are scored each, and learned from
+once; of an id's different texts, one. Repeated labels of one document: the largest counts. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -139,8 +139,8 @@ def forward_backward(node: np.ndarray, pair: np.ndarray, first: np.ndarray) -> t
     return marginal / np.maximum(marginal.sum(1, keepdims=True), 1e-300), edges, sums[first[1:]] - sums[first[:-1]]
 
 
-def train(own: list[np.ndarray], labels: np.ndarray) -> dict:
-    """Weights from documents' line features and their labels."""
+def train(own: list[np.ndarray], length: list[np.ndarray], labels: np.ndarray) -> dict:
+    """Weights from documents' line features and labels; the calibration also from the lines' lengths."""
     first = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
     x = with_neighbours(np.concatenate(own), first).astype(np.float64)
     y = np.repeat(labels, np.diff(first))
@@ -160,7 +160,7 @@ def train(own: list[np.ndarray], labels: np.ndarray) -> dict:
         w += RATE * speed_w
         pair += RATE * speed_p
     model = {"w": w, "pair": pair, "prior": float(labels.mean()), "a": 1.0, "b": 0.0}
-    raw = _raw(x, np.concatenate([np.full(len(o), 1.0) for o in own]), first, model)
+    raw = _raw(x, np.concatenate(length).astype(np.float64), first, model)
     ok = ~np.isnan(raw)
     z, t = np.log(raw[ok] / (1 - raw[ok])), labels[ok]
     a, b = 1.0, 0.0
@@ -192,9 +192,10 @@ def score_texts(data: np.ndarray, off: np.ndarray, model: dict | None) -> np.nda
 
 def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in V.chunks(batches):
-        own, _, first = features(data, off)
+        own, length, first = features(data, off)
         few = np.diff(first) <= SAMPLE_LINES
-        yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([own[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "lines"]).filter(pa.array(few & (np.diff(first) > 0)))
+        both = np.concatenate([own, length[:, None].astype(np.float32)], 1)
+        yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([both[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "lines"]).filter(pa.array(few & (np.diff(first) > 0)))
 
 
 def _score(model: dict | None):
@@ -216,11 +217,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     s = Scratch(spark)
     known = labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     chosen = s.save(known.orderBy(F.xxhash64("id"), "id").limit(sample))
-    lines = docs.join(sized(chosen.select("id")), "id", "left_semi").mapInArrow(_sampled, "id long, lines binary").join(sized(chosen), "id")
-    rows = sorted(((r.id, r.lines, r.label) for r in lines.collect()))  # at most SAMPLE documents of SAMPLE_LINES lines, but for repeated rows
+    lines = docs.join(sized(chosen.select("id")), "id", "left_semi").mapInArrow(_sampled, "id long, lines binary").groupBy("id").agg(F.min("lines").alias("lines")).join(sized(chosen), "id")
+    rows = sorted(((r.id, r.lines, r.label) for r in lines.collect()))  # at most SAMPLE documents of SAMPLE_LINES lines
     if not rows:
         return None
-    return train([np.frombuffer(x, np.float32).reshape(-1, N_OWN) for _, x, _ in rows], np.array([y for _, _, y in rows], np.int64))
+    each = [np.frombuffer(x, np.float32).reshape(-1, N_OWN + 1) for _, x, _ in rows]
+    return train([x[:, :N_OWN] for x in each], [x[:, N_OWN] for x in each], np.array([y for _, _, y in rows], np.int64))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -2,8 +2,9 @@
 
 A text becomes a unit vector of hashed byte trigrams (letters only, A-Z lower-cased, square roots of counts). Linear
 support vector machines, one against one, first choose among families and then, within the chosen
-family, among its languages. They are trained by dual coordinate descent on a bounded sample: per language
-the first ``SAMPLE`` documents by a hash of their ids, of those that the fold allows.
+family, among its languages. They are trained by dual coordinate descent on a bounded sample of what the fold allows: of each of
+the ``LANGUAGES`` most frequent languages the first documents by a hash of their ids and texts, up to ``SAMPLE`` of a
+language and ``TOTAL`` in all. The hash up to which they go is read off a histogram of its logarithm, so no language is sorted.
 
 Families of common language codes are stated below; any other code is a family of its own.
 
@@ -21,14 +22,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.llm import vectors as V
 from sitegrain.llm.quality_crf import fold
-from sitegrain.llm.scratch import Scratch, prepare, sized
+from sitegrain.llm.scratch import Scratch, prepare
 
-SAMPLE = 500
+SAMPLE, TOTAL, LANGUAGES = 500, 8000, 400
+#: Histogram cells to a halving of the hash.
+CELLS = 8
 BITS = 12
 EPOCHS = 12
 COST = 8.0
@@ -160,11 +163,21 @@ def _predict(model: dict | None):
 def fit(spark: SparkSession, rows: DataFrame, sample: int = SAMPLE) -> dict | None:
     """The model of at most ``sample`` rows (id, text, lang) of each language."""
     s = Scratch(spark)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     known = rows.where("id is not null and lang is not null").where(fold("id", 3) != 1)
-    chosen = s.save(known.select("id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("id").distinct())
-    found = known.join(sized(chosen), "id", "left_semi").mapInArrow(_sampled, "id long, lang string, x binary").dropDuplicates(["id", "lang"]).collect()
-    found.sort(key=lambda r: (r.id, r.lang))
+    # the smaller the hash, the larger its cell
+    share = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / float(1 << 53)
+    cell = F.floor(F.log2(share + 2.0**-53) * -CELLS).cast("int").alias("cell")
+    each = s.save(known.select("lang", "id", F.xxhash64("text").alias("th"), cell).distinct())
+    cells = s.save(each.groupBy("lang", "cell").agg(F.count("*").alias("n")))
+    frequent = s.save(cells.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang"))
+    most = min(sample, TOTAL // max(1, frequent.count()))
+    upto = cells.join(F.broadcast(frequent), "lang").selectExpr("lang", "cell", "sum(n) over (partition by lang order by cell desc) as upto")
+    least = s.save(upto.where(F.col("upto") <= most).groupBy("lang").agg(F.min("cell").alias("least")))
+    chosen = s.save(each.join(F.broadcast(least), "lang").where("cell >= least").select("id", "th", "lang"))  # at most TOTAL rows
+    keyed = known.withColumn("th", F.xxhash64("text"))
+    found = keyed.join(F.broadcast(chosen), ["id", "th", "lang"], "left_semi").mapInArrow(_sampled, "id long, lang string, x binary").distinct().collect()
+    s.drop(each, cells, frequent, least, chosen)
+    found.sort(key=lambda r: (r.id, r.lang, r.x))
     if not found:
         return None
     return train(np.stack([np.frombuffer(r.x, np.float32) for r in found]), np.array([r.lang for r in found], object))

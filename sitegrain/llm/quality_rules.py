@@ -7,13 +7,14 @@ nearest to the present estimate gives the next one. Two deterministic starts (al
 the coordinates' medians) run side by side and the smaller determinant wins. A document whose squared
 Mahalanobis distance exceeds a chi-squared quantile is rejected.
 
-A concentration step is two grouped aggregations with partial sums: a histogram of log distances (a
-bounded number of bins per group) that gives the radius of the subset, and the subset's sums and cross
-products. No group is gathered anywhere, whatever its size. Estimates are one row per group and start.
+A concentration step is one grouped aggregation with partial sums: counts, sums and cross products by bins of the log
+distance (a bounded number of bins per group). What lies up to the bin that holds the subset's radius gives the next
+estimate. No group is gathered anywhere, whatever its size. Estimates are one row per group and start, and medians
+are read off histograms, so no result depends on an order.
 
-Groups of fewer than ``LEAST_GROUP`` documents are pooled within their language; pools that are still
-smaller reject nothing. Ratios are smoothed towards a constant by ``SMOOTH`` words, so that short texts vary as
-little as long ones, and a floor on each coordinate's variance keeps constant coordinates usable.
+A language and source of fewer than ``LEAST_GROUP`` documents is judged by the estimates of its whole language, and a
+language of so few by those of all documents. Ratios are smoothed towards a constant by ``SMOOTH`` words, so that short texts vary as
+little as long ones, and a floor on each coordinate's variance keeps constant coordinates and few documents usable.
 
 Defined results: null or empty text, or no words: all counts 0, base_failed true, kept false. Null
 language or source is a group like any other. Repeated rows count each. Extra columns are ignored,
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitegrain.llm.scratch import Scratch, sized
@@ -37,6 +38,10 @@ LEAST_GROUP = 60
 SMOOTH = 30.0
 #: Bins of a histogram of log squared distances, to one unit of the logarithm.
 BINS = 16
+#: Cells of a coordinate's histogram, to one unit.
+CELLS = 1024
+#: Groups up to which their estimates are broadcast.
+GROUPS = 20_000
 #: Standard normal quantile of the rejection level (3 in 100,000).
 Z_REJECT = 4.0
 #: Least standard deviations of the coordinates.
@@ -127,39 +132,55 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log(d2 + 1e-6) * BINS).cast("long")
 
 
-def _radius(hist: DataFrame, share: float) -> DataFrame:
-    """(grp, start, bin): the first bin up to which the share of a group's documents lies."""
-    upto = "sum(n) over (partition by grp, start order by bin)"
-    total = "sum(n) over (partition by grp, start)"
-    return hist.selectExpr("grp", "start", "bin", f"{upto} as upto", f"{total} as total").where(F.col("upto") >= F.ceil(F.col("total") * share)).groupBy("grp", "start").agg(F.min("bin").alias("radius"))
+SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"c{i}{j}" for i, j in PAIRS]]
 
 
-def robust_distances(scratch: Scratch, rows: DataFrame) -> DataFrame:
-    """(row columns, d2) for rows (grp, x0..): scaled squared distances to the estimates of their group."""
+def _binned(rows: DataFrame, d2: Column) -> DataFrame:
+    """Count, sums and cross products of ``rows`` (grp, start, x0..) by bins of ``d2``."""
     sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i, j in PAIRS]]
-    starts = rows.select("grp", *X, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
+    return rows.groupBy("grp", "start", _bin(d2).alias("bin")).agg(*sums)
+
+
+def _nearest(binned: DataFrame, share: float) -> DataFrame:
+    """(grp, start, bin, sums): the first bin up to which ``share`` of a group's documents lies, and the sums up to it."""
+    group = Window.partitionBy("grp", "start")
+    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = binned.select("grp", "start", "bin", F.ceil(F.sum("n").over(group) * share).alias("need"), F.col("n").alias("own"), *[F.sum(c).over(upto).alias(c) for c in SUMS])
+    return df.where("n >= need and n - own < need").drop("need", "own")
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """(grp, md0..): each coordinate's median, to half a cell."""
+    cells = rows.select("grp", F.posexplode(F.array(*[F.floor(F.col(x) * CELLS) for x in X])).alias("i", "cell")).groupBy("grp", "i", "cell").agg(F.count("*").alias("own"))
+    cells = cells.selectExpr("*", "sum(own) over (partition by grp, i order by cell) as n", "sum(own) over (partition by grp, i) as total")
+    cells = cells.where("2 * n >= total and 2 * (n - own) < total")
+    return cells.groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, (F.col("cell") + 0.5) / CELLS)).alias(f"md{i}") for i in range(P)])
+
+
+def robust_distances(scratch: Scratch, rows: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(row columns, d2) for rows (grp, x0..): scaled squared distances to the estimates of their group, made from
+    ``members`` (grp, x0..), by default the rows themselves."""
+    members = rows if members is None else members
+    medians = scratch.save(_medians(members))
+    few = medians.limit(GROUPS + 1).count() <= GROUPS
+    small = F.broadcast if few else lambda t: t.hint("merge")
 
-    medians = scratch.save(rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"md{i}") for i, x in enumerate(X)]))
-    near = starts.join(sized(medians), "grp")
     central = sum((F.pow((F.col(x) - F.col(f"md{i}")) / FLOORS[i], 2) for i, x in enumerate(X)), F.lit(0.0))
-    bins = scratch.save(near.select("grp", "start", *X, _bin(central).alias("bin")))
-    radius = scratch.save(_radius(bins.groupBy("grp", "start", "bin").agg(F.count("*").alias("n")), 0.5))
-    inside = bins.join(sized(radius), ["grp", "start"]).where("start = 0 or bin <= radius")
-    est = scratch.save(_estimates(inside.groupBy("grp", "start").agg(*sums)))
-    scratch.drop(medians, bins, radius)
+    first = scratch.save(_binned(members.join(small(medians), "grp").withColumn("start", F.lit(1)), central))
+    whole = first.groupBy("grp").agg(*[F.sum(c).alias(c) for c in SUMS]).withColumn("start", F.lit(0))
+    est = scratch.save(_estimates(_nearest(first, 0.5).drop("bin").unionByName(whole)))
+    scratch.drop(medians, first)
+    starts = members.select("grp", *X, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
     for _ in range(STEPS):
-        at = _distance(starts.join(sized(est), ["grp", "start"])).select("grp", "start", *X, _bin(F.col("d2")).alias("bin"))
-        radius = scratch.save(_radius(at.groupBy("grp", "start", "bin").agg(F.count("*").alias("n")), SUBSET))
-        new = scratch.save(_estimates(at.join(sized(radius), ["grp", "start"]).where("bin <= radius").groupBy("grp", "start").agg(*sums)))
-        scratch.drop(est, radius)
+        new = scratch.save(_estimates(_nearest(_binned(_distance(starts.join(small(est), ["grp", "start"])), F.col("d2")), SUBSET)))
+        scratch.drop(est)
         est = new
-    best = scratch.save(est.groupBy("grp").agg(F.min_by(F.struct(*[c for c in est.columns if c != "grp"]), "logdet").alias("e")).select("grp", "e.*"))
-    at = _distance(rows.withColumn("start", F.lit(0)).join(sized(best.drop("start")), "grp"))
-    half = scratch.save(_radius(at.select("grp", "start", _bin(F.col("d2")).alias("bin")).groupBy("grp", "start", "bin").agg(F.count("*").alias("n")), 0.5))
+    best = scratch.save(est.groupBy("grp").agg(F.min_by(F.struct(*[c for c in est.columns if c != "grp"]), F.struct("logdet", "start")).alias("e")).select("grp", "e.*"))
+    of_best = lambda t: _distance(t.withColumn("start", F.lit(0)).join(small(best.drop("start")), "grp"))
+    half = scratch.save(_nearest(_binned(of_best(members), F.col("d2")), 0.5).select("grp", "bin"))
     # consistency: the median of the distances is that of a chi-squared variable, unless floors hold it below
-    scale = F.greatest(F.exp((F.col("radius") + 0.5) / BINS) / chi2(P, 0.0), F.lit(1.0))
-    out = at.join(sized(half.drop("start")), "grp").select(*rows.columns, (F.col("d2") / scale).alias("d2"))
-    return out
+    scale = F.greatest(F.exp((F.col("bin") + 0.5) / BINS) / chi2(P, 0.0), F.lit(1.0))
+    return of_best(rows).join(small(half), "grp").select(*rows.columns, (F.col("d2") / scale).alias("d2"))
 
 
 def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -170,16 +191,21 @@ def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = s.save(df.select("*", failed.alias("base_failed"), *[v.cast("double").alias(f"x{i}") for i, v in enumerate(vector())]))
 
+    # each language and source is judged by the estimates of its own group, its language or all; a group has members from all that it covers
     sizes = s.save(stats.groupBy("pool", "own").agg(F.count("*").alias("n")))
-    large = s.save(sizes.where(F.col("n") >= LEAST_GROUP).select("own", F.col("own").alias("grp")))
-    pools = s.save(sizes.where(F.col("n") < LEAST_GROUP).groupBy("pool").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_GROUP).select("pool", F.col("pool").alias("grp2")))
+    enough = F.col("n") >= LEAST_GROUP
+    pools = s.save(sizes.groupBy("pool").agg(F.sum("n").alias("pool_n"), F.max(~enough).alias("asked")))
+    by_all = F.lit("")
+    grp = F.when(enough, F.col("own")).when(F.col("pool_n") >= LEAST_GROUP, F.col("pool")).otherwise(by_all)
+    all_asked = bool(pools.where(F.col("pool_n") < LEAST_GROUP).take(1))
+    of = F.array_compact(F.array(F.when(enough, F.col("own")), F.when(F.col("asked") & (F.col("pool_n") >= LEAST_GROUP), F.col("pool")), by_all if all_asked else F.lit(None)))
+    groups = s.save(sizes.join(pools.hint("merge"), "pool").select("own", grp.alias("grp"), of.alias("member_of")))
     rows = s.save(
-        stats.join(sized(large), "own", "left").join(sized(pools), "pool", "left").withColumn("grp", F.coalesce("grp", "grp2"))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "text_hash", "grp", *X)
+        stats.join(sized(groups, GROUPS), "own")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "text_hash", "grp", "member_of", *X)
     )
-    s.drop(stats, sizes, large, pools)
-    judged = robust_distances(s, rows.where("grp is not null"))
-    both = judged.unionByName(rows.where("grp is null").withColumn("d2", F.lit(0.0)))
+    s.drop(stats, sizes, pools, groups)
+    both = robust_distances(s, rows.drop("member_of"), rows.select(F.explode("member_of").alias("grp"), *X))
     return both.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("d2") <= chi2(P, Z_REJECT))).alias("kept"), F.col("d2").alias("distance2"), "text_hash",

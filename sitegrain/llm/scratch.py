@@ -14,6 +14,10 @@ from sitegrain.cluster import ship
 BROADCAST_ROWS = 500_000
 #: Rows in an Arrow batch sent to a Python worker: bounds a worker's memory where texts are long.
 ARROW_ROWS = 512
+#: A key is hot from this share of a table's rows on (so there are at most so many); its rows are dealt to SALTS tasks.
+HOT_SHARE, SALTS = 200, 64
+#: Rows of one key that a task takes in any case.
+FEW_ROWS = 100
 
 _own_dir: dict[str, str] = {}
 
@@ -25,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(_own_dir[app])
@@ -65,3 +71,20 @@ class Scratch:
 def sized(table: DataFrame, rows: int = BROADCAST_ROWS, otherwise: str = "merge") -> DataFrame:
     """``table`` (narrow, already written) hinted for a broadcast if it has at most ``rows`` rows, else for a shuffle."""
     return F.broadcast(table) if len(table.limit(rows + 1).groupBy().count().where(F.col("count") <= rows).take(1)) else table.hint(otherwise)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` (written) joined with ``right`` (at most one row a key), where one key may hold much of ``left``.
+
+    Rows of hot keys are salted, and what ``right`` has of these, at most HOT_SHARE rows, is repeated for each salt. The
+    result is the plain join's.
+    """
+    least = max(FEW_ROWS, left.count() // HOT_SHARE)
+    hot = [r[0] for r in left.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > least) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return left.join(right.hint("merge"), key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    salted = left.where(is_hot).withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+    every = right.where(is_hot).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rest = left.where(~is_hot).join(right.hint("merge"), key, how)
+    return rest.unionByName(salted.join(every.hint("merge"), [key, "salt"], how).drop("salt"))

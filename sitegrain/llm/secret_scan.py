@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitegrain.llm import vectors as V
 from sitegrain.llm.scratch import prepare
@@ -43,7 +44,7 @@ MORE_RULES = {
     "google": (r"AIza[A-Za-z0-9_-]{35}", 39, 0),
     "stripe": (r"[sr]k_live_[A-Za-z0-9]{16,}", 24, 0),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30, 0),
-    "private_key": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 0),
+    "private_key": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?", 0, 0),
 }
 RULES = BASE_RULES | MORE_RULES
 
@@ -207,9 +208,10 @@ def scan_documents(spark: SparkSession, docs: DataFrame, text_col: str = "text",
     """Every row of ``docs`` with its secrets in ``spans_col``, as array<struct<start, end, kind>> in code points."""
     prepare(spark)
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the names, they don't clash
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())])
+    schema = T.StructType([*named.schema.fields, T.StructField("spans", T.ArrayType(span))])
     run = _scan(rules, f"c{docs.columns.index(text_col)}")
-    return named.mapInArrow(run, f"{fields}, spans array<struct<start: long, end: long, kind: string>>").toDF(*docs.columns, spans_col)
+    return named.mapInArrow(run, schema).toDF(*docs.columns, spans_col)
 
 
 def redacted(text, spans):

@@ -27,3 +27,23 @@ def test_stages(spark, tmp_path):
     assert text.text.endswith("[assign]\"") and text.n_chars == len(text.text)
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == set(clean)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count() and tokenizer_path()
+
+
+def test_stages_keep_clashing_columns_and_different_texts_of_one_id(spark, tmp_path):
+    odd = ["id", "row", "_id", "_hash", "_spans", "found", "several", "own", "a.b"]
+    rows = [(1, prose(90, 8001)), (1, prose(90, 8002)), (2, prose(90, 8003)), (1, prose(90, 8001)), (None, prose(90, 8004)), (None, prose(90, 8004)), (3, prose(90, 8002) + " more"), (4, prose(60, 8005) + " token = abcdefgh12")]
+    rows += [(100 + i, prose(90, 8100 + i)) for i in range(80)]
+    columns = ", ".join(["doc_id long", "text string", "lang string", "source string", *(f"`{c}` string" for c in odd)])
+    docs = spark.createDataFrame([(*r, "en", "s", *odd) for r in rows], columns)
+    spark.createDataFrame([(1, prose(30, 9999))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), columns)
+        assert all(tuple(r)[4:] == tuple(odd) for r in docs.collect())
+    left = docs.collect()
+    few = [(r.doc_id, r.text[:8]) for r in left if r.doc_id is None or r.doc_id < 4]
+    assert sorted(few, key=str) == sorted([(1, prose(90, 8001)[:8]), (1, prose(90, 8002)[:8]), (2, prose(90, 8003)[:8]), (None, prose(90, 8004)[:8])], key=str)
+    assert len(left) == 85 and [r.text.split(" ")[-1] for r in left if r.doc_id == 4] == ["[assign]"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -44,9 +44,9 @@ CLASSES, PER_CLASS = 64, 64
 BUCKETS = 1024
 KNOWN = CLASSES * PER_CLASS - BUCKETS - 1
 FREQUENT = 1 << 18
-HIDDEN, EMBED = 32, 32
+HIDDEN, EMBED = 24, 24
 ROUNDS = 2
-LANES, WINDOW = 256, 32
+LANES, WINDOW, PART = 512, 32, 2048
 #: Tokens whose output is computed together in scoring.
 SCORE_TOKENS = 1 << 16
 #: The first round's rate; each one after it has half. The first WARM steps rise to it.
@@ -191,21 +191,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares and natural logs of their sums, computed in place."""
-    top = x.max(1, keepdims=True)
-    x -= top
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float | np.ndarray]:
+    """exp(x - shift) in place, its row sums and the shift, which is 0 where no row needs one."""
+    ones, shift = np.ones((x.shape[1], 1), np.float32), 0.0
+    low, high = (float(f.reduce(x, axis=None)) for f in (np.minimum, np.maximum))
+    if not (-80 < low and high < 80):
+        shift = x.max(1, keepdims=True)
+        x -= shift
     np.exp(x, out=x)
-    total = x.sum(1, keepdims=True)
+    return x, x @ ones, shift
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Shares, computed in place."""
+    x, total, _ = _exp(x)
     x /= total
-    return x, (np.log(total) + top)[:, 0]
+    return x
 
 
 def _log_total(x: np.ndarray) -> np.ndarray:
-    top = x.max(1, keepdims=True)
-    x -= top
-    np.exp(x, out=x)
-    return np.log(x.sum(1)) + top[:, 0]
+    _, total, shift = _exp(x)
+    return (np.log(total) + shift)[:, 0]
 
 
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +272,7 @@ class Trainer:
         s, y = states.reshape(-1, n)[at], target.ravel()[at]
         scale = np.float32(1 / max(1, len(at)))
         cls, word = y // PER_CLASS, y % PER_CLASS
-        d, _ = _softmax(s @ p["wc"] + p["bc"])
+        d = _softmax(s @ p["wc"] + p["bc"])
         d[np.arange(len(y)), cls] -= 1
         d *= scale
         grad["wc"][:], grad["bc"][:] = s.T @ d, d.sum(0)
@@ -275,7 +281,7 @@ class Trainer:
             i, j = cuts[k], cuts[k + 1]
             if i == j:
                 continue
-            e, _ = _softmax(s[i:j] @ p["ww"][k] + p["bw"][k])
+            e = _softmax(s[i:j] @ p["ww"][k] + p["bw"][k])
             e[np.arange(j - i), word[i:j]] -= 1
             e *= scale
             grad["ww"][k], grad["bw"][k] = s[i:j].T @ e, e.sum(0)
@@ -318,21 +324,28 @@ class Trainer:
         return h
 
     def run(self, docs: list[np.ndarray], start: int) -> int:
-        """Learn from token sequences (each ends with the end); ``start`` is what precedes a document. Returns the tokens."""
-        lanes: list[list[np.ndarray]] = [[] for _ in range(LANES)]
+        """Learn from token sequences (each ends with the end); ``start`` is what precedes a document. Returns the tokens.
+
+        A document of more than PART tokens is learned in parts, each from a zero state, so that lanes are of one length.
+        """
+        lanes: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(LANES)]
         shortest = [(0, i) for i in range(LANES)]
-        for d in sorted(docs, key=len, reverse=True):
+        parts = [(d[a - 1] if a else start, d[a : a + PART]) for d in docs for a in range(0, len(d), PART)]
+        for part in sorted(parts, key=lambda x: -len(x[1])):
             size, i = shortest[0]
-            lanes[i].append(d)
-            heapq.heapreplace(shortest, (size + len(d), i))
-        lanes = sorted((x for x in lanes if x), key=lambda x: -sum(map(len, x)))
-        size = np.array([sum(map(len, x)) for x in lanes])
+            lanes[i].append(part)
+            heapq.heapreplace(shortest, (size + len(part[1]), i))
+        total = lambda lane: sum(len(d) for _, d in lane)
+        lanes = sorted((x for x in lanes if x), key=total, reverse=True)
+        size = np.array([total(x) for x in lanes])
         head = np.cumsum(size) - size
-        target = np.concatenate([d for x in lanes for d in x])
+        target = np.concatenate([d for x in lanes for _, d in x])
+        lengths = np.array([len(d) for x in lanes for _, d in x])
+        first = np.cumsum(lengths) - lengths
         fresh = np.zeros(len(target), bool)
-        lengths = np.array([len(d) for x in lanes for d in x])
-        fresh[np.cumsum(lengths) - lengths] = True
-        ids = np.where(fresh, start, np.roll(target, 1))
+        fresh[first] = True
+        ids = np.roll(target, 1)
+        ids[first] = [before for x in lanes for before, _ in x]
         h = np.zeros((len(lanes), HIDDEN), np.float32)
         for a in range(0, int(size[0]), WINDOW):
             k = int(np.searchsorted(-size, -a))  # lanes longer than a

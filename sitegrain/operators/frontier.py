@@ -6,10 +6,10 @@ links at once and is checkpointed, so lineage stays short and a lost executor co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegrain.functions.urls import in_scope, normalize_url, url_identity, url_origin, url_path
+from sitegrain.functions.urls import canonical_transition, in_scope, normalize_url, url_identity, url_origin, url_path
 from sitegrain.operators.robots import robots_allowed
 
 REASONS = ("invalid_url", "out_of_scope", "duplicate", "depth_limit", "robots", "page_limit", "query_limit")
@@ -29,19 +29,20 @@ def cap_candidates(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
 def replay_crawl(store: DataFrame, seed: str, max_depth: int = 3, max_pages: int = 1000, max_variants: int = 100, prefix: str = "", rules: DataFrame | None = None, agent: str = "bot") -> tuple[DataFrame, DataFrame]:
     """(frontier, decisions) of a store (url, outgoing_links).
 
-    frontier: url, depth, state (``fetched`` where the store has the page, else ``missing``). decisions: url, depth, reason of every
-    skipped link, by the first reason that applies in the order of ``REASONS``. A skipped address is not remembered as seen.
+    frontier: url, depth, state (``fetched`` where the store has the page, else ``missing``). decisions: url, depth, reason, parent, link of every
+    skipped link, by the first reason that applies in the order of ``REASONS``; parent and link are its place in its level. A skipped address is
+    not remembered as seen. A page's position is the list of the places of the links that led to it, one for each level.
     """
     spark = store.sparkSession
     origin = url_origin(F.lit(seed))
     links = store.select(url_identity(F.col("url")).alias("url"), "outgoing_links")
-    level = spark.createDataFrame([(seed, 0)], "url string, pos long").select(normalize_url(F.col("url")).alias("url"), "pos", F.lit(0).alias("depth"))
+    level = spark.createDataFrame([(seed, [])], "url string, pos array<int>").select(normalize_url(F.col("url")).alias("url"), "pos", F.lit(0).alias("depth"))
     accepted, skipped, taken = level, None, 1
     for depth in range(1, max_depth + 2):
-        found = level.join(links, "url").select(F.col("pos").alias("parent"), F.posexplode("outgoing_links").alias("link", "raw"))
+        found = level.join(links.hint("merge"), "url").select(F.col("pos").alias("parent"), F.posexplode("outgoing_links").alias("link", "raw"))
         found = found.select("parent", "link", "raw", normalize_url(F.col("raw")).alias("to"))
         seen = accepted.select(F.col("url").alias("to"), F.lit(True).alias("seen"))
-        found = found.join(seen, "to", "left")
+        found = found.join(seen.hint("merge"), "to", "left")
         # the first of equal links of a level is the candidate; later ones are duplicates if it is accepted
         w = Window.partitionBy("to").orderBy("parent", "link")
         found = found.withColumn("again", F.row_number().over(w) > 1)
@@ -51,56 +52,102 @@ def replay_crawl(store: DataFrame, seed: str, max_depth: int = 3, max_pages: int
         found = found.withColumn("reason", early)
         if rules is not None:
             verdict = robots_allowed(found.where("reason is null").select(F.col("to").alias("url")).distinct(), rules, agent).select(F.col("url").alias("to"), "allowed")
-            found = found.join(verdict, "to", "left").withColumn("reason", F.when(F.col("reason").isNull() & ~F.coalesce("allowed", F.lit(True)), "robots").otherwise(F.col("reason")))
+            found = found.join(verdict.hint("merge"), "to", "left").withColumn("reason", F.when(F.col("reason").isNull() & ~F.coalesce("allowed", F.lit(True)), "robots").otherwise(F.col("reason")))
         found = found.checkpoint()
-        left = max_pages - taken
+        left = max(0, max_pages - taken)
         fresh = found.where("reason is null and not again").select(F.col("to").alias("url"), "parent", "link")
         known = accepted.groupBy(url_origin(F.col("url")).alias("o"), url_path(F.col("url")).alias("p")).agg(F.count("*").alias("have"))
-        fresh = fresh.withColumn("o", url_origin(F.col("url"))).withColumn("p", url_path(F.col("url"))).join(known, ["o", "p"], "left")
+        fresh = fresh.withColumn("o", url_origin(F.col("url"))).withColumn("p", url_path(F.col("url"))).join(known.hint("merge"), ["o", "p"], "left")
         nth = F.row_number().over(Window.partitionBy("o", "p").orderBy("parent", "link")) + F.coalesce("have", F.lit(0))
-        fresh = fresh.withColumn("fits", nth <= max_variants)
-        new = fresh.where("fits").orderBy("parent", "link").limit(max(0, left)).select("url", "parent", "link").withColumn("ok", F.lit(True)).checkpoint()
-        marked = found.join(new.select(F.col("url").alias("to"), "ok"), "to", "left").join(fresh.select(F.col("url").alias("to"), "fits"), "to", "left")
-        count = new.count()
-        full = count >= left
-        reason = (
-            F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("ok") & F.col("again"), "duplicate").when(F.col("ok"), None)
-            .when(~F.coalesce("fits", F.lit(True)) & F.lit(not full), "query_limit").otherwise("page_limit" if full else "query_limit")
-        )
-        dropped = marked.select(F.coalesce("to", "raw").alias("url"), F.lit(depth).alias("depth"), reason.alias("reason")).where("reason is not null").checkpoint()
+        new = fresh.withColumn("nth", nth).where(F.col("nth") <= max_variants).select("url", "parent", "link").orderBy("parent", "link").limit(left)
+        level = new.select("url", F.array_append("parent", F.col("link")).alias("pos"), F.lit(depth).alias("depth")).checkpoint()
+        count = level.count()
+        # the budget is full after the link that took its last place; what comes later is not tried for its variants
+        full = F.lit(left == 0)
+        if count and count >= left:
+            last = level.agg(F.max("pos").alias("at")).first().at
+            full = F.array_append("parent", F.col("link")) > F.array(*[F.lit(x) for x in last])
+        marked = found.join(level.select(F.col("url").alias("to"), F.lit(True).alias("ok")).hint("merge"), "to", "left")
+        reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("ok"), F.when(F.col("again"), "duplicate")).when(full, "page_limit").otherwise("query_limit")
+        dropped = marked.select(F.coalesce("to", "raw").alias("url"), F.lit(depth).alias("depth"), reason.alias("reason"), "parent", "link").where("reason is not null")
         skipped = dropped if skipped is None else skipped.unionByName(dropped)
         if not count:
             break
-        numbered = new.select("url", F.struct("parent", "link").alias("at"))
-        level = numbered.select("url", (F.col("at.parent") * 100_000 + F.col("at.link")).alias("pos"), F.lit(depth).alias("depth")).checkpoint()
         accepted, taken = accepted.unionByName(level), taken + count
     have = links.select("url").distinct().withColumn("state", F.lit("fetched"))
-    frontier = accepted.select("url", "depth").join(have, "url", "left").withColumn("state", F.coalesce("state", F.lit("missing")))
+    frontier = accepted.select("url", "depth").join(have.hint("merge"), "url", "left").withColumn("state", F.coalesce("state", F.lit("missing")))
     return frontier, skipped
 
 
 def skip_counts(decisions: DataFrame) -> DataFrame:
+    """Encounters of each reason, not distinct addresses."""
     return decisions.groupBy("reason").agg(F.count("*").alias("count"))
 
 
-def resolve_redirects(responses: DataFrame, max_hops: int = 5) -> DataFrame:
+def robots_excluded(decisions: DataFrame, most: int = 1000) -> DataFrame:
+    """The first ``most`` links that robots rules excluded, in the order in which they were met."""
+    return decisions.where("reason = 'robots'").orderBy("depth", "parent", "link").limit(most).select("url")
+
+
+def frontier_links(raw: Column, rendered: Column, most: int = 2000) -> Column:
+    """The links that a rendered page puts to the frontier: its own, then those of the raw page, each once, in order."""
+    return F.slice(F.array_distinct(F.concat(F.coalesce(rendered, F.array().cast("array<string>")), F.coalesce(raw, F.array().cast("array<string>")))), 1, most)
+
+
+REDIRECTS = (301, 302, 303, 307, 308)
+
+
+def _steps(responses: DataFrame) -> DataFrame:
+    """(url, to, more): where each captured redirect leads."""
+    step = responses.where(F.col("status").isin(*REDIRECTS)).select("url", F.col("location").alias("to")).dropDuplicates(["url"])
+    return step.withColumn("more", F.lit(True)).hint("merge")
+
+
+def resolve_redirects(responses: DataFrame, max_hops: int = 5, rules: DataFrame | None = None, agent: str = "bot") -> DataFrame:
     """(requested_url, url, hops, error) of responses (url, status, location): each followed over at most ``max_hops`` captured redirects.
 
-    Errors: ``loop``, ``missing-location``, ``out-of-scope`` (another origin) and ``too-many``. Hops are self-joins; finished chains
-    leave the join.
+    Errors: ``loop``, ``missing-location``, ``out-of-scope`` (another origin), ``robots`` (a target that ``rules`` exclude) and ``too-many``. Hops are
+    self-joins; finished chains leave the join.
     """
-    is_redirect = F.col("status").isin(301, 302, 303, 307, 308)
-    step = responses.where(is_redirect).select(F.col("url").alias("url"), F.col("location").alias("to")).dropDuplicates(["url"])
+    step = _steps(responses)
     going = responses.select(F.col("url").alias("requested_url"), "url", F.array("url").alias("visited"), F.lit(0).alias("hops"))
     done = None
     for _ in range(max_hops + 1):
-        at = going.join(step.withColumn("more", F.lit(True)), "url", "left")
+        at = going.join(step, "url", "left").withColumn("allowed", F.lit(True))
+        if rules is not None:
+            verdict = robots_allowed(at.where("to is not null").select(F.col("to").alias("url")).distinct(), rules, agent)
+            at = at.drop("allowed").join(verdict.select(F.col("url").alias("to"), "allowed").hint("merge"), "to", "left")
         error = (
             F.when(F.col("to").isNull(), "missing-location").when(F.array_contains("visited", F.col("to")), "loop")
-            .when(url_origin(F.col("to")) != url_origin(F.col("requested_url")), "out-of-scope").when(F.col("hops") >= max_hops, "too-many")
+            .when(url_origin(F.col("to")) != url_origin(F.col("requested_url")), "out-of-scope").when(~F.coalesce("allowed", F.lit(True)), "robots").when(F.col("hops") >= max_hops, "too-many")
         )
         at = at.withColumn("error", F.when(F.col("more"), error)).checkpoint()
         ended = at.where("more is null or error is not null").select("requested_url", "url", "hops", "error")
         done = ended if done is None else done.unionByName(ended)
         going = at.where("more and error is null").select("requested_url", F.col("to").alias("url"), F.array_append("visited", F.col("to")).alias("visited"), (F.col("hops") + 1).alias("hops"))
     return done
+
+
+def redirect_duplicates(resolved: DataFrame, order: DataFrame) -> DataFrame:
+    """(requested_url, url): requests, in the order (requested_url, ord), that end at an address which an earlier one reached."""
+    ends = resolved.where("error is null").join(order.hint("merge"), "requested_url")
+    first = ends.groupBy("url").agg(F.min("ord").alias("first"))
+    return ends.join(first.hint("merge"), "url").where("ord > first").select("requested_url", "url")
+
+
+def effective_start(responses: DataFrame, seeds: DataFrame, prefix: str = "", max_hops: int = 5) -> DataFrame:
+    """(seed, effective_start_url, error) of seeds (url): redirects are followed within an origin, and to another one only
+    by a canonical transition, which moves the scope there. The effective address is the last one that moved it, else the seed."""
+    step = _steps(responses)
+    going = seeds.select(F.col("url").alias("seed"), "url", F.col("url").alias("effective_start_url"), F.lit(0).alias("hops"))
+    done = None
+    for _ in range(max_hops + 1):
+        at = going.join(step, "url", "left")
+        to, url = F.col("to"), F.col("url")
+        moves = (url_origin(to) != url_origin(url)) & canonical_transition(url, to) & in_scope(to, url_origin(to), F.lit(prefix))
+        error = F.when(to.isNull(), "missing-location").when(~in_scope(to, url_origin(url), F.lit(prefix)) & ~moves, "out-of-scope").when(F.col("hops") >= max_hops, "too-many")
+        at = at.withColumn("moves", moves).withColumn("error", F.when(F.col("more"), error)).checkpoint()
+        ended = at.where("more is null or error is not null").select("seed", "effective_start_url", "error")
+        done = ended if done is None else done.unionByName(ended)
+        going = at.where("more and error is null").select("seed", F.col("to").alias("url"), F.when(F.col("moves"), F.col("to")).otherwise(F.col("effective_start_url")).alias("effective_start_url"), (F.col("hops") + 1).alias("hops"))
+    return done

@@ -40,17 +40,26 @@ def known_urls(pages: DataFrame, errors: DataFrame, edge_rows: DataFrame, sitema
 
 
 def nodes(pages: DataFrame, errors: DataFrame, edge_rows: DataFrame, sitemap: DataFrame, root: str) -> DataFrame:
-    """Known addresses with path, group, degrees, and what sitemaps say."""
+    """Known addresses with path, group, degrees, how a page was rendered (null for other addresses), and what sitemaps say.
+
+    A page that only a sitemap led to has no depth (-1).
+    """
     table = aliases(pages)
     known = known_urls(pages, errors, edge_rows, sitemap, root)
+    method = F.col("method") if "method" in pages.columns else F.lit(None).cast("string")
+    by_sitemap = (F.col("discovery") == "sitemap") if "discovery" in pages.columns else F.lit(False)
+    own = pages.select(url_identity(F.col("url")).alias("id"), "capture_seq", F.coalesce(method, F.lit("http")).alias("rendering"), F.coalesce(by_sitemap, F.lit(False)).alias("by_sitemap"))
+    # of several captures of an address the last gives the rendering, and any of them that it came from a sitemap
+    own = own.groupBy("id").agg(F.max_by("rendering", "capture_seq").alias("rendering"), F.max("by_sitemap").alias("by_sitemap"))
     listed = resolve_alias(sitemap.select(F.col("url").alias("id")), "id", table).distinct().withColumn("sitemap", F.lit(True))
     is_root = F.col("id") == url_identity(F.lit(root))
-    out = known.join(degrees(edge_rows), "id", "left").join(listed, "id", "left")
+    out = known.join(degrees(edge_rows).hint("merge"), "id", "left").join(listed.hint("merge"), "id", "left").join(own.hint("merge"), "id", "left")
+    unknown = F.lit(-1).cast("long")
     inbound = F.coalesce("inbound", F.lit(0))
     return out.select(
         "id", F.coalesce(path_label(F.col("id")), "id").alias("path"), F.when(F.col("state") == "external", "external").otherwise(path_group(F.col("id"))).alias("group"),
-        "state", F.coalesce("depth", F.lit(-1).cast("long")).alias("depth"), "status", "title", inbound.cast("long").alias("inbound"), F.coalesce("outbound", F.lit(0)).cast("long").alias("outbound"),
-        is_root.alias("root"), F.coalesce("sitemap", F.lit(False)).alias("sitemap"), (F.coalesce("sitemap", F.lit(False)) & (inbound == 0) & ~is_root).alias("sitemap_only"),
+        "state", F.when(F.col("by_sitemap"), unknown).otherwise(F.coalesce("depth", unknown)).alias("depth"), "status", "title", inbound.cast("long").alias("inbound"), F.coalesce("outbound", F.lit(0)).cast("long").alias("outbound"),
+        is_root.alias("root"), "rendering", F.coalesce("sitemap", F.lit(False)).alias("sitemap"), (F.coalesce("sitemap", F.lit(False)) & (inbound == 0) & ~is_root).alias("sitemap_only"),
     )
 
 
@@ -65,13 +74,27 @@ def top_hubs(node_rows: DataFrame, n: int = 6) -> DataFrame:
     return node_rows.where("state = 'page'").orderBy(F.desc("inbound"), "id").limit(n)
 
 
-def filter_nodes(node_rows: DataFrame, states: list[str], group: str = "", query: str = "", sitemap_only: bool = False) -> DataFrame:
+def filter_nodes(node_rows: DataFrame, states: list[str], group: str = "", query: str = "", sitemap_only: bool = False, rendering: str = "", focus: str = "", edge_rows: DataFrame | None = None) -> DataFrame:
+    """By state, rendering, membership of sitemaps only, group, text in address or title, and nearness to a node (which needs the edges)."""
     out = node_rows.where(F.col("state").isin(*states))
+    out = out.where(F.col("rendering") == rendering) if rendering else out
+    out = out.join(neighbourhood(edge_rows, focus).hint("merge"), "id", "left_semi") if focus else out
     out = out.where(F.col("group") == group) if group else out
     out = out.where("sitemap_only") if sitemap_only else out
     return out.where(F.lower(F.concat_ws(" ", "id", "title")).contains(query.lower())) if query else out
 
 
+def filter_paths(node_rows: DataFrame, query: str = "", pages_only: bool = True) -> DataFrame:
+    """Nodes of the path tree: none of other sites, with or without those that are no pages, by text in address or title."""
+    out = node_rows.where("state = 'page'" if pages_only else "state != 'external'")
+    return out.where(F.lower(F.concat_ws(" ", "id", "title")).contains(query.lower())) if query else out
+
+
+def top_groups(counts: DataFrame, n: int = 9) -> DataFrame:
+    """The first bars of a distribution (name, count): most first, then by name."""
+    return counts.orderBy(F.desc("count"), "name").limit(n)
+
+
 def graph_subset(node_rows: DataFrame, edge_rows: DataFrame, focus: str = "", limit: int = 500, most_edges: int = 3000) -> tuple[DataFrame, DataFrame]:
     """The ``limit`` first nodes by focus, root, inbound and id, and the first edges among them but for self-edges."""
     near = node_rows.join(neighbourhood(edge_rows, focus), "id", "left_semi") if focus else node_rows
@@ -134,6 +157,6 @@ def neighbours_in_order(pages: DataFrame, order: list[str]) -> DataFrame:
     numbered = number_rows(pages.select("url", *[c for c in order if c != "url"]), order)
     side = lambda shift, name: numbered.select((F.col("ord") + shift).alias("ord"), F.col("url").alias(name))
     total = numbered.agg(F.count("*").alias("total"))
-    return numbered.join(side(1, "previous"), "ord", "left").join(side(-1, "next"), "ord", "left").join(F.broadcast(total)).select("url", "previous", "next", (F.col("ord") + 1).alias("position"), "total")
+    return numbered.join(side(1, "previous"), "ord", "left").join(side(-1, "next"), "ord", "left").crossJoin(F.broadcast(total)).select("url", "previous", "next", (F.col("ord") + 1).alias("position"), "total")
 
 

@@ -22,16 +22,16 @@ def aliases(pages: DataFrame) -> DataFrame:
 def resolve_alias(df: DataFrame, col: str, table: DataFrame) -> DataFrame:
     """``col`` as an identity: its page's final address where there is one, else its own."""
     own = df.withColumn("_id", url_identity(F.col(col)))
-    return own.join(table.withColumnRenamed("alias", "_id"), "_id", "left").withColumn(col, F.coalesce("identity", "_id")).drop("_id", "identity")
+    return own.join(table.withColumnRenamed("alias", "_id").hint("merge"), "_id", "left").withColumn(col, F.coalesce("identity", "_id")).drop("_id", "identity")
 
 
-def page_links(parsed: DataFrame, most: int = 2000) -> DataFrame:
-    """url with its distinct links in order, cut to ``most`` and split by origin, and how many were cut."""
+def page_links(parsed: DataFrame, most: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """url (and the columns ``keep``) with its distinct links in order, cut to ``most`` and split by origin, and how many were cut."""
     every = F.col("doc.outgoing_links")
     kept = F.slice(every, 1, most)
     origin = url_origin(F.col("url"))
     return parsed.select(
-        "url", kept.alias("outgoing_links"),
+        "url", *keep, kept.alias("outgoing_links"),
         F.filter(kept, lambda u: url_origin(u) == origin).alias("internal_links"), F.filter(kept, lambda u: url_origin(u) != origin).alias("external_links"),
         F.greatest(F.size(every) - most, F.lit(0)).alias("link_limit"),
     )
@@ -57,9 +57,9 @@ def link_status(links: DataFrame, pages: DataFrame, errors: DataFrame) -> DataFr
     captured = known.select("destination", F.when(redirect, "Redirect").otherwise(F.col("status_code").cast("string")).alias("captured"))
     failed = last_per_key(errors.select(F.col("url").alias("destination"), "kind", "status_code", "error_seq"), ["destination"], "error_seq")
     failed = failed.select("destination", F.coalesce(F.col("status_code").cast("string"), "kind").alias("failed"))
-    statuses = links.select("destination").distinct().join(captured, "destination", "left").join(failed, "destination", "left")
+    statuses = links.select("destination").distinct().join(captured.hint("merge"), "destination", "left").join(failed.hint("merge"), "destination", "left")
     statuses = statuses.select("destination", F.coalesce("captured", "failed", F.lit("Not crawled")).alias("status"))
-    return links.join(statuses, "destination", "left")
+    return links.join(statuses.hint("merge"), "destination", "left")
 
 
 def dataset_links(pages: DataFrame, errors: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def dataset_links(pages: DataFrame, errors: DataFrame) -> DataFrame:
 def final_failures(errors: DataFrame, pages: DataFrame) -> DataFrame:
     """(identity, status_code): page errors of 400 to 599 whose address no capture has; the last of each."""
     own = errors.where("(stage is null or stage in ('', 'page')) and status_code between 400 and 599").select(url_identity(F.col("url")).alias("alias"), "status_code", "error_seq")
-    left = own.join(aliases(pages), "alias", "left_anti")
+    left = own.join(aliases(pages).hint("merge"), "alias", "left_anti")
     return last_per_key(left.withColumnRenamed("alias", "identity"), ["identity"], "error_seq").select("identity", "status_code")
 
 
@@ -98,7 +98,7 @@ def inlinks(pages: DataFrame, url: str) -> DataFrame:
 
 def sample_failures(pages: DataFrame, errors: DataFrame, n: int = 5) -> DataFrame:
     """Per page: how many distinct internal destinations failed, the first ``n`` of them as text, and whether there are more."""
-    hit = internal_targets(pages).join(final_failures(errors, pages).withColumnRenamed("identity", "target"), "target")
+    hit = internal_targets(pages).join(final_failures(errors, pages).withColumnRenamed("identity", "target").hint("merge"), "target")
     w = Window.partitionBy("capture_seq", "url").orderBy("pos")
     first = hit.withColumn("k", F.row_number().over(w))
     shown = F.sort_array(F.collect_list(F.when(F.col("k") <= n, F.struct("k", F.concat(F.lit("HTTP "), "status_code", F.lit(": "), "target").alias("t")))))

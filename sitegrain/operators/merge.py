@@ -37,8 +37,8 @@ def merge_contexts(pages: DataFrame, contexts: DataFrame) -> DataFrame:
 def image_dims(images: DataFrame, dims: DataFrame) -> DataFrame:
     """Images (page, pos, candidates) with the first measured size (page, n, url, width, height) of any of their addresses."""
     shown = images.select("page", "pos", F.explode("candidates").alias("url"))
-    hit = shown.join(dims, ["page", "url"]).groupBy("page", "pos").agg(F.min_by(F.struct(F.col("width").alias("rendered_width"), F.col("height").alias("rendered_height")), "n").alias("d"))
-    return images.join(hit.select("page", "pos", "d.*"), ["page", "pos"], "left")
+    hit = shown.join(dims.hint("merge"), ["page", "url"]).groupBy("page", "pos").agg(F.min_by(F.struct(F.col("width").alias("rendered_width"), F.col("height").alias("rendered_height")), "n").alias("d"))
+    return images.join(hit.select("page", "pos", "d.*").hint("merge"), ["page", "pos"], "left")
 
 
 def with_evidence(pages: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -48,16 +48,36 @@ def with_evidence(pages: DataFrame, evidence: DataFrame) -> DataFrame:
 def recorded_images(urls: DataFrame, images: DataFrame, plain: DataFrame) -> DataFrame:
     """Addresses (url) that a run has as an image: a candidate of an element (candidates) or a plain one (image)."""
     known = images.select(F.explode("candidates").alias("url")).union(plain.select(F.col("image").alias("url"))).distinct()
-    return urls.join(known, "url", "left_semi")
+    return urls.join(known.hint("merge"), "url", "left_semi")
 
 
-def run_summary(pages: DataFrame, errors: DataFrame, scheduled: int | None = None) -> DataFrame:
-    """One row: pages, failures, distinct internal and external links and images. Each distinct count is an aggregation of its own exploded column."""
-    distinct = lambda c: pages.select(F.explode(c).alias("u")).distinct().agg(F.count("*").alias(c))
-    out = pages.agg(F.count("*").alias("pages")).join(errors.agg(F.count("*").alias("failed")))
-    for c in ("internal_links", "external_links", "image_urls"):
-        out = out.join(distinct(c)) if c in pages.columns else out
-    return out if scheduled is None else out.withColumn("scheduled", F.lit(scheduled))
+def run_summary(pages: DataFrame, errors: DataFrame, frontier: DataFrame | None = None, decisions: DataFrame | None = None, stopped: bool = False) -> DataFrame:
+    """One row: pages, failures, distinct internal and external links and images; with a frontier also ``scheduled``, with decisions
+    ``limit_reached`` (whether the page limit refused a link), and ``stopped``.
+
+    Addresses are made distinct by a shuffle each, and all is counted in one partial aggregation.
+    """
+    lists = [c for c in ("internal_links", "external_links", "image_urls") if c in pages.columns]
+    parts = [pages.select(F.explode(c).alias("u")).distinct().select(F.lit(c).alias("what")) for c in lists]
+    parts += [pages.select(F.lit("pages").alias("what")), errors.select(F.lit("failed").alias("what"))]
+    if frontier is not None:
+        parts.append(frontier.select(F.lit("scheduled").alias("what")))
+    if decisions is not None:
+        parts.append(decisions.where("reason = 'page_limit'").select(F.lit("limit").alias("what")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    of = lambda c: F.count_if(F.col("what") == c)
+    out = [of("pages").alias("pages"), of("failed").alias("failed"), *[of(c).alias(c) for c in lists]]
+    out += [of("scheduled").alias("scheduled"), F.lit(stopped).alias("stopped")] if frontier is not None else []
+    out += [(of("limit") > 0).alias("limit_reached")] if decisions is not None else []
+    return rows.agg(*out)
+
+
+def mean_rate(runs: DataFrame) -> DataFrame:
+    """``runs`` (requests, duration_ms, ...) with ``mean_rate``: requests a second, over a second at least, to a tenth."""
+    seconds = F.greatest(F.lit(1.0), F.coalesce("duration_ms", F.lit(0)) / 1000)
+    return runs.withColumn("mean_rate", F.floor(F.coalesce("requests", F.lit(0)) / seconds * 10 + 0.5) / 10)
 
 
 def telemetry(frontier: DataFrame, pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitegrain.functions.urls import normalize_url, url_origin, url_path
 
 LONGEST_RULE = 4096
+TOO_LONG = "robots.txt rule exceeds the supported length"
 
 
 def octets(c: Column) -> Column:
@@ -27,7 +28,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     """(origin, grp, agent, allow, pattern, end, length, delay_ms) of texts (origin, text): one row per agent and rule; a null pattern stands for an agent without rules.
 
     Consecutive agent lines share a group. ``length`` counts no ``*`` and an escape as one. A rule that is too
-    long fails the job, as it may not be ignored.
+    long may not be ignored: its pattern is null and ``error`` says so, and ``robots_allowed`` allows nothing of its origin.
     """
     lines = robots.select("origin", F.posexplode(F.split(F.regexp_replace("text", "^\\x{FEFF}", ""), "\r?\n")).alias("pos", "raw"))
     line = F.btrim(F.split_part("raw", F.lit("#"), F.lit(1)))
@@ -40,11 +41,12 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     agents = kv.where("key = 'user-agent'").select("origin", "grp", F.lower("value").alias("agent")).distinct()
     delay = kv.where(r"key = 'crawl-delay' and value rlike '^\\d+(\\.\\d+)?$'").groupBy("origin", "grp").agg(F.max(F.col("value").cast("double") * 1000).cast("long").alias("delay_ms"))
     rules = kv.where("key in ('allow', 'disallow') and startswith(value, '/')").select("origin", "grp", "pos", (F.col("key") == "allow").alias("allow"), octets(F.col("value")).alias("rule"))
-    rules = rules.withColumn("rule", F.when(F.length("rule") > LONGEST_RULE, F.raise_error(F.lit("robots.txt rule exceeds the supported length"))).otherwise(F.col("rule")))
+    long = F.length("rule") > LONGEST_RULE
+    rules = rules.withColumn("error", F.when(long, TOO_LONG)).withColumn("rule", F.when(~long, F.col("rule")))
     end = F.col("rule").endswith("$")
-    rules = rules.select("origin", "grp", "allow", F.when(end, F.expr("left(rule, length(rule) - 1)")).otherwise(F.col("rule")).alias("pattern"), end.alias("end"))
+    rules = rules.select("origin", "grp", "error", "allow", F.when(end, F.expr("left(rule, length(rule) - 1)")).otherwise(F.col("rule")).alias("pattern"), end.alias("end"))
     rules = rules.withColumn("length", F.length(F.regexp_replace(F.replace("pattern", F.lit("*"), F.lit("")), "%[0-9A-Fa-f]{2}", "x")))
-    return agents.join(rules, ["origin", "grp"], "left").join(delay, ["origin", "grp"], "left").withColumn("delay_ms", F.coalesce("delay_ms", F.lit(0)).cast("long"))
+    return agents.join(rules.hint("merge"), ["origin", "grp"], "left").join(delay.hint("merge"), ["origin", "grp"], "left").withColumn("delay_ms", F.coalesce("delay_ms", F.lit(0)).cast("long"))
 
 
 def best_groups(rules: DataFrame, agent: str) -> DataFrame:
@@ -55,20 +57,34 @@ def best_groups(rules: DataFrame, agent: str) -> DataFrame:
     return scored.withColumn("rank", F.rank().over(Window.partitionBy("origin").orderBy(F.desc("score")))).where("rank = 1").drop("rank", "score")
 
 
-def pattern_regex(pattern: Column, end: Column) -> Column:
-    """A rule's pattern as an anchored regex: ``*`` for anything, all else literal."""
-    literal = F.regexp_replace(pattern, r"([\\.\[\]{}()+?^$|])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(literal, F.lit("*"), F.lit(".*")), F.when(end, "$").otherwise(""))
+def pattern_matches(path: str, pattern: str, end: str) -> Column:
+    """Whether a path (columns by name) starts with a rule's pattern: ``*`` for anything, all else literal; to its end if ``end``.
+
+    The pieces between ``*`` are sought from left to right, each at its first place after the one before, so the work is
+    bounded by the lengths, whatever the pattern.
+    """
+    parts = f"split({pattern}, '[*]', -1)"
+    head, last = f"element_at({parts}, 1)", f"element_at({parts}, -1)"
+    inner = f"filter(slice({parts}, 2, greatest(size({parts}) - 2, 0)), p -> p != '')"
+    # the place after what was matched; 0 where a piece is missing
+    after = f"aggregate({inner}, if(startswith({path}, {head}), length({head}) + 1, 0), (at, p) -> if(at = 0 or locate(p, {path}, at) = 0, 0, locate(p, {path}, at) + length(p)))"
+    tail = f"if({end}, endswith({path}, {last}) and length({path}) - length({last}) + 1 >= {after}, {last} = '' or locate({last}, {path}, {after}) > 0)"
+    one = f"startswith({path}, {head}) and (not {end} or length({path}) = length({head}))"
+    return F.expr(f"case when size({parts}) = 1 then {one} else {after} > 0 and {tail} end")
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """``urls`` (url, ...) with ``allowed``: by the longest matching rule of its origin, allow before disallow; allowed without one.
 
-    Distinct paths are joined with their origin's rules, and the pattern is a condition of that equi-join.
+    Distinct paths are joined with their origin's rules, and the pattern is a condition of that equi-join. Nothing of an origin whose rules have
+    an error is allowed.
     """
-    own = best_groups(rules, agent).where("pattern is not null").select("origin", "allow", "length", pattern_regex(F.col("pattern"), F.col("end")).alias("regex"))
+    best = best_groups(rules, agent)
+    own = best.where("pattern is not null").select("origin", "allow", "length", "pattern", F.col("end").alias("to_end"))
+    broken = rules.where("error is not null").select("origin").distinct().withColumn("broken", F.lit(True))
     query = F.regexp_extract(normalize_url(F.col("url")), r"(\?[^#]*)", 1)
     asked = urls.select("url").distinct().select("url", url_origin(F.col("url")).alias("origin"), octets(F.concat(url_path(F.col("url")), query)).alias("path"))
-    hit = asked.join(own, "origin").where(F.expr("path rlike regex"))
+    hit = asked.join(own.hint("merge"), "origin").where(pattern_matches("path", "pattern", "to_end"))
     verdict = hit.groupBy("url").agg(F.max_by("allow", F.struct("length", "allow")).alias("allow"))
-    return urls.join(verdict, "url", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    out = urls.withColumn("origin_", url_origin(F.col("url"))).join(verdict.hint("merge"), "url", "left").join(broken.withColumnRenamed("origin", "origin_").hint("merge"), "origin_", "left")
+    return out.withColumn("allowed", F.coalesce("allow", F.lit(True)) & F.col("broken").isNull()).drop("allow", "broken", "origin_")

@@ -125,7 +125,7 @@ def filter_elements(cat: DataFrame, query: str = "", source: str = "", kind: str
 
 
 def _ordered(value: str, *by: str) -> Column:
-    """Distinct values in their first order."""
+    """Distinct values in their first order. A row's list is as long as its entry has values; ``catalogue_sources`` is the same as a table."""
     pairs = F.array_sort(F.collect_list(F.struct(*by, F.col(value).alias("v"))))
     return F.array_distinct(F.transform(pairs, lambda p: p["v"]))
 
@@ -216,9 +216,12 @@ def source_line_diff(pairs: DataFrame, most_lines: int = 300, most_chars: int =
     return both.select("id", "line", F.least("a", "b").alias("same"), F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("added"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("removed"))
 
 
-def render_totals(network: DataFrame) -> DataFrame:
-    """Requests, errors and body bytes (not those reused) of each page."""
+def render_totals(network: DataFrame, console: DataFrame | None = None) -> DataFrame:
+    """Requests, errors and body bytes (not those reused) of each page; with console entries (url, ...) also how many it has."""
     bad = F.col("error").isNotNull() | (F.coalesce("status", F.lit(0)) >= 400)
+    if console is not None:
+        entries = console.groupBy("url").agg(F.count("*").alias("console_entries"))
+        return render_totals(network).join(entries.hint("merge"), "url", "full_outer").na.fill(0, ["requests", "errors", "bytes", "console_entries"])
     return network.groupBy("url").agg(F.count("*").alias("requests"), F.count_if(bad).alias("errors"), F.coalesce(F.sum(F.when(~F.col("cached"), F.col("body_bytes"))), F.lit(0)).cast("long").alias("bytes"))
 
 
@@ -270,3 +273,55 @@ def upper_median(df: DataFrame, col: str) -> DataFrame:
     known = df.where(F.col(col).isNotNull()).select(col)
     n = known.count()
     return known.orderBy(col).offset(n // 2).limit(1).withColumnRenamed(col, "median")
+
+
+def depth_counts(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("depth").agg(F.count("*").alias("count"))
+
+
+def insight_totals(pages: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """One row: total bytes, the upper median of durations (0 without pages) and how many images of a catalogue lack an alt anywhere.
+
+    The median is the first of the values from rank n div 2 on: an exact discrete percentile, aggregated by distinct values.
+    """
+    own = pages.agg(F.coalesce(F.sum("content_bytes"), F.lit(0)).cast("long").alias("bytes"), F.count("duration_ms").alias("n"))
+    ranked = pages.where("duration_ms is not null").groupBy("duration_ms").agg(F.count("*").alias("k"))
+    ranked = ranked.select("duration_ms", F.sum("k").over(Window.orderBy("duration_ms")).alias("upto"))
+    n = F.broadcast(own.select("n"))
+    median = ranked.crossJoin(n).where("upto > n div 2").agg(F.coalesce(F.min("duration_ms"), F.lit(0)).cast("long").alias("median_ms"))
+    missing = catalogue.agg(F.count_if(F.col("missing") > 0).alias("images_missing_alt"))
+    return own.select("bytes").crossJoin(F.broadcast(median)).crossJoin(F.broadcast(missing))
+
+
+def capture_quality(pages: DataFrame) -> DataFrame:
+    """One row: pages without an element inventory, and those whose inventory was cut (elements: a struct with ``truncated``)."""
+    return pages.agg(F.count_if(F.col("elements").isNull()).alias("legacy_pages"), F.count_if(F.coalesce("elements.truncated", F.lit(False))).alias("truncated_pages"))
+
+
+def dataset_javascript(pages: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """The rendering table of pages (url, word_count, rendering: null or struct<method, status, settled, failure, reasons, console_errors, network_errors>)
+    and comparisons as ``compare_rendering`` makes them. Unknown numbers are null."""
+    r = lambda c: F.col(f"rendering.{c}")
+    both = pages.join(comparisons.hint("merge"), "url", "left")
+    reasons = F.when(F.col("rendering").isNotNull(), F.array_join(F.coalesce(r("reasons"), F.array().cast("array<string>")), "; ")).otherwise("Saved before rendering analysis")
+    return both.select(
+        F.col("url").alias("URL"), F.upper(F.coalesce(r("method"), F.lit("http"))).alias("Method"), F.coalesce(r("status"), F.lit("Legacy HTTP")).alias("State"),
+        F.coalesce("raw_words", F.col("word_count").cast("long")).alias("Raw words"), F.col("rendered_words").alias("Rendered words"), F.col("word_delta").alias("Word change"), F.col("added_text_percent").alias("Added text estimate %"),
+        F.coalesce(F.size("added_links"), F.lit(0)).alias("JS links"), F.coalesce(F.size("metadata_changes"), F.lit(0)).alias("Metadata changes"),
+        F.coalesce(r("console_errors"), F.lit(0)).alias("Console entries"), F.coalesce(r("network_errors"), F.lit(0)).alias("Resource errors"),
+        F.coalesce(r("settled"), F.lit("")).alias("Settle state"), F.coalesce(r("failure"), reasons).alias("Reason"),
+    )
+
+
+def dataset_robots(excluded: DataFrame) -> DataFrame:
+    """The robots table of excluded encounters (url)."""
+    return excluded.select(F.col("url").alias("URL"), F.lit("Disallowed by applicable robots policy").alias("Reason"))
+
+
+def sort_catalogue(catalogue: DataFrame) -> DataFrame:
+    return catalogue.orderBy("url", *[c for c in ("kind", "text") if c in catalogue.columns])
+
+
+def catalogue_sources(rows: DataFrame, keys: list[str], source: str) -> DataFrame:
+    """One row per catalogue entry (``keys``) and source page with its first capture: the whole list, however long, as a table."""
+    return rows.groupBy(*keys, source).agg(F.min("capture_seq").alias("capture_seq"))

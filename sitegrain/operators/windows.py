@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,22 +41,39 @@ def number_rows(df: DataFrame, order: list[str], name: str = "ord", limit: int |
 
 
 def running_budget(df: DataFrame, size: str, limit: int, keys: list[str], order: list[str], skip: bool = False) -> DataFrame:
-    """Rows within a budget of bytes per key. Without ``skip`` all rows from the first overflow on are dropped; with it only those that do not fit."""
+    """Rows within a budget of bytes per key. Without ``skip`` all rows from the first overflow on are dropped; with it only those that do not fit.
+
+    With ``skip``, ``order`` tells a key's rows apart.
+    """
     if not skip:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn("_sum", F.sum(size).over(w)).where(F.col("_sum") <= limit).drop("_sum")
-    row = F.struct(*order, F.col(size).alias("_size"), F.struct("*").alias("_row"))
-    fits = lambda a, x: a["used"] + x["_size"] <= limit
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{df.select(F.struct('*').alias('r')).schema['r'].dataType.simpleString()}>").alias("rows"))
-    step = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["_size"]).cast("long").alias("used"), F.concat(a["rows"], F.array(x["_row"])).alias("rows"))).otherwise(a)
-    kept = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_all")).select(F.explode(F.aggregate("_all", start, step, lambda a: a["rows"])).alias("_r"))
-    return kept.select("_r.*")
+    # what fits depends on all that went before: one pass over each key's sorted sizes, which carry no payload and are not held
+    narrow = df.select(*keys, *order, F.col(size).cast("long").alias("_size"))
+    kept = narrow.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(_fitting(keys, limit), narrow.schema).drop("_size")
+    return df.join(kept.hint("merge"), [*keys, *order], "left_semi")
+
+
+def _fitting(keys: list[str], limit: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, used = None, 0
+        for b in batches:
+            keep = []
+            for row in zip(*(b[k] for k in keys), b["_size"], strict=True):
+                if row[:-1] != own:
+                    own, used = row[:-1], 0
+                fits = used + row[-1] <= limit
+                used += row[-1] if fits else 0
+                keep.append(fits)
+            yield b[keep]
+
+    return run
 
 
 def share_of_max(df: DataFrame, col: str, name: str = "share") -> DataFrame:
     """A column's share of its largest value; the maximum is one row, found by an aggregation."""
     top = df.agg(F.greatest(F.lit(1), F.max(col)).alias("_top"))
-    return df.join(F.broadcast(top)).withColumn(name, F.col(col) / F.col("_top")).drop("_top")
+    return df.crossJoin(F.broadcast(top)).withColumn(name, F.col(col) / F.col("_top")).drop("_top")
 
 
 def waterfall(network: DataFrame) -> DataFrame:

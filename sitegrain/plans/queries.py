@@ -270,9 +270,12 @@ best AS (SELECT id, arg_min(state, rank * 10000000 + seq) AS state, arg_min(dept
 SELECT b.id, state, CAST(depth AS BIGINT) AS depth, CASE WHEN state = 'external' THEN 'external' ELSE coalesce(list_filter(string_split({PATH.format("b.id")}, '/'), lambda x: x <> '')[1], '(root)') END AS grp,
   CAST(coalesce(i, 0) AS BIGINT) AS inbound, CAST(coalesce(o, 0) AS BIGINT) AS outbound, starts_with(b.id, 'https://site.example/map/') AS sitemap_only FROM best b LEFT JOIN deg ON deg.id = b.id""")
 def g2(spark, d):
-    p = captures(spark, d)
+    from sitegrain.cluster import checkpoints
+
+    checkpoints(spark)
+    p = captures(spark, d).checkpoint()
     listed = pages(spark, d).where("page_id % 25 = 0").select(F.concat(F.lit("https://site.example/map/"), F.col("page_id").cast("string")).alias("url"))
-    n = graph.nodes(p, errors(spark, d), graph.edges(p), listed, ROOT)
+    n = graph.nodes(p, errors(spark, d), graph.edges(p).checkpoint(), listed, ROOT)
     return n.select("id", "state", "depth", F.col("group").alias("grp"), "inbound", "outbound", "sitemap_only")
 
 
@@ -557,7 +560,7 @@ def g6(spark, d):
     to = F.when(k == 1, F.concat(F.lit("https://site.example/end"), base)).when(k < 6, F.concat(F.lit("https://site.example/r"), (n - 1).cast("string"))).when(k == 6, F.lit(None)).when(k == 7, F.concat(F.lit("https://site.example/r"), (n + 1).cast("string"))).otherwise(F.concat(F.lit("https://site.example/r"), (n - 1).cast("string")))
     p = pages(spark, d)
     top = p.agg(F.max("page_id").alias("top"))
-    rows = p.join(F.broadcast(top)).where("page_id % 9 > 0 and page_id - page_id % 9 + 8 <= top").select(F.concat(F.lit("https://site.example/r"), n.cast("string")).alias("url"), F.lit(301).alias("status"), to.alias("location"))
+    rows = p.crossJoin(F.broadcast(top)).where("page_id % 9 > 0 and page_id - page_id % 9 + 8 <= top").select(F.concat(F.lit("https://site.example/r"), n.cast("string")).alias("url"), F.lit(301).alias("status"), to.alias("location"))
     return frontier.resolve_redirects(rows)
 
 
@@ -596,8 +599,7 @@ def e15(spark, d):
 @query("e20_page_links", f"""{WITH}, l AS (SELECT DISTINCT page_id, CASE WHEN h[1:1] = '/' THEN 'in' ELSE 'out' END AS side, h FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM ep))
 SELECT page_id, CAST(count(*) FILTER (WHERE side = 'in') AS INTEGER) AS internal, CAST(count(*) FILTER (WHERE side = 'out') AS INTEGER) AS external, CAST(0 AS INTEGER) AS cut FROM l GROUP BY page_id""")
 def e20(spark, d):
-    p = parsed(spark, d)
-    out = links.page_links(p).join(p.select("page_id", "url"), "url")
+    out = links.page_links(parsed(spark, d), keep=("page_id",))
     return out.select("page_id", F.size("internal_links").alias("internal"), F.size("external_links").alias("external"), F.col("link_limit").alias("cut"))
 
 
@@ -736,10 +738,14 @@ def d7(spark, d):
 SELECT page_id, o || '/s.css' AS "URL", 'Browser request' AS "Evidence" FROM o UNION ALL SELECT page_id, o || '/_next/app.js', 'Declared in DOM' FROM o UNION ALL SELECT page_id, o || '/doc/' || page_id % 6 || '.pdf', 'Declared in DOM' FROM o UNION ALL SELECT page_id, o || '/i/' || page_id % 10 || '.png', 'Image candidate' FROM o)
 SELECT "URL", "Evidence", count(*) AS n FROM r GROUP BY 1, 2""")
 def d3(spark, d):
-    p = parsed(spark, d).select("page_id", F.col("page_id").cast("string").alias("url"), F.col("url").alias("u"), "doc")
+    from sitegrain.cluster import checkpoints
+
+    checkpoints(spark)
+    # three tables come from the parsed pages, so they are written once
+    p = parsed(spark, d).select("page_id", F.col("page_id").cast("string").alias("url"), F.col("url").alias("u"), "doc.resources", "doc.images").checkpoint()
     seen = p.select("url", F.lit(0).alias("pos"), F.concat(urls.url_origin(F.col("u")), F.lit("/s.css")).alias("resource"), F.lit("stylesheet").alias("type"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), F.lit("text/css").alias("content_type"), F.lit(10).alias("body_bytes"), F.lit(5).alias("duration_ms"), F.lit(False).alias("cached"))
-    declared = p.select("url", F.posexplode("doc.resources").alias("pos", "r")).select("url", "pos", F.col("r.url").alias("resource"), "r.kind", "r.type")
-    shown = p.select("url", F.posexplode("doc.images").alias("pos", "i")).select("url", "pos", F.explode("i.candidates").alias("resource"), "i.alt")
+    declared = p.select("url", F.posexplode("resources").alias("pos", "r")).select("url", "pos", F.col("r.url").alias("resource"), "r.kind", "r.type")
+    shown = p.select("url", F.posexplode("images").alias("pos", "i")).select("url", "pos", F.explode("i.candidates").alias("resource"), "i.alt")
     return tables.dataset_resources(seen, declared, shown).groupBy("URL", "Evidence").agg(F.count("*").alias("n"))
 
 
@@ -754,14 +760,21 @@ def g4(spark, d):
     p = pages(spark, d)
     top = p.agg(F.max("page_id").alias("top"))
     own = [F.when(n * 2 + k <= F.col("top"), at(n * 2 + k)) for k in (1, 2)]
-    store = p.join(F.broadcast(top)).select(at(n).alias("url"), F.array_compact(F.array(*own, at(n), F.lit("https://else.example/"))).alias("outgoing_links"))
+    store = p.crossJoin(F.broadcast(top)).select(at(n).alias("url"), F.array_compact(F.array(*own, at(n), F.lit("https://else.example/"))).alias("outgoing_links"))
     found, _ = frontier.replay_crawl(store, "https://site.example/n0", max_depth=4, max_pages=100_000)
     return found.select("url", "depth", "state")
 
 
+def _every() -> None:
+    """Register what the other modules have; they use names of this one."""
+    from sitegrain.plans import whole_rows  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _every()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _every()
     return dict(ORACLES)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitegrain.functions.text import csv_safe
+from sitegrain.operators.findings import issue_group, rank_pages
+from sitegrain.operators.tables import select_rows
 from sitegrain.operators.windows import running_budget
 
 PAGE_BYTES, RUN_BYTES = 8 * 1024 * 1024, 128 * 1024 * 1024
@@ -51,7 +53,9 @@ def write_summary(run: DataFrame, out: str) -> None:
     run.drop("pages").write.mode("overwrite").json(out)
 
 
-def export_dataset(ds: DataFrame, out: str, fmt: str = "csv") -> None:
+def export_dataset(ds: DataFrame, out: str, fmt: str = "csv", selected: DataFrame | None = None, every: DataFrame | None = None) -> None:
+    """The selected rows (by ``_id``) of ``every``, where there is a selection, else all of ``ds``, which is filtered; columns that start with ``_`` stay out."""
+    ds = ds if every is None else select_rows(every, ds, selected, "_id")
     shown = ds.select(*[F.col(f"`{c}`") for c in ds.columns if not c.startswith("_")])
     write_csv(shown, out, strict=False) if fmt == "csv" else shown.write.mode("overwrite").json(out)
 
@@ -61,6 +65,42 @@ def export_graph(nodes: DataFrame, edges: DataFrame, out: str) -> None:
     edges.write.mode("overwrite").json(f"{out}/edges")
 
 
+def export_findings(found: DataFrame, out: str) -> None:
+    """Filtered findings, in their order."""
+    write_csv(found, out)
+
+
+def export_page_metrics(metrics: DataFrame, out: str, by: str = "findings") -> None:
+    """All pages by rank; unknown numbers are empty cells."""
+    ranked = rank_pages(metrics, by)
+    write_csv(ranked.select("url", "title", F.col("duration").alias("visit_ms"), "words", F.col("incoming").alias("incoming_pages"), "findings"), out)
+
+
+def issue_rows(issues: DataFrame) -> DataFrame:
+    return issues.select(issue_group(F.col("title")).alias("Category"), F.col("severity").alias("Severity"), F.col("title").alias("Issue"), F.col("url").alias("URL"), F.col("detail").alias("Evidence"))
+
+
+def export_issues(issues: DataFrame, out: str) -> None:
+    write_csv(issue_rows(issues), out)
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    return pages.select(
+        F.col("url").alias("URL"), F.col("title").alias("Title"), F.col("status_code").alias("Status"), F.coalesce("method", F.lit("http")).alias("Method"), F.col("word_count").alias("Words"), F.col("depth").alias("Depth"),
+        F.col("duration_ms").alias("Duration_ms"),
+    )
+
+
+def export_pages(every: DataFrame, filtered: DataFrame, out: str, selected: DataFrame | None = None) -> None:
+    """The selected pages, where there is a selection, else the filtered ones."""
+    write_csv(page_rows(select_rows(every, filtered, selected)), out)
+
+
+def export_catalogue(catalogue: DataFrame, out: str, fmt: str = "csv") -> None:
+    """A filtered element catalogue, all columns."""
+    write_csv(catalogue, out) if fmt == "csv" else catalogue.write.mode("overwrite").json(out)
+
+
 def export_network(network: DataFrame, out: str) -> None:
     write_csv(network.withColumn("redirects", F.to_json("redirects")) if "redirects" in network.columns else network, out)
 
@@ -76,8 +116,11 @@ def delete_run(spark, path: str, run_id: str) -> None:
 
 
 def save_evidence(evidence: DataFrame, path: str) -> DataFrame:
-    """Evidence (run_id, seq, url, payload) under the digest of its address, within 8 MiB a page and 128 MiB a run; a row that doesn't fit is skipped."""
+    """Evidence (run_id, seq, url, payload) under the digest of its address, within 8 MiB a page and 128 MiB a run; a row that doesn't fit is skipped.
+
+    What the store has of these runs is replaced; other runs stay.
+    """
     sized = evidence.withColumn("artifact_id", F.sha2("url", 256)).withColumn("size", F.octet_length("payload").cast("long")).where(F.col("size") <= PAGE_BYTES)
     kept = running_budget(sized, "size", RUN_BYTES, ["run_id"], ["seq"], skip=True)
-    kept.write.mode("overwrite").partitionBy("run_id").parquet(path)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
     return kept

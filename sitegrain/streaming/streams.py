@@ -54,10 +54,10 @@ def latest_outcome(rows: DataFrame) -> DataFrame:
 
 
 def write_run_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], available_now: bool = True):
-    """Append each micro-batch under its number, so that a replayed batch replaces itself; ``read_run_store`` keeps the newest row per key."""
+    """Append each micro-batch, one row of each key, under its number, so that a replayed batch replaces itself; ``read_run_store`` keeps the newest row per key."""
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.withColumn("revision", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        batch.dropDuplicates(keys).withColumn("revision", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     w = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
@@ -76,6 +76,22 @@ def monitor_changes(digests: DataFrame, state: DataFrame) -> DataFrame:
     return out.select("name", "digest", "failures", (F.col("was").isNull() | (F.col("was") != F.col("digest"))).alias("changed"), (F.col("failures") > 0).alias("unhealthy")).where("changed or unhealthy")
 
 
+def advance_monitor(spark: SparkSession, digests: DataFrame, path: str) -> DataFrame:
+    """``monitor_changes`` against the digests stored below ``path``, which are then those of ``digests``; a first call finds none.
+
+    States are written as a new version beside the old one, whose name is the next number, so a failed write leaves the old one in force.
+    """
+    versions = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = versions.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in (fs.listStatus(versions) if fs.exists(versions) else [])]
+    done = sorted(int(n[1:]) for n in found if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+    state = spark.read.parquet(f"{path}/v{done[-1]}") if done else digests.select("name", "digest").limit(0)
+    out = monitor_changes(digests, state).checkpoint()
+    kept = state.join(digests.select("name").hint("merge"), "name", "left_anti").unionByName(digests.select("name", "digest"))
+    kept.write.mode("overwrite").parquet(f"{path}/v{done[-1] + 1 if done else 0}")
+    return out
+
+
 def stream_budget(stream: DataFrame, limit: int) -> DataFrame:
     """Rows of (run, size, ...) until a run's total exceeds ``limit``; the total is the state of its key."""
     schema = stream.schema

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.cluster import checkpoints
 from sitegrain.functions import http, text, urls
-from sitegrain.operators import frontier, graph, links, tables, windows
+from sitegrain.operators import frontier, graph, links, robots, tables, windows
 from sitegrain.operators.parse import parse_pages
 from sitegrain.sources import captures as sources
 
@@ -83,3 +83,62 @@ def test_run_digest_ignores_timings(spark):
     none = spark.createDataFrame([], "url string, kind string")
     d = lambda df: tables.run_digest(df, none).first().digest
     assert d(a) == d(a.withColumn("duration_ms", F.lit(9)).orderBy(F.desc("url"))) != d(a.withColumn("heading", F.lit("other")))
+
+
+def test_replay_reasons_of_links_before_and_after_the_budget_is_full(spark):
+    from sitegrain.cluster import checkpoints
+
+    checkpoints(spark)
+    at = "https://x.example/"
+    links = [f"{at}q?{i}" for i in range(4)] + [f"{at}z?{i}" for i in range(4)]
+    store = spark.createDataFrame([(at, links)], "url string, outgoing_links array<string>")
+    found, skipped = frontier.replay_crawl(store, at, max_depth=2, max_pages=4, max_variants=2)
+    assert sorted(r.url for r in found.collect()) == [at, f"{at}q?0", f"{at}q?1", f"{at}z?0"]
+    assert {r.url: r.reason for r in skipped.collect()} == {f"{at}q?2": "query_limit", f"{at}q?3": "query_limit", f"{at}z?1": "page_limit", f"{at}z?2": "page_limit", f"{at}z?3": "page_limit"}
+
+
+def test_replay_of_a_deep_chain(spark):
+    at = lambda i: f"https://x.example/{i}"
+    store = spark.createDataFrame([(at(i), [at(i + 1), at(0)]) for i in range(14)], "url string, outgoing_links array<string>")
+    found, skipped = frontier.replay_crawl(store, at(0), max_depth=9)
+    assert sorted((r.depth, r.url) for r in found.collect()) == [(i, at(i)) for i in range(10)]
+    assert sorted((r.reason, r.depth) for r in skipped.collect()) == sorted([("duplicate", i) for i in range(1, 11)] + [("depth_limit", 10)])
+
+
+def test_robots_patterns_take_no_longer_with_many_wildcards(spark):
+    import re
+    import time
+
+    patterns = ["/", "/a", "/a*b", "/*b", "/a**c*", "/*", "/ab*ab", "/*a*b*", "/x.y", "/[a]*"]
+    paths = ["/", "/a", "/ab", "/aab", "/abab", "/xb", "/acb", "/abc", "/x.y", "/xzy", "/[a]b"]
+    rows = spark.createDataFrame([(p, q, e) for p in paths for q in patterns for e in (True, False)], "path string, pattern string, e boolean")
+    got = rows.withColumn("ok", robots.pattern_matches("path", "pattern", "e")).collect()
+    for r in got:
+        regex = ".*".join(map(re.escape, r.pattern.split("*"))) + ("$" if r.e else "")
+        assert r.ok == bool(re.match(regex, r.path)), r
+    text = "User-agent: *\nDisallow: /" + "*a" * 200 + "*b$"
+    urls = spark.createDataFrame([("https://x.example/" + "a" * 5000,)], "url string")
+    began = time.monotonic()
+    rules = robots.robots_rules(spark.createDataFrame([("https://x.example", text)], "origin string, text string"))
+    assert robots.robots_allowed(urls, rules, "bot").first().allowed and time.monotonic() - began < 30
+
+
+def test_an_over_long_robots_rule_closes_its_origin_only(spark):
+    texts = spark.createDataFrame([("https://x.example", "User-agent: *\nDisallow: /" + "a" * 5000), ("https://y.example", "User-agent: *\nDisallow: /a")], "origin string, text string")
+    urls = spark.createDataFrame([("https://x.example/b",), ("https://y.example/b",), ("https://y.example/a",)], "url string")
+    rules = robots.robots_rules(texts)
+    assert {r.url: r.allowed for r in robots.robots_allowed(urls, rules, "bot").collect()} == {"https://x.example/b": False, "https://y.example/b": True, "https://y.example/a": False}
+
+
+def test_budget_that_skips(spark):
+    rows = spark.createDataFrame([("a", i, s) for i, s in enumerate([4, 9, 5, 2, 1])] + [("b", 0, 11), ("b", 1, 10)], "k string, i long, size long")
+    kept = windows.running_budget(rows, "size", 10, ["k"], ["i"], skip=True).collect()
+    assert sorted((r.k, r.i) for r in kept) == [("a", 0), ("a", 2), ("a", 4), ("b", 1)]
+
+
+def test_effective_start_moves_only_by_canonical_transitions(spark):
+    rows = [("http://x.example/", 301, "https://x.example/"), ("https://x.example/", 301, "https://www.x.example/home"), ("https://www.x.example/home", 200, None), ("https://y.example/", 302, "https://z.example/"), ("https://z.example/", 200, None), ("https://q.example/", 301, None)]
+    responses = spark.createDataFrame(rows, "url string, status int, location string")
+    seeds = spark.createDataFrame([("http://x.example/",), ("https://y.example/",), ("https://q.example/",), ("https://z.example/",)], "url string")
+    out = {r.seed: (r.effective_start_url, r.error) for r in frontier.effective_start(responses, seeds).collect()}
+    assert out == {"http://x.example/": ("https://www.x.example/home", None), "https://y.example/": ("https://y.example/", "out-of-scope"), "https://q.example/": ("https://q.example/", "missing-location"), "https://z.example/": ("https://z.example/", None)}

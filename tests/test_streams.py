@@ -96,7 +96,7 @@ def test_contexts_and_sizes(spark):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("=1+1", ["a", "b"], None)], "x string, y array<string>, z int")
     sinks.write_csv(df, f"{tmp_path}/c")
-    text = "".join(p.read_bytes().decode() for p in (tmp_path / "c").glob("part-*"))
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "c").glob("part-*"), key=lambda p: p.stat().st_size))
     assert text.endswith('"x","y","z"\r\n"\'=1+1","a | b",""\r\n')
     runs = spark.createDataFrame([(1, "u", 1), (2, "v", 1)], "run_id int, url string, rev int")
     sinks.save_run(runs, f"{tmp_path}/r")
@@ -104,3 +104,20 @@ def test_sinks(spark, tmp_path):
     assert {(r.run_id, r.rev) for r in spark.read.parquet(f"{tmp_path}/r").collect()} == {(1, 2), (2, 1)}
     sinks.delete_run(spark, f"{tmp_path}/r", "1")
     assert spark.read.parquet(f"{tmp_path}/r").count() == 1
+
+
+def test_saving_evidence_of_a_run_keeps_other_runs(spark, tmp_path):
+    of = lambda run, n: spark.createDataFrame([(run, i, f"https://x/{i}", "p" * (i + 1)) for i in range(n)], "run_id string, seq long, url string, payload string")
+    for rows in (of("a", 3), of("b", 2), of("a", 1)):
+        sinks.save_evidence(rows, f"{tmp_path}/e")
+    assert sorted((r.run_id, r.seq) for r in spark.read.parquet(f"{tmp_path}/e").collect()) == [("a", 0), ("b", 0), ("b", 1)]
+
+
+def test_monitor_stores_its_state(spark, tmp_path):
+    from sitegrain.cluster import checkpoints
+    from sitegrain.streaming.streams import advance_monitor
+
+    checkpoints(spark)
+    rows = lambda *x: spark.createDataFrame(x, "name string, digest string, failures long")
+    seen = [sorted(r.name for r in advance_monitor(spark, d, f"{tmp_path}/m").collect()) for d in (rows(("a", "1", 0), ("b", "1", 0)), rows(("a", "1", 0), ("b", "2", 0)), rows(("a", "1", 3)), rows(("b", "2", 0), ("c", "9", 0)))]
+    assert seen == [["a", "b"], ["b"], ["a"], ["c"]]

@@ -15,8 +15,7 @@ least 0.75 and groups what is linked.
    not compared, and no pair that shares a bucket and could change the groups is left out.
 4. Candidates are confirmed on the full shingle sets.
 
-A pair with similarity s shares a bucket with probability 1 - (1 - s**4)**32: 0.999995 at 0.75. One key (a digest, bucket,
-hub or group) may hold a large share of the rows of any join: such rows are salted (``spread_join``).
+A pair with similarity s shares a bucket with probability 1 - (1 - s**4)**32: 0.999995 at 0.75. A digest or a bucket may hold a large share of the rows; those of hot ones are salted (``spread_join``).
 Shingles count as equal when their 64-bit hashes are.
 
 Defined results: null or empty text, or text without words: no shingles, linked with nothing.
@@ -148,12 +147,12 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("comp")))
     while True:
-        near = spread_join(both, labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        hop = scratch.save(labels.join(near.hint("merge"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid")))
-        up = labels.select(F.col("id").alias("mid"), F.col("comp").alias("up"))
-        new = scratch.save(spread_join(hop, up, "mid", "left").select("id", "old", F.least("mid", F.coalesce("up", "mid")).alias("comp")))
+        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        hop = labels.join(near.hint("merge"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        up = labels.select(F.col("id").alias("mid"), F.col("comp").alias("up")).hint("merge")
+        new = scratch.save(hop.join(up, "mid", "left").select("id", "old", F.least("mid", F.coalesce("up", "mid")).alias("comp")))
         moved = bool(new.where("old != comp").take(1))
-        scratch.drop(labels, hop)
+        scratch.drop(labels)
         labels = new.select("id", "comp")
         labels.__dict__["_scratch_path"] = new.__dict__.pop("_scratch_path")
         if not moved:
@@ -204,7 +203,7 @@ def _sharing_rare(s: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
         count[r.cell] = r.n
     first = s.save(sets.mapInArrow(_prefixes(count), "id long, n long, i long, key long").join(sized(ids), "id").select("key", "id", "n", "i", "comp"))
     often = s.save(first.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key"))
-    some = s.save(spread_join(first, often, "key", "left_semi"))
+    some = s.save(first.join(often.hint("merge"), "key", "left_semi"))
     s.drop(sets, first)
     rest = some.toDF("key", "other", "m", "j", "other_comp").hint("merge")
     bound = f"{100 + PERCENT} * least(n - i, m - j) >= {PERCENT} * (n + m)"  # if this is the first that they share
@@ -229,15 +228,15 @@ class _Grouping:
             return None
         self.tested = pairs if self.tested is None else s.save(self.tested.union(pairs))
         sig = self.reps.select("id", "n_shingles", "low")
-        near_b = s.save(spread_join(pairs, sig.toDF("b", "n_b", "low_b"), "b"))
-        near = spread_join(near_b, sig.toDF("a", "n_a", "low_a"), "a").where(F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")).select("a", "b", "low_a", "low_b")
+        near = pairs.join(sig.toDF("b", "n_b", "low_b").hint("merge"), "b").join(sig.toDF("a", "n_a", "low_a").hint("merge"), "a")
+        near = near.where(F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")).select("a", "b", "low_a", "low_b")
         alike = s.save(near.mapInArrow(_alike, "a long, b long"))
         ids = s.save(alike.select(F.col("a").alias("id")).union(alike.select("b")).distinct())
         sets = self.docs.select("id", "text").join(sized(ids), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
         sets = s.save(sets)
-        both = s.save(spread_join(alike, sets.toDF("b", "set_b"), "b"))
-        found = s.save(spread_join(both, sets.toDF("a", "set_a"), "a").mapInArrow(_confirmed, "a long, b long"))
-        s.drop(near_b, alike, ids, sets, both)
+        both = alike.join(sets.toDF("b", "set_b").hint("merge"), "b").join(sets.toDF("a", "set_a").hint("merge"), "a")
+        found = s.save(both.mapInArrow(_confirmed, "a long, b long"))
+        s.drop(alike, ids, sets)
         return found if found.take(1) else None
 
     def link(self, links: DataFrame | None) -> None:
@@ -248,13 +247,12 @@ class _Grouping:
         if self.groups is None:
             self.groups = components(s, links)
             return
-        of = lambda c: self.groups.toDF(c, f"comp_{c}")
-        half = s.save(spread_join(links, of("a"), "a", "left"))
-        between = spread_join(half, of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a != b")
+        of = lambda c: self.groups.toDF(c, f"comp_{c}").hint("merge")
+        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a != b")
         more = components(s, between.distinct())
-        joined = spread_join(self.groups, more.toDF("comp", "up"), "comp", "left")
+        joined = self.groups.join(more.toDF("comp", "up").hint("merge"), "comp", "left")
         new = s.save(joined.select("id", F.coalesce("up", "comp").alias("comp")).union(more).distinct())
-        s.drop(self.groups, more, half)
+        s.drop(self.groups, more)
         self.groups = new
 
 
@@ -267,7 +265,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     some = sigs.where("n_shingles > 0 and id is not null")
 
     # Equal sets are a class, known by its smallest id.
-    classes = s.save(some.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep"))
+    classes = s.save(some.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep", "n"))
     same = s.save(spread_join(some.select("id", "digest"), classes, "digest").where("id != rep").select("id", "digest", "rep").distinct())
     reps = s.save(some.join(same.select("id", "digest").hint("merge"), ["id", "digest"], "left_anti").select("id", "n_shingles", "bands", "low").dropDuplicates(["id", "low"]))
     s.drop(classes)
@@ -276,7 +274,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     given = s.save(same.join(sized(several), "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
     entries = reps.select("id", F.explode("bands").alias("key"))
-    shared = s.save(entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    shared = s.save(entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
     members = s.save(spread_join(entries, shared, "key"))
 
     def grouped(g: _Grouping) -> DataFrame:
@@ -291,8 +289,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     g.link(g.confirmed(members.where("id != pivot").select(*pair("id", "pivot"))))
     for last in (False, True):
         now = s.save(grouped(g))
-        split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key")).alias("other")).where("low != high")
-        split = s.save(split.select("key", F.col("other.id").alias("other"), F.col("other.comp").alias("other_comp")))
+        split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key")).alias("other"), F.count("*").alias("n")).where("low != high")
+        split = s.save(split.select("key", F.col("other.id").alias("other"), F.col("other.comp").alias("other_comp"), "n"))
         if not split.take(1):
             break
         left = spread_join(now, split, "key")
@@ -306,7 +304,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     group = same.select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep"))
     if g.groups is not None:
         lookup = g.groups.toDF("rep", "comp")
-        group = spread_join(s.save(group), lookup, "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp"))
+        group = group.join(lookup.hint("merge"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp"))
         group = group.union(g.groups.select("id", "comp")).groupBy("id").agg(F.min("comp").alias("comp"))
     else:
         group = group.withColumnRenamed("rep", "comp")

@@ -73,17 +73,18 @@ def sized(table: DataFrame, rows: int = BROADCAST_ROWS, otherwise: str = "merge"
     return F.broadcast(table) if len(table.limit(rows + 1).groupBy().count().where(F.col("count") <= rows).take(1)) else table.hint(otherwise)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``left`` (written) joined with ``right`` (at most one row a key), where one key may hold much of ``left``.
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", n: str = "n") -> DataFrame:
+    """``left`` joined with ``right`` (written; at most one row a key, with the number of ``left``'s rows of it in ``n``), where one key may hold much of ``left``.
 
     Rows of hot keys are salted, and what ``right`` has of these, at most HOT_SHARE rows, is repeated for each salt. The
-    result is the plain join's.
+    result is the plain join's, without ``n``. Keys are no nulls.
     """
-    least = max(FEW_ROWS, left.count() // HOT_SHARE)
-    hot = [r[0] for r in left.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > least) & F.col(key).isNotNull()).select(key).collect()]
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = [r[0] for r in right.where(F.col(n) > max(FEW_ROWS, total // HOT_SHARE)).select(key).collect()]
+    right = right.drop(n)
     if not hot:
         return left.join(right.hint("merge"), key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    is_hot = F.col(key).isin(hot)
     salted = left.where(is_hot).withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
     every = right.where(is_hot).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     rest = left.where(~is_hot).join(right.hint("merge"), key, how)

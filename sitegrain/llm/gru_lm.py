@@ -44,7 +44,7 @@ CLASSES, PER_CLASS = 64, 64
 BUCKETS = 1024
 KNOWN = CLASSES * PER_CLASS - BUCKETS - 1
 FREQUENT = 1 << 18
-HIDDEN, EMBED = 24, 24
+HIDDEN, EMBED = 24, 16
 ROUNDS = 2
 LANES, WINDOW, PART = 512, 32, 2048
 #: Tokens whose output is computed together in scoring.

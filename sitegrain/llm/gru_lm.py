@@ -149,7 +149,7 @@ class Vocabulary:
 
 SHAPES = {
     "x": (CLASSES * PER_CLASS, EMBED), "wx": (EMBED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
-    "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, PER_CLASS), "bw": (CLASSES, PER_CLASS),
+    "wc": (HIDDEN + 1, CLASSES), "ww": (CLASSES, HIDDEN + 1, PER_CLASS),  # the last of HIDDEN + 1 is the bias
 }
 
 
@@ -159,8 +159,8 @@ def initial(freq: np.ndarray) -> dict[str, np.ndarray]:
     p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
     share = (freq + 0.5).reshape(CLASSES, PER_CLASS)
     p["b"][:] = 0
-    p["bc"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
-    p["bw"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
+    p["wc"][-1] = np.log(share.sum(1) / share.sum())
+    p["ww"][:, -1] = np.log(share / share.sum(1, keepdims=True))
     return p
 
 
@@ -191,27 +191,46 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float | np.ndarray]:
-    """exp(x - shift) in place, its row sums and the shift, which is 0 where no row needs one."""
-    ones, shift = np.ones((x.shape[1], 1), np.float32), 0.0
-    low, high = (float(f.reduce(x, axis=None)) for f in (np.minimum, np.maximum))
-    if not (-80 < low and high < 80):
-        shift = x.max(1, keepdims=True)
+def _step(g: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The next states, and the gates r and z, the candidates and their recurrent parts (each features x lanes)."""
+    n = HIDDEN
+    rz = _sigmoid(g[: 2 * n] + u[: 2 * n])
+    r, z, uc = rz[:n], rz[n:], u[2 * n :]
+    c = np.tanh(g[2 * n :] + r * uc)
+    return c + z * (h - c), r, z, c, uc
+
+
+ONES = np.ones((1, max(CLASSES, PER_CLASS)), np.float32)
+
+
+def _small(w: np.ndarray) -> np.ndarray:
+    """Whether exp(w.T @ states) stays within a float for all states, as they lie in -1 to 1."""
+    return np.abs(w).sum(-2).max(-1) < 80
+
+
+def _exp(x: np.ndarray, small: bool) -> tuple[np.ndarray, float | np.ndarray]:
+    """exp(x - shift) in place: its sums by column and the shift, which is 0 where no column needs one."""
+    shift = 0.0
+    if not small:
+        shift = x.max(0)
         x -= shift
     np.exp(x, out=x)
-    return x, x @ ones, shift
+    return (ONES[:, : len(x)] @ x)[0], shift
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Shares, computed in place."""
-    x, total, _ = _exp(x)
-    x /= total
+def _slope(x: np.ndarray, target: np.ndarray, scale: np.float32, small: bool) -> np.ndarray:
+    """Slope of ``scale`` times the loss by the logits ``x`` (choices x tokens), in place."""
+    total, _ = _exp(x, small)
+    x *= scale / total
+    x[target, np.arange(len(target))] -= scale
     return x
 
 
-def _log_total(x: np.ndarray) -> np.ndarray:
-    _, total, shift = _exp(x)
-    return (np.log(total) + shift)[:, 0]
+def _log_share(x: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
+    """The targets' log shares; overwrites the logits ``x`` (choices x tokens)."""
+    own = x[target, np.arange(len(target))]
+    total, shift = _exp(x, small)
+    return own - np.log(total) - shift
 
 
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,17 +240,14 @@ def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def output_logs(p: dict[str, np.ndarray], state: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log-probabilities of the targets given the states before them."""
+    """Natural log-probabilities of the targets given the states (HIDDEN and a one x tokens) before them."""
     c, w = target // PER_CLASS, target % PER_CLASS
     order, cuts = _by_class(c)
-    state, c, w = state[order], c[order], w[order]
-    x = state @ p["wc"] + p["bc"]
-    logs = x[np.arange(len(c)), c] - _log_total(x)
-    for k in range(CLASSES):
+    state, c, w = np.take(state, order, 1), c[order], w[order]
+    logs, small = _log_share(p["wc"].T @ state, c, _small(p["wc"])), _small(p["ww"])
+    for k in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[k], cuts[k + 1]
-        if a < b:
-            x = state[a:b] @ p["ww"][k] + p["bw"][k]
-            logs[a:b] += x[np.arange(b - a), w[a:b]] - _log_total(x)
+        logs[a:b] += _log_share(p["ww"][k].T @ state[:, a:b], w[a:b], small[k])
     out = np.empty_like(logs)
     out[order] = logs
     return out
@@ -246,70 +262,80 @@ class Trainer:
         self.p = _views(self.flat)
         self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.t = 0
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array whose memory is kept from window to window, as fresh pages cost as much as what is computed in them."""
+        n = int(np.prod(shape))
+        if len(self.rooms.get(name, ())) < n:
+            self.rooms[name] = np.empty(n, np.float32)
+        return self.rooms[name][:n].reshape(shape)
+
+    def _take(self, name: str, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Columns of ``x``."""
+        return np.take(x, at, 1, out=self._room(name, len(x), *at.shape), mode="clip")
 
     def window(self, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """One step of learning over (time x lanes) inputs; returns the last states."""
+        """One step of learning over (time x lanes) inputs; returns the last states (HIDDEN x lanes).
+
+        Arrays are features x time x lanes, so that gates are whole blocks of memory.
+        """
         p, n = self.p, HIDDEN
         steps, lanes = ids.shape
         keep = []
-        states = np.empty((steps, lanes, n), np.float32)
-        old = (~fresh).astype(np.float32)[:, :, None]
-        given = (p["x"] @ p["wx"] + p["b"])[ids]
+        befores, states = self._room("befores", n, steps, lanes), self._room("states", n + 1, steps, lanes)
+        states[n] = 1
+        old = (~fresh).astype(np.float32)
+        given = self._take("given", np.ascontiguousarray((p["x"] @ p["wx"] + p["b"]).T), ids)
+        forth = np.ascontiguousarray(p["wh"].T)
         for t in range(steps):
             h = h * old[t]
-            g, u = given[t], h @ p["wh"]
-            rz = _sigmoid(g[:, : 2 * n] + u[:, : 2 * n])
-            r, z, uc = rz[:, :n], rz[:, n:], u[:, 2 * n :]
-            c = np.tanh(g[:, 2 * n :] + r * uc)
-            keep.append((h, r, z, c, uc))
-            h = c + z * (h - c)
-            states[t] = h
+            befores[:, t] = h
+            h, *gates = _step(given[:, t], forth @ h, h)
+            keep.append(gates)
+            states[:n, t] = h
         slope = np.zeros_like(self.flat)
         grad = _views(slope)
         at = np.flatnonzero(live.ravel())
         order, cuts = _by_class(target.ravel()[at] // PER_CLASS)
         at = at[order]
-        s, y = states.reshape(-1, n)[at], target.ravel()[at]
+        s, y = self._take("s", states.reshape(n + 1, -1), at), target.ravel()[at]
         scale = np.float32(1 / max(1, len(at)))
         cls, word = y // PER_CLASS, y % PER_CLASS
-        d = _softmax(s @ p["wc"] + p["bc"])
-        d[np.arange(len(y)), cls] -= 1
-        d *= scale
-        grad["wc"][:], grad["bc"][:] = s.T @ d, d.sum(0)
-        ds = d @ p["wc"].T
-        for k in range(CLASSES):
+        d = _slope(np.matmul(p["wc"].T, s, out=self._room("d", CLASSES, len(at))), cls, scale, _small(p["wc"]))
+        grad["wc"][:] = s @ d.T
+        ds, small = np.matmul(p["wc"][:-1], d, out=self._room("ds", n, len(at))), _small(p["ww"])
+        for k in np.flatnonzero(np.diff(cuts)):
             i, j = cuts[k], cuts[k + 1]
-            if i == j:
-                continue
-            e = _softmax(s[i:j] @ p["ww"][k] + p["bw"][k])
-            e[np.arange(j - i), word[i:j]] -= 1
-            e *= scale
-            grad["ww"][k], grad["bw"][k] = s[i:j].T @ e, e.sum(0)
-            ds[i:j] += e @ p["ww"][k].T
-        dh_out = np.zeros((steps * lanes, n), np.float32)
-        dh_out[at] = ds
-        dh_out = dh_out.reshape(states.shape)
+            e = _slope(p["ww"][k].T @ s[:, i:j], word[i:j], scale, small[k])
+            grad["ww"][k] = s[:, i:j] @ e.T
+            ds[:, i:j] += p["ww"][k][:-1] @ e
+        dh_out = self._room("dh_out", n, steps * lanes)
+        dh_out[:] = 0
+        dh_out[:, at] = ds
+        dh_out = dh_out.reshape(n, steps, lanes)
         dh = np.zeros_like(h)
-        dgs, dus = np.empty((2, steps, lanes, 3 * n), np.float32)
-        back = np.ascontiguousarray(p["wh"].T)
+        dgs, dus = (self._room(k, 3 * n, steps, lanes) for k in ("dgs", "dus"))
         for t in range(steps - 1, -1, -1):
-            before, r, z, c, uc = keep[t]
-            dh = dh + dh_out[t]
-            dg, du, free = dgs[t], dus[t], 1 - z
+            r, z, c, uc = keep[t]
+            dh = dh + dh_out[:, t]
+            dg, du, free = dgs[:, t], dus[:, t], 1 - z
             da = dh * free * (1 - c * c)
-            dg[:, :n] = da * uc * r * (1 - r)
-            dg[:, n : 2 * n] = dh * (before - c) * z * free
-            dg[:, 2 * n :] = da
-            du[:, : 2 * n] = dg[:, : 2 * n]
-            du[:, 2 * n :] = da * r
-            dh = (dh * z + du @ back) * old[t]
-        grad["wh"][:] = np.concatenate([k[0] for k in keep]).T @ dus.reshape(-1, 3 * n)
-        of, dgs = ids.ravel(), dgs.reshape(-1, 3 * n)
-        grad["b"][:] = dgs.sum(0)
-        grad["wx"][:] = p["x"][of].T @ dgs
+            dg[:n] = da * uc * r * (1 - r)
+            dg[n : 2 * n] = dh * (befores[:, t] - c) * z * free
+            dg[2 * n :] = da
+            du[: 2 * n] = dg[: 2 * n]
+            du[2 * n :] = da * r
+            dh = (dh * z + p["wh"] @ du) * old[t]
+        grad["wh"][:] = befores.reshape(n, -1) @ dus.reshape(3 * n, -1).T
+        of = ids.ravel()
         order = np.argsort(of.astype(np.int16), kind="stable")
         new = np.flatnonzero(np.append(True, np.diff(of[order]) > 0))
-        grad["x"][of[order][new]] = np.add.reduceat((dgs @ p["wx"].T)[order], new)
+        entry = of[order][new]
+        dx = np.add.reduceat(self._take("dgs by entry", dgs.reshape(3 * n, -1), order), new, 1)  # by entry
+        grad["b"][:] = dx.sum(1)
+        grad["wx"][:] = p["x"][entry].T @ dx.T
+        grad["x"][entry] = (p["wx"] @ dx).T
         self.t += 1
         np.clip(slope, -1, 1, out=slope)
         self.m *= np.float32(0.9)
@@ -346,13 +372,13 @@ class Trainer:
         fresh[first] = True
         ids = np.roll(target, 1)
         ids[first] = [before for x in lanes for before, _ in x]
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(lanes)), np.float32)
         for a in range(0, int(size[0]), WINDOW):
             k = int(np.searchsorted(-size, -a))  # lanes longer than a
             t = np.arange(a, min(a + WINDOW, int(size[0])))[:, None]
             live = t < size[:k]
             at = head[:k] + np.minimum(t, size[:k] - 1)
-            h = self.window(ids[at], target[at], fresh[at], h[:k], live)
+            h = self.window(ids[at], target[at], fresh[at], h[:, :k], live)
         return len(target)
 
 
@@ -361,9 +387,10 @@ def sequence_logs(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray,
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
     head, size = bounds[:-1][order], n[order]
-    table = p["x"] @ p["wx"] + p["b"]
-    wh, m = p["wh"], HIDDEN
-    h = np.zeros((len(order), m), np.float32)
+    table = np.ascontiguousarray((p["x"] @ p["wx"] + p["b"]).T)
+    forth = np.ascontiguousarray(p["wh"].T)
+    h = np.ones((HIDDEN + 1, len(order)), np.float32)
+    h[:-1] = 0
     out = np.zeros(len(order))
     last = np.full(len(order), start)
     longest = int(size[0]) if len(size) else 0
@@ -371,18 +398,15 @@ def sequence_logs(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray,
     alive = len(size) - np.cumsum(np.bincount(size, minlength=longest + 1))[:longest]
     states, targets, lanes, held = [], [], [], 0
     for t, k in enumerate(alive.tolist()):
-        g, u = table[last[:k]], h[:k] @ wh
-        rz = _sigmoid(g[:, : 2 * m] + u[:, : 2 * m])
-        c = np.tanh(g[:, 2 * m :] + rz[:, :m] * u[:, 2 * m :])
-        state = c + rz[:, m:] * (h[:k] - c)
-        h[:k] = state
+        h = h[:, :k].copy()
+        h[:-1] = _step(np.take(table, last[:k], 1), forth @ h[:-1], h[:-1])[0]
         last = ids[head[:k] + t]
-        states.append(state)
+        states.append(h)
         targets.append(last)
         lanes.append(k)
         held += k
         if held >= SCORE_TOKENS or t + 1 == longest:
-            logs = output_logs(p, np.concatenate(states), np.concatenate(targets))
+            logs = output_logs(p, np.concatenate(states, 1), np.concatenate(targets))
             out += np.bincount(np.concatenate([np.arange(k) for k in lanes]), logs, minlength=len(out))
             states, targets, lanes, held = [], [], [], 0
     back = np.empty(len(out))

@@ -446,11 +446,11 @@ def test_gru_gradients_and_scoring():
             g, u = p["x"][last] @ p["wx"] + p["b"], s @ p["wh"]
             r, z = 1 / (1 + np.exp(-(g[:n] + u[:n]))), 1 / (1 + np.exp(-(g[n : 2 * n] + u[n : 2 * n])))
             s = (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :]) + z * s
-            total += float(gru_lm.output_logs(p, s[None].astype(np.float32), np.array([y]))[0])
+            total += float(gru_lm.output_logs(p, np.append(s, 1)[:, None].astype(np.float32), np.array([y]))[0])
             last = y
         assert abs(total - got) < 1e-3
-    states = np.random.default_rng(0).normal(size=(1, gru_lm.HIDDEN)).astype(np.float32)
-    every = gru_lm.output_logs(p, np.repeat(states, gru_lm.CLASSES * gru_lm.PER_CLASS, 0), np.arange(gru_lm.CLASSES * gru_lm.PER_CLASS))
+    states = np.append(np.random.default_rng(0).uniform(-1, 1, gru_lm.HIDDEN), 1)[:, None].astype(np.float32)
+    every = gru_lm.output_logs(p, np.repeat(states, gru_lm.CLASSES * gru_lm.PER_CLASS, 1), np.arange(gru_lm.CLASSES * gru_lm.PER_CLASS))
     assert abs(np.exp(every).sum() - 1) < 1e-3
     trainer = gru_lm.Trainer({k: x.copy() for k, x in p.items()})
     docs = [ids[:8], ids[8:11]] * 40
@@ -466,7 +466,7 @@ def test_gru_gradient_is_the_slope_of_the_loss():
     target, fresh, live = r.integers(0, 300, (6, 3)), np.zeros((6, 3), bool), np.ones((6, 3), bool)
     fresh[0], fresh[3, 1], live[5, 2] = True, True, False
     trainer = gru_lm.Trainer({k: x.copy() for k, x in p.items()}, 0.0)
-    trainer.window(ids, target, fresh, np.zeros((3, gru_lm.HIDDEN), np.float32), live)
+    trainer.window(ids, target, fresh, np.zeros((gru_lm.HIDDEN, 3), np.float32), live)
     slope = gru_lm.unflat(trainer.m * 10)
 
     def loss(q):
@@ -479,7 +479,7 @@ def test_gru_gradient_is_the_slope_of_the_loss():
             h = (1 - z) * np.tanh(g[:, 2 * n :] + sig(g[:, :n] + u[:, :n]) * u[:, 2 * n :]) + z * h
             for i in np.flatnonzero(live[t]):
                 c, w = divmod(int(target[t, i]), gru_lm.PER_CLASS)
-                for x, y in ((h[i] @ q["wc"] + q["bc"], c), (h[i] @ q["ww"][c] + q["bw"][c], w)):
+                for x, y in ((np.append(h[i], 1) @ q["wc"], c), (np.append(h[i], 1) @ q["ww"][c], w)):
                     total += np.log(np.exp(x).sum()) - x[y]
         return total / live.sum()
 

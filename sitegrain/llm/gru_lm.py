@@ -48,7 +48,7 @@ HIDDEN, EMBED = 24, 16
 ROUNDS = 2
 LANES, WINDOW, PART = 512, 32, 2048
 #: Tokens whose output is computed together in scoring.
-SCORE_TOKENS = 1 << 16
+SCORE_TOKENS = 1 << 15
 #: The first round's rate; each one after it has half. The first WARM steps rise to it.
 RATE, WARM = 4e-3, 20
 #: Training tokens to one trainer in a round, about.
@@ -139,12 +139,15 @@ class Vocabulary:
         own = self.names[at] == tokens
         return np.where(own, self.places[at], self.groups[groups]), own
 
-    def counts(self, tokens: np.ndarray) -> np.ndarray:
-        """Counts of frequent tokens; 0 for others."""
-        if not len(self.h):
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.h, tokens), len(self.h) - 1)
-        return np.where(self.h[at] == tokens, self.n[at], 0)
+    def counts(self, tokens: np.ndarray, entry: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Counts of frequent tokens, given their ``entries``; 0 for others."""
+        out = np.where(own, self.freq[entry], 0).astype(np.int64)
+        if len(self.h):
+            rest = np.flatnonzero(~own)
+            others = tokens[rest]
+            at = np.minimum(np.searchsorted(self.h, others), len(self.h) - 1)
+            out[rest] = np.where(self.h[at] == others, self.n[at], 0)
+        return out
 
 
 SHAPES = {
@@ -467,7 +470,8 @@ def _score(p: np.ndarray, vocabulary: Vocabulary):
             bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
             docs = len(bounds) - 1
             doc = np.repeat(np.arange(docs), np.diff(bounds))
-            (entry, own), count = vocabulary.entries(h, groups), vocabulary.counts(h)
+            entry, own = vocabulary.entries(h, groups)
+            count = vocabulary.counts(h, entry, own)
             net = sequence_logs(model, entry, bounds, vocabulary.end) / np.log(10)
             logs, known = np.log10(count + 1.0), count > 0
             rare = np.flatnonzero(~known)

@@ -108,22 +108,13 @@ def f13(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clean_text(F.col("text"), 200).alias("clean"))
 
 
-@query(
-    "f14_escapes",
-    """SELECT doc_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
-  CASE WHEN regexp_matches(t, '^[\\x00-\\x20]*[=+@-]') OR regexp_matches(t, '^[\\t\\r\\n]') THEN '''' || t ELSE t END AS csv FROM (SELECT doc_id, substr(text, CAST(doc_id % 40 + 1 AS INTEGER), 60) AS t FROM documents)""",
-)
-def f14(spark, d):
-    t = F.expr("substring(text, cast(doc_id % 40 + 1 as int), 60)")
-    return table(spark, d, "documents").select("doc_id", text.html_escape(t).alias("html"), text.csv_safe(t).alias("csv"))
+ESCAPES = """SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
+  CASE WHEN regexp_matches(text, '^[\\x00-\\x20]*[=+@-]') OR regexp_matches(text, '^[\\t\\r\\n]') THEN '''' || text ELSE text END AS csv FROM documents"""
 
 
-@query(
-    "f14_escapes_whole",
-    """SELECT doc_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
-  CASE WHEN regexp_matches(t, '^[\\x00-\\x20]*[=+@-]') OR regexp_matches(t, '^[\\t\\r\\n]') THEN '''' || t ELSE t END AS csv FROM (SELECT doc_id, text AS t FROM documents)""",
-)
-def f14_whole(spark, d):
+@query("f14_escapes", ESCAPES)
+@query("f14_escapes_whole", ESCAPES)
+def f14(spark, d):
     return table(spark, d, "documents").select("doc_id", text.html_escape(F.col("text")).alias("html"), text.csv_safe(F.col("text")).alias("csv"))
 
 
@@ -149,18 +140,13 @@ def f20(spark, d):
     return table(spark, d, "events").select("event_id", http.is_public_ip(ip).alias("public"))
 
 
-@query("f22_content_fingerprint", "SELECT doc_id, 'sha256-text-v1:' || sha256(text) AS fp, CAST(len(regexp_split_to_array(text, '[\\s\\x{A0}]+')) AS INTEGER) AS words FROM documents WHERE length(text) BETWEEN 1 AND 2097151")
-def f22(spark, d):
-    docs = table(spark, d, "documents").where("length(text) between 1 and 2097151")
-    return docs.select("doc_id", text.content_fingerprint(F.col("text")).alias("fp"), text.word_count(F.col("text")).alias("words"))
+PRINTS = """SELECT doc_id, CASE WHEN length(text) BETWEEN 1 AND 2097151 THEN 'sha256-text-v1:' || sha256(text) END AS fp,
+  CASE WHEN text = '' THEN 0 ELSE CAST(len(regexp_split_to_array(text, '[\\s\\x{A0}]+')) AS INTEGER) END AS words FROM documents"""
 
 
-@query(
-    "f22_content_fingerprint_all",
-    """SELECT doc_id, CASE WHEN length(text) BETWEEN 1 AND 2097151 THEN 'sha256-text-v1:' || sha256(text) END AS fp,
-  CASE WHEN text = '' THEN 0 ELSE CAST(len(regexp_split_to_array(text, '[\\s\\x{A0}]+')) AS INTEGER) END AS words FROM documents""",
-)
-def f22_all(spark, d):
+@query("f22_content_fingerprint", PRINTS)
+@query("f22_content_fingerprint_all", PRINTS)
+def f22(spark, d):
     words = F.when(F.col("text").isNotNull(), text.word_count(F.col("text")))
     return table(spark, d, "documents").select("doc_id", text.content_fingerprint(F.col("text")).alias("fp"), words.alias("words"))
 
@@ -501,15 +487,17 @@ def o2(spark, d):
     return rows.select("user_id", F.size(tables.set_delta("a", "b")).alias("n"))
 
 
-@query("o7_source_line_diff", f"""{WITH} SELECT page_id AS id, CAST(sum(CASE WHEN k = 'b' THEN 1 ELSE 0 END) AS BIGINT) AS before_lines FROM (SELECT page_id, 'b' AS k, unnest(list_slice(string_split(regexp_replace(substr(html, 1, 120000), '>\\s*<', '>' || chr(1) || '<', 'g'), chr(1)), 1, 300)) AS line FROM pages) GROUP BY page_id""")
-def o7(spark, d):
-    pairs = pages(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("before")).join(enriched(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("after")), "id")
-    return tables.source_line_diff(pairs).groupBy("id").agg(F.sum(F.col("same") + F.col("removed")).cast("long").alias("before_lines"))
+LINE_SIDES = f"""{WITH}, b AS (SELECT page_id AS id, unnest(list_slice(string_split(regexp_replace(substr(html, 1, 120000), '>\\s*<', '>' || chr(1) || '<', 'g'), chr(1)), 1, 300)) AS line FROM pages),
+a AS (SELECT page_id AS id, unnest(list_slice(string_split(regexp_replace(substr(html, 1, 120000), '>\\s*<', '>' || chr(1) || '<', 'g'), chr(1)), 1, 300)) AS line FROM ep),
+c AS (SELECT id, substr(line, 1, 1200) AS line, count(*) FILTER (WHERE k = 'b') AS nb, count(*) FILTER (WHERE k = 'a') AS na FROM (SELECT *, 'b' AS k FROM b UNION ALL SELECT *, 'a' FROM a) GROUP BY 1, 2)
+SELECT id, CAST(sum(least(na, nb)) AS BIGINT) AS same, CAST(sum(greatest(na - nb, 0)) AS BIGINT) AS added, CAST(sum(greatest(nb - na, 0)) AS BIGINT) AS removed FROM c GROUP BY id"""
 
 
-@query("o7_source_line_diff_sides")
-def o7_sides(spark, d):
-    pairs = pages(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("before")).join(enriched(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("after")), "id")
+@query("o7_source_line_diff", LINE_SIDES)
+@query("o7_source_line_diff_sides", LINE_SIDES)
+@query("o7_source_line_sides", LINE_SIDES)
+def o7(spark, d):
+    pairs = pages(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("before")).join(enriched(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("after")).hint("merge"), "id")
     return tables.source_line_diff(pairs).groupBy("id").agg(*[F.sum(c).cast("long").alias(c) for c in ("same", "added", "removed")])
 
 
@@ -610,18 +598,28 @@ def e23(spark, d):
     return sitemaps.robots_sitemaps(texts).select("origin", "url")
 
 
-@query("g7_expand_sitemaps", """SELECT 'https://site.example/b' || CAST(page_id AS VARCHAR) || '.xml' AS sitemap, 'https://site.example/leaf' || CAST(page_id AS VARCHAR) AS url FROM pages WHERE page_id BETWEEN 1 AND 12""")
-def g7(spark, d):
+def origin_sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of an index for each origin, where 15 pages make an origin: with the index, as many files as are read of one."""
     from sitegrain.cluster import checkpoints
 
     checkpoints(spark)
-    p = pages(spark, d)
-    n = F.col("page_id").cast("string")
-    leaf = p.select(F.concat(F.lit("https://site.example/b"), n, F.lit(".xml")).alias("sitemap_url"), F.concat(F.lit("<urlset><url><loc>https://site.example/leaf"), n, F.lit("</loc></url></urlset>")).alias("text"))
-    child = F.concat(F.lit("<sitemap><loc>https://site.example/b"), n, F.lit(".xml</loc></sitemap>"))
-    index = p.where("page_id between 1 and 12").agg(F.array_join(F.sort_array(F.collect_list(child)), "").alias("x")).select(F.lit("https://site.example/sitemap.xml").alias("sitemap_url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("text"))
-    seeds = index.select(F.lit("https://site.example").alias("origin"), F.col("sitemap_url").alias("url"))
-    return sitemaps.expand_sitemaps(leaf.unionByName(index), seeds).select("sitemap", "url")
+    n = F.col("page_id")
+    origin = F.concat(F.lit("https://o"), F.floor(n / 15).cast("string"), F.lit(".example"))
+    p = pages(spark, d).select(origin.alias("origin"), n.cast("string").alias("n"))
+    leaf = p.select(F.concat("origin", F.lit("/b"), "n", F.lit(".xml")).alias("sitemap_url"), F.concat(F.lit("<urlset><url><loc>"), "origin", F.lit("/leaf"), "n", F.lit("</loc></url></urlset>")).alias("text"))
+    child = F.concat(F.lit("<sitemap><loc>"), "origin", F.lit("/b"), "n", F.lit(".xml</loc></sitemap>"))
+    index = p.groupBy("origin").agg(F.array_join(F.sort_array(F.collect_list(child)), "").alias("x")).select("origin", F.concat("origin", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("text"))
+    store = leaf.unionByName(index.select(F.col("url").alias("sitemap_url"), "text")).checkpoint()
+    return sitemaps.expand_sitemaps(store, index.select("origin", "url")).select("origin", "sitemap", "url")
+
+
+ORIGIN_SITEMAPS = """SELECT 'https://o' || page_id // 15 || '.example' AS origin, 'https://o' || page_id // 15 || '.example/b' || page_id || '.xml' AS sitemap,
+  'https://o' || page_id // 15 || '.example/leaf' || page_id AS url FROM pages"""
+
+
+@query("g7_expand_sitemaps", f"SELECT sitemap, url FROM ({ORIGIN_SITEMAPS})")
+def g7(spark, d):
+    return origin_sitemaps(spark, d).select("sitemap", "url")
 
 
 @query("a01_run_summary", f"{WITH} SELECT count(*) AS pages, (SELECT count(*) FROM err) AS failed, (SELECT count(DISTINCT target) FROM tgt WHERE starts_with(target, 'https://site.example')) AS internal_links, (SELECT count(DISTINCT target) FROM tgt WHERE NOT starts_with(target, 'https://site.example')) AS external_links FROM cap")

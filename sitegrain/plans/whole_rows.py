@@ -10,7 +10,7 @@ from sitegrain.operators import findings as fi
 from sitegrain.operators import frontier, graph, links, merge, robots, sitemaps, tables, windows
 from sitegrain.operators.parse import parse_pages
 from sitegrain.plans.captures import ROOT, captures, enriched, errors, parsed, table
-from sitegrain.plans.queries import FAILED, H, P, PATH, RULE_SQL, WITH, pages, query
+from sitegrain.plans.queries import FAILED, ORIGIN_SITEMAPS, H, P, PATH, RULE_SQL, WITH, origin_sitemaps, pages, query
 from sitegrain.sources import captures as sources
 from sitegrain.sources import sinks
 
@@ -366,15 +366,6 @@ def j7_lists(spark, d):
     return out.select("url", F.explode(F.concat(side("added_links", "added"), side("removed_links", "removed"), changed)).alias("r")).select("url", "r.*")
 
 
-@query("o7_source_line_sides", f"""{WITH}, b AS (SELECT page_id AS id, unnest(list_slice(string_split(regexp_replace(substr(html, 1, 120000), '>\\s*<', '>' || chr(1) || '<', 'g'), chr(1)), 1, 300)) AS line FROM pages),
-a AS (SELECT page_id AS id, unnest(list_slice(string_split(regexp_replace(substr(html, 1, 120000), '>\\s*<', '>' || chr(1) || '<', 'g'), chr(1)), 1, 300)) AS line FROM ep),
-c AS (SELECT id, substr(line, 1, 1200) AS line, count(*) FILTER (WHERE k = 'b') AS nb, count(*) FILTER (WHERE k = 'a') AS na FROM (SELECT *, 'b' AS k FROM b UNION ALL SELECT *, 'a' FROM a) GROUP BY 1, 2)
-SELECT id, CAST(sum(least(na, nb)) AS BIGINT) AS same, CAST(sum(greatest(na - nb, 0)) AS BIGINT) AS added, CAST(sum(greatest(nb - na, 0)) AS BIGINT) AS removed FROM c GROUP BY id""")
-def o7_rows(spark, d):
-    pairs = pages(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("before")).join(enriched(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("after")).hint("merge"), "id")
-    return tables.source_line_diff(pairs).groupBy("id").agg(*[F.sum(c).cast("long").alias(c) for c in ("same", "added", "removed")])
-
-
 @query("a12_depth_counts", f"{WITH} SELECT depth, count(*) AS count FROM cap GROUP BY depth")
 def a12_depths(spark, d):
     return tables.depth_counts(captures(spark, d))
@@ -609,17 +600,9 @@ def j15(spark, d):
     return tables.select_rows(p, p.where("page_id < 10"), p.where("page_id % 5 = 0").select("url")).select("url")
 
 
-@query("g7_expand_origin_sitemaps", f"""SELECT 'https://o' || page_id // 20 || '.example' AS origin, 'https://o' || page_id // 20 || '.example/b' || page_id || '.xml' AS sitemap, 'https://o' || page_id // 20 || '.example/leaf' || page_id AS url FROM pages WHERE page_id % 20 < 12""")
+@query("g7_expand_origin_sitemaps", ORIGIN_SITEMAPS)
 def g7_origins(spark, d):
-    checkpoints(spark)
-    n = F.col("page_id")
-    origin = F.concat(F.lit("https://o"), F.floor(n / 20).cast("string"), F.lit(".example"))
-    p = pages(spark, d).where("page_id % 20 < 12").select(origin.alias("origin"), n.cast("string").alias("n"))
-    leaf = p.select(F.concat("origin", F.lit("/b"), "n", F.lit(".xml")).alias("sitemap_url"), F.concat(F.lit("<urlset><url><loc>"), "origin", F.lit("/leaf"), "n", F.lit("</loc></url></urlset>")).alias("text"))
-    child = F.concat(F.lit("<sitemap><loc>"), "origin", F.lit("/b"), "n", F.lit(".xml</loc></sitemap>"))
-    index = p.groupBy("origin").agg(F.array_join(F.sort_array(F.collect_list(child)), "").alias("x")).select("origin", F.concat("origin", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("text"))
-    store = leaf.unionByName(index.select(F.col("url").alias("sitemap_url"), "text")).checkpoint()
-    return sitemaps.expand_sitemaps(store, index.select("origin", "url")).select("origin", "sitemap", "url")
+    return origin_sitemaps(spark, d)
 
 
 @query("e24_parse_errors", "SELECT page_id, page_id % 7 = 0 AS failed FROM pages")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.llm import decontaminate, gru_lm, language_id, license_scan, merkle, near_dedup, packing, quality_crf, quality_rules, secret_scan, suffix_dedup
+from sitegrain.llm import collocations, decontaminate, gru_lm, language_id, license_scan, merkle, near_dedup, packing, quality_crf, quality_rules, secret_scan, suffix_dedup
 
 
 def tokenizer_path() -> str:
@@ -60,6 +60,10 @@ def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_automaton_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_octopus_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_prefix_join_decontamination": op8_prefix_join_decontamination,
         "op9_sparse_suffix_dedup": op9_sparse_suffix_dedup,
         "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
+        "op11_automaton_collocations": op11_automaton_collocations,
         "op13_octopus_merkle_manifest": op13_octopus_merkle_manifest,
     }
 
@@ -87,5 +92,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_template_license_scan": license_scan.oracle(),
         "op8_prefix_join_decontamination": decontaminate.ORACLE,
+        "op11_automaton_collocations": collocations.oracle(),
         "op13_octopus_merkle_manifest": merkle.oracle(),
     }

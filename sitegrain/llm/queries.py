@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.llm import collocations, decontaminate, gru_lm, language_id, license_scan, merkle, near_dedup, packing, quality_crf, quality_rules, secret_scan, suffix_dedup
+from sitegrain.llm import collocations, decontaminate, gru_lm, language_id, license_scan, merkle, near_dedup, packing, quality_crf, quality_rules, secret_scan, suffix_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -64,6 +64,10 @@ def op11_automaton_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_folded_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_octopus_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sparse_suffix_dedup": op9_sparse_suffix_dedup,
         "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
         "op11_automaton_collocations": op11_automaton_collocations,
+        "op12_folded_lexicon_toxicity": op12_folded_lexicon_toxicity,
         "op13_octopus_merkle_manifest": op13_octopus_merkle_manifest,
     }
 

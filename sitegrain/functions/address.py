@@ -61,7 +61,7 @@ def absolute(value: str | None, base: str | None = None) -> str | None:
         if port is not None and port != _DEFAULT[scheme]:
             at += f":{port}"
         path = _dots(quote(parts.path.replace("\\", "/") or "/", safe=_PATH_SAFE))
-        query = "?" + quote(parts.query, safe=_QUERY_SAFE) if parts.query else ""
+        query = "?" + quote(parts.query, safe=_QUERY_SAFE) if "?" in value.split("#", 1)[0] else ""
         return f"{scheme}://{at}{path}{query}"
     except (ValueError, UnicodeError):
         return None

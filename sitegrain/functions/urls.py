@@ -1,27 +1,18 @@
-"""URL functions over columns. Absolute ASCII addresses are handled by expressions; others by one Arrow function."""
+"""URL functions over columns, as expressions; an address that is already in normal form is told by a pattern and left as it is."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from sitegrain.functions.address import absolute
+from sitegrain.functions.hosts import apply, host_sql, let
 
-#: Tracking parameters that ``strip_tracking`` removes, besides those that start with utm_.
+#: Tracking parameters that ``strip_tracking`` removes, besides those that start with utm_.
 TRACKING = ("fbclid", "gclid", "msclkid")
 _PLAIN = r"^https?://[a-z0-9.-]+(/[A-Za-z0-9_~!$&()*+,;=:@/-]*(\.[A-Za-z0-9_~!$&()*+,;=:@-]+)*)?(\?[A-Za-z0-9._~!$&()*+,;=:@/?%-]*)?$"
-
-
-@F.pandas_udf(StringType())
-def _absolute(value: pd.Series) -> pd.Series:
-    return value.map(absolute, na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def _resolved(value: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([absolute(v, b) if v is not None and b is not None else None for v, b in zip(value, base, strict=True)], dtype="object")
+#: Characters that stay in a path, and in a query; others are written as the bytes of their UTF-8.
+_IN_PATH = r"A-Za-z0-9/:@!$&'()*+,;=._~%\[\]|\\^-"
+_IN_QUERY = r"A-Za-z0-9/:@!$&()*+,;=._~%\[\]|\\^{}`?-"
 
 
 def without_fragment(c: Column) -> Column:
@@ -29,25 +20,90 @@ def without_fragment(c: Column) -> Column:
 
 
 def _is_plain(c: Column) -> Column:
-    """Already in normal form, but perhaps for a missing path: nothing to decode, resolve or encode."""
-    return c.rlike(_PLAIN) & ~c.rlike(r"/\.{1,2}(/|$|\?)") & ~c.rlike(r"%2[eE]")
+    """Already in normal form, but perhaps for a missing path: nothing to decode, resolve or encode, and no host that ends in a number."""
+    return c.rlike(_PLAIN) & ~c.rlike(r"/\.{1,2}(/|$|\?)") & ~c.rlike(r"%2[eE]") & ~c.rlike(r"^https?://([^/?]*\.)?(\d+|0x[0-9a-f]*)\.?([/?]|$)")
+
+
+def _trimmed(v: str) -> str:
+    """SQL: without control characters and spaces around, and without tabs and line breaks."""
+    return rf"regexp_replace(regexp_replace({v}, r'^[\x00-\x20]+|[\x00-\x20]+$', ''), r'[\t\n\r]', '')"
+
+
+def _encoded(v: str, safe: str) -> str:
+    """SQL: other characters than the safe ones as the bytes of their UTF-8."""
+    runs = f'regexp_extract_all(e, r"([{safe}]+|[^{safe}])", 1)'
+    written = f"transform({runs}, x -> if(x rlike r\"^[{safe}]\", x, regexp_replace(hex(encode(x, 'UTF-8')), '(..)', '%$1')))"
+    return let("e", v, f"if(e rlike r\"^[{safe}]*$\", e, array_join({written}, ''))")
+
+
+def _without_dots(v: str) -> str:
+    """SQL: a path (from its first slash on) with dot segments resolved."""
+    up, here = (rf"x.p rlike r'(?i)^(\.|%2e){n}$'" for n in ("{2}", ""))
+    end, above = "if(x.last, array(''), array())", "slice(a, 1, greatest(size(a) - 1, 0))"
+    step = f"case when {up} then concat({above}, {end}) when {here} then concat(a, {end}) else concat(a, array(x.p)) end"
+    walked = let("m", "split(substring(d, 2), '/')", f"aggregate(transform(m, (x, i) -> struct(x as p, i = size(m) - 1 as last)), cast(array() as array<string>), (a, x) -> {step}, a -> concat('/', array_join(a, '/')))")
+    return let("d", v, rf"if(d rlike r'(?i)/(\.|%2e){{1,2}}(/|$)', {walked}, d)")
+
+
+def _serialised_sql(v: str) -> str:
+    """SQL: any http(s) address in normal form; null for anything else and for addresses with credentials."""
+    start = r"(?i)^https?:[/\\]*"
+    host_port = rf"regexp_extract(v, r'{start}(?:[^/\\?#]*@)?([^/\\?#@]*)', 1)"
+    parts = ", ".join(
+        f"{value} as {name}"
+        for name, value in {
+            "scheme": "lower(regexp_extract(v, r'(?i)^(https?):', 1))",
+            "who": rf"regexp_extract(v, r'{start}([^/\\?#]*)@', 1)",
+            "ok": rf"{host_port} rlike r'^(\[[^\]]*\]|[^:]*)(:\d*)?$'",
+            "port": rf"regexp_extract({host_port}, r':0*(\d*)$', 1)",
+            "path": rf"replace(regexp_extract(v, r'{start}[^/\\?#]*([^?#]*)', 1), r'\', '/')",
+            "query": rf"regexp_extract(v, r'{start}[^?#]*(\?[^#]*)', 1)",
+            "host": let("w", rf"regexp_extract({host_port}, r'^(\[[^\]]*\]|[^:]*)', 1)", host_sql("w")),
+        }.items()
+    )
+    port = "if(p.port = '' or p.port = if(p.scheme = 'http', '80', '443'), '', concat(':', p.port))"
+    ok = "p.scheme in ('http', 'https') and p.who in ('', ':') and p.ok and p.host is not null and (p.port = '' or length(p.port) <= 5 and try_cast(p.port as int) <= 65535)"
+    path = _without_dots(_encoded("if(startswith(p.path, '/'), p.path, concat('/', p.path))", _IN_PATH))
+    whole = f"if({ok}, concat(p.scheme, '://', p.host, {port}, {path}, {_encoded('p.query', _IN_QUERY)}), null)"
+    return let("v", _trimmed(v), let("p", f"struct({parts})", whole))
+
+
+def _normal_sql(v: str) -> str:
+    """SQL: ``v`` in normal form, an address that is so already told by a pattern."""
+    plain = rf"b rlike r'{_PLAIN}' and not b rlike r'/\.{{1,2}}(/|$|\?)' and not b rlike '%2[eE]' and not b rlike r'^https?://([^/?]*\.)?(\d+|0x[0-9a-f]*)\.?([/?]|$)'"
+    slash = "if(b rlike '^https?://[^/?]+$', concat(b, '/'), regexp_replace(b, r'^(https?://[^/?]+)\\?', '$1/?'))"
+    return let("b", rf"regexp_replace({v}, r'#[\s\S]*$', '')", f"if({plain}, {slash}, {_serialised_sql(v)})")
 
 
 def normalize_url(c: Column) -> Column:
     """http(s) address without fragment in normal form; null for anything else, and for addresses with credentials."""
     bare = without_fragment(c)
     slash = F.when(bare.rlike(r"^https?://[^/?]+$"), F.concat(bare, F.lit("/"))).otherwise(F.regexp_replace(bare, r"^(https?://[^/?]+)\?", "$1/?"))
-    return F.when(_is_plain(bare), slash).otherwise(_absolute(c))
+    return F.when(_is_plain(bare), slash).otherwise(apply(c, "u", _serialised_sql("u")))
 
 
 try_normalize_url = normalize_url
 
 
-def resolve_url(href: Column, base_href: Column, page_url: Column) -> Column:
+def _against(href: Column, base: Column) -> Column:
+    """``href`` against an address in normal form (else only a whole ``href`` counts); null unless http(s)."""
+    origin, path, scheme = r"regexp_extract(x.b, r'^(https?://[^/?#]*)', 1)", r"regexp_extract(x.b, r'^https?://[^/?#]*([^?#]*)', 1)", r"regexp_extract(x.b, '^(https?:)', 1)"
+    relative = (
+        rf"case when r rlike r'^[/\\]{{2}}' then concat({scheme}, r) when r rlike r'^[/\\]' then concat({origin}, r) when startswith(r, '?') then concat({origin}, {path}, r)"
+        rf" when r = '' or startswith(r, '#') then x.b else concat({origin}, regexp_replace({path}, '[^/]*$', ''), r) end"
+    )
+    own = rf"lower(regexp_extract(x.h, '^([A-Za-z]*:)', 1)) = {scheme} and x.h rlike r'(?i)^https?:([^/\\]|$)'"
+    given = let("r", "if(x.h rlike '(?i)^https?:', regexp_replace(x.h, '^[^:]*:', ''), x.h)", relative)
+    placed = f"case when x.h rlike '(?i)^https?:' and not coalesce({own}, false) then x.h when not x.h rlike '(?i)^https?:' and x.h rlike '^[A-Za-z][A-Za-z0-9+.-]*:' then null when x.b is not null then {given} end"
+    both = F.struct(href.alias("h"), F.when(base.rlike("^https?://[^/?#]"), without_fragment(base)).alias("b"))
+    return apply(both, "y", let("x", f"struct({_trimmed('y.h')} as h, y.b as b)", let("u", placed, _normal_sql("u"))))
+
+
+def resolve_url(href: Column, base_href: Column | None, page_url: Column) -> Column:
     """``href`` against the first base element's address, itself against the page; null if blank, too long or not http(s)."""
     bare = F.trim(href)
-    base = F.when(base_href.isNull(), page_url).otherwise(F.coalesce(_resolved(base_href, page_url), page_url))
-    return F.when((F.length(bare) > 0) & (F.length(bare) <= 8192), _resolved(bare, base))
+    base = page_url if base_href is None else F.when(base_href.isNull(), page_url).otherwise(F.coalesce(_against(base_href, page_url), page_url))
+    return F.when((F.length(bare) > 0) & (F.length(bare) <= 8192), _against(bare, base))
 
 
 def url_identity(c: Column) -> Column:

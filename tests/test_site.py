@@ -142,3 +142,48 @@ def test_effective_start_moves_only_by_canonical_transitions(spark):
     seeds = spark.createDataFrame([("http://x.example/",), ("https://y.example/",), ("https://q.example/",), ("https://z.example/",)], "url string")
     out = {r.seed: (r.effective_start_url, r.error) for r in frontier.effective_start(responses, seeds).collect()}
     assert out == {"http://x.example/": ("https://www.x.example/home", None), "https://y.example/": ("https://y.example/", "out-of-scope"), "https://q.example/": ("https://q.example/", "missing-location"), "https://z.example/": ("https://z.example/", None)}
+
+
+#: Addresses and their normal form.
+NORMAL = [
+    ("HTTP://Host.Example:80/a/../b?Q=1#f", "http://host.example/b?Q=1"), ("https://h", "https://h/"), ("ftp://h/", None), ("https://u:p@h/", None), ("https://@h/", "https://h/"),
+    ("http://a/?", "http://a/?"), ("http://a/é?ü='x'", "http://a/%C3%A9?%C3%BC=%27x%27"), ("http://bücher.example/", "http://xn--bcher-kva.example/"),
+    ("http://例え.テスト/", "http://xn--r8jz45g.xn--zckzah/"), ("http://☃.net/😀", "http://xn--n3h.net/%F0%9F%98%80"), ("http://127.1/", "http://127.0.0.1/"), ("http://0x7f.1", "http://127.0.0.1/"),
+    ("http://256.256.256.256/", None), ("http://1.2.3.4.5/", None), ("http://[::1]/", "http://[::1]/"), ("http://[2001:db8:0:0:1:0:0:1]:8080/", "http://[2001:db8::1:0:0:1]:8080/"),
+    ("http://[::ffff:1.2.3.4]/", "http://[::ffff:102:304]/"), ("http://[1:2]/", None), ("http://a b/", None), ("http://ex%41mple.com/x", "http://example.com/x"),
+    (" \thttp:\\\\h\\a\\..\\b ", "http://h/b"), ("http:h/x", "http://h/x"), ("http://h:0080/", "http://h/"), ("http://h:65536/", None), ("http://h:/x", "http://h/x"),
+    ("http://h/a/%2e%2E/b/.", "http://h/b/"), ("http://h/..", "http://h/"), ("http://h/a{b}`c", "http://h/a%7Bb%7D%60c"), ("http://h/a?{}`\"<>", "http://h/a?{}`%22%3C%3E"),
+    ("javascript:x", None), ("/x", None), ("", None), (None, None), ("http://", None), ("https://h/p?x=%zz", "https://h/p?x=%zz"), ("https://a.example/b/./c", "https://a.example/b/c"),
+]
+#: References, base elements, pages and what they lead to.
+RESOLVED = [
+    ("a", None, "http://h/x/y?q", "http://h/x/a"), ("../a", None, "http://h/x/y/z", "http://h/x/a"), ("?z", None, "http://h/x/y?q", "http://h/x/y?z"), ("#z", None, "http://h/x/y?q", "http://h/x/y?q"),
+    ("//k/a", None, "https://h/", "https://k/a"), ("/a", None, "http://h:81/x", "http://h:81/a"), ("http:a", None, "http://h/x/y", "http://h/x/a"), ("http:a", None, "https://h/x/y", "http://a/"),
+    ("mailto:x", None, "http://h/", None), ("\\a", None, "http://h/x", "http://h/a"), ("/é", None, "https://f.example/p", "https://f.example/%C3%A9"), ("x", None, "nope", None),
+    ("https://z/", None, "nope", "https://z/"), ("1:2", None, "http://h/x/y", "http://h/x/1:2"), ("a", "s/", "http://h/x/y", "http://h/x/s/a"), ("a", "ftp://q/", "http://h/x/y", "http://h/x/a"), (" ", None, "http://h/", None),
+]
+
+
+def test_addresses(spark):
+    got = spark.createDataFrame(NORMAL, "c string, want string").select("c", "want", urls.normalize_url(F.col("c")).alias("got"))
+    assert got.where("not (got <=> want)").collect() == []
+    got = spark.createDataFrame(RESOLVED, "c string, base string, page string, want string").withColumn("got", urls.resolve_url(F.col("c"), F.col("base"), F.col("page")))
+    assert got.where("not (got <=> want)").collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_addresses_where_executors_lack_the_package(tmp_path):
+    """Queries over addresses run from another folder, where workers can't import the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"import sys; sys.path.insert(0, {str(Path(__file__).parents[1])!r})\n" + (
+        "from pyspark.sql import SparkSession\nimport __spark_entry__ as e\n"
+        "s = SparkSession.builder.master('local-cluster[1,2,1024]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "s.sparkContext.setLogLevel('ERROR')\n"
+        "print(*(len(e.queries()[n](s, '/root/testdata/sf0.001').collect()) for n in ('f01_normalize_url', 'f02_resolve_url', 'j1_robots_allowed')))\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert all(int(n) > 0 for n in done.stdout.split()[-3:]) and len(done.stdout.split()) >= 3, done.stderr[-2000:]

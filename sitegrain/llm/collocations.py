@@ -33,7 +33,7 @@ IS_WORD[[0x20, 0x09]] = False
 #: Bits of a map of frequent words or pairs, as a power of two: 16 MB, whatever the corpus.
 MAP_BITS = 27
 #: Words of a shard; words of the corpus for each prefix range.
-SHARD_WORDS, RANGE_WORDS = 1 << 21, 1 << 21
+SHARD_WORDS, RANGE_WORDS = 1 << 21, 1 << 23
 #: Buckets in which the first of a language are taken before they meet.
 TOP_BUCKETS = 64
 

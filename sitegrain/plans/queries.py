@@ -622,6 +622,45 @@ def g7(spark, d):
     return origin_sitemaps(spark, d).select("sitemap", "url")
 
 
+def nested_sitemaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Captured files and origins where each index lists the next one and a file; a file also lists the address of the file before, in markup that hides more."""
+    from sitegrain.cluster import checkpoints
+
+    checkpoints(spark)
+    n, k = F.col("page_id"), F.col("page_id") % 15
+    at = F.concat(F.lit("https://n"), F.floor(n / 15).cast("string"), F.lit(".example"))
+    p = pages(spark, d).select(at.alias("origin"), k.alias("k"), "url")
+    say = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.col(x) if x == "origin" else F.lit(x) for x in parts))
+    one, up, below = F.col("k").cast("string"), (F.col("k") + 1).cast("string"), F.greatest(F.col("k") - 1, F.lit(0)).cast("string")
+    index = p.select(say("origin", "/c", one, "/i.xml").alias("sitemap_url"), say("<!-- <sitemap><loc>", "origin", "/hidden.xml</loc></sitemap> --><sitemapindex><sitemap><loc>", "origin", "/c", up, "/i.xml</loc></sitemap><sitemap><loc>", "origin", "/c", one, "/u.xml</loc></sitemap></sitemapindex>").alias("text"))
+    leaf = p.select(
+        say("origin", "/c", one, "/u.xml").alias("sitemap_url"),
+        say("<s:urlset xmlns:s='x' xmlns:image='y'><s:url><image:image><image:loc>", "origin", "/picture</image:loc></image:image><s:loc>", "origin", "/at/", one, "</s:loc></s:url><s:url><s:loc><![CDATA[", "origin", "/at/", below, "]]></s:loc></s:url><!-- <s:url><s:loc>", "origin", "/no</s:loc></s:url> --></s:urlset>").alias("text"),
+    )
+    first = p.select("origin").distinct().select(say("origin", "/sitemap.xml").alias("sitemap_url"), say("<sitemapindex><sitemap><loc>", "origin", "/c0/i.xml</loc></sitemap></sitemapindex>").alias("text"))
+    return index.unionByName(leaf).unionByName(first).checkpoint(), p.select("origin", say("origin", "/sitemap.xml").alias("url")).distinct()
+
+
+@query("g7_nested_sitemaps", "SELECT 'https://n' || page_id // 15 || '.example' AS origin, 'https://n' || page_id // 15 || '.example/c' || page_id % 15 || '/u.xml' AS sitemap, 'https://n' || page_id // 15 || '.example/at/' || page_id % 15 AS url FROM pages WHERE page_id % 15 <= 6")
+def g7_nested(spark, d):
+    """Nine levels, until sixteen files of an origin are read."""
+    return sitemaps.expand_sitemaps(*nested_sitemaps(spark, d)).select("origin", "sitemap", "url")
+
+
+@query("g7_sitemap_files", """WITH o AS (SELECT page_id // 15 AS o, max(page_id % 15) AS last FROM pages GROUP BY 1), at AS (SELECT 'https://n' || o || '.example' AS origin, last, k FROM o, range(0, 8) r(k))
+SELECT DISTINCT origin, 1 AS n, origin || '/sitemap.xml' AS sitemap, 'index' AS kind, 0 AS urls FROM at UNION ALL SELECT origin, CASE k WHEN 0 THEN 2 ELSE 2 * k + 1 END, origin || '/c' || k || '/i.xml', CASE WHEN k <= last THEN 'index' ELSE 'unknown' END, 0 FROM at WHERE k <= last + 1
+UNION ALL SELECT origin, 2 * k + 4, origin || '/c' || k || '/u.xml', 'urlset', 1 FROM at WHERE k <= least(last, 6)""".replace(", at AS", ", spots AS").replace("FROM at", "FROM spots"))
+def g7_files(spark, d):
+    return sitemaps.sitemap_files(*nested_sitemaps(spark, d)).select("origin", F.col("n").cast("int").alias("n"), "sitemap", "kind", F.col("urls").cast("int").alias("urls"))
+
+
+@query("e22_sitemap_markup", "SELECT 'https://n' || page_id // 15 || '.example/c' || page_id % 15 || '/u.xml' AS sitemap, i AS pos, 'https://n' || page_id // 15 || '.example/at/' || greatest(page_id % 15 - i, 0) AS url FROM pages, range(0, 2) r(i)")
+def e22_markup(spark, d):
+    """Entries among comments, CDATA, prefixes and pictures' addresses."""
+    store, _ = nested_sitemaps(spark, d)
+    return sitemaps.sitemap_entries(store).where("kind = 'urlset'").select("sitemap", F.col("pos").cast("long").alias("pos"), "url")
+
+
 @query("a01_run_summary", f"{WITH} SELECT count(*) AS pages, (SELECT count(*) FROM err) AS failed, (SELECT count(DISTINCT target) FROM tgt WHERE starts_with(target, 'https://site.example')) AS internal_links, (SELECT count(DISTINCT target) FROM tgt WHERE NOT starts_with(target, 'https://site.example')) AS external_links FROM cap")
 def a01_run(spark, d):
     from sitegrain.operators.merge import run_summary

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,4 +30,13 @@ def checkpoints(spark: SparkSession) -> None:
     """A checkpoint folder of our own where the cluster names none (``spark.checkpoint.dir``), as in tests."""
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing is at yet."""
+    checkpoints(spark)
+    sc = spark.sparkContext
+    return f"{(sc.getConf().get('spark.checkpoint.dir', None) or sc.getCheckpointDir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_network
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitegrain.functions.hosts import ipv4_octets, ipv6_groups
+
 RETRYABLE = (408, 429, 500, 502, 503, 504)
 #: Response headers that are kept.
 KEPT_HEADERS = (
@@ -56,18 +60,32 @@ def retry_after_ms(header: Column, at: Column) -> Column:
     return F.when(header.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.round(F.trim(header).try_cast("double") * 1000)).when(date.isNotNull(), F.greatest(F.lit(0.0), (F.unix_millis(date) - F.unix_millis(at)).cast("double"))).cast("long")
 
 
+# Prefixes of addresses that are not public.
+PRIVATE_V4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/16", "192.88.99.0/24", "192.168.0.0/16",
+    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/3",
+)
+PRIVATE_V6 = ("2001::/23", "2001:db8::/32", "2002::/16", "3fff::/16")
+#: Global unicast; what lies outside is not public.
+UNICAST_V6 = ("2000::/3",)
+
+
+def _within(first: Column, prefixes: tuple[str, ...]) -> Column:
+    """Whether an address (its first 32 bits) lies in one of the prefixes, of at most 32 bits each."""
+    parsed = [ip_network(p) for p in prefixes]
+    rows = F.array(*(F.struct(F.lit((int(n.network_address) >> n.max_prefixlen - 32) >> 32 - n.prefixlen).cast("long").alias("value"), F.lit(2 ** (32 - n.prefixlen)).cast("long").alias("size")) for n in parsed))
+    return F.exists(rows, lambda p: F.floor(first / p["size"]) == p["value"])
+
+
 def is_public_ip(c: Column) -> Column:
-    """Global unicast addresses: not private, loopback, link-local, shared, documentation, benchmark, multicast or reserved."""
-    v4 = c.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    n = lambda i: F.split_part(c, F.lit("."), F.lit(i)).try_cast("int")
-    a, b, d = n(1), n(2), n(3)
-    special = (
-        a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b.isin(0, 168) | ((b == 88) & (d == 99)))) | ((a == 198) & (b.isin(18, 19) | ((b == 51) & (d == 100)))) | ((a == 203) & (b == 0) & (d == 113))
-    )
-    low = F.lower(c)
-    v6 = low.rlike(r"^[23][0-9a-f]{3}:[0-9a-f:.]*$") & ~low.rlike(r"^2001:(0{1,4}:|db8:|[01]?[0-9a-f]{1,2}:)") & ~low.startswith("2002:") & ~low.startswith("3fff:")
-    return F.coalesce(F.when(v4, ~special).otherwise(v6), F.lit(False))
+    """Global unicast addresses: not private, loopback, link-local, shared, documentation, benchmark, multicast or reserved.
+
+    An address is taken as a number, whichever way it is written; what is no address is not public.
+    """
+    octets, groups = ipv4_octets(c), ipv6_groups(F.regexp_replace(c, r"%[0-9A-Za-z.:-]+$", ""))
+    number = lambda parts, base: F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * base + x)
+    v4, v6 = number(octets, 256), number(F.slice(groups, 1, 2), 65536)
+    return F.coalesce(F.when(octets.isNotNull(), ~_within(v4, PRIVATE_V4)).otherwise(_within(v6, UNICAST_V6) & ~_within(v6, PRIVATE_V6)), F.lit(False))
 
 
 def raster_type(data: Column) -> Column:

@@ -47,9 +47,18 @@ def word_count(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """A key that sorts runs of digits as numbers: each is padded to 20 digits; letters sort by case last."""
-    parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(F.lower(p))), "")
+    """A value in whose order texts come as readers expect: runs of digits by their value, whatever their length, letters by a Unicode collation.
+
+    Pieces come first, without case and accents, digits as their count and themselves; where these tie, accents and then case decide.
+    """
+    runs = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
+    bare = F.transform(runs, lambda p: F.regexp_replace(p, r"^0+(?=\d)", ""))
+    number = lambda p: p.rlike(r"^\d")
+    piece = lambda p: F.struct(
+        F.when(number(p), 0).otherwise(1).alias("kind"), F.when(number(p), F.length(p)).otherwise(0).alias("size"), F.when(number(p), p).otherwise("").alias("digits"),
+        F.collate(F.when(number(p), "").otherwise(p), "UNICODE_CI_AI").alias("letters"),
+    )
+    return F.struct(F.transform(bare, piece).alias("pieces"), F.collate(F.array_join(bare, ""), "UNICODE").alias("tie"))
 
 
 def declares_noindex(meta_robots: Column, x_robots_tag: Column) -> Column:

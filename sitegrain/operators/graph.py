@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,28 +106,64 @@ def graph_subset(node_rows: DataFrame, edge_rows: DataFrame, focus: str = "", li
     return top, among.orderBy("source", "target").limit(most_edges)
 
 
-def shortest_route(edge_rows: DataFrame, root: str, target: str, most: int = 64) -> DataFrame:
-    """(step, id) of a shortest directed route; no rows if the target is out of reach, one row from a node to itself.
+#: Levels that one job takes while a level has few nodes, and how many are few.
+LEVELS_A_JOB, FEW_NODES = 4, 1000
+
+
+def route_tree(edge_rows: DataFrame, root: str, until: str | None = None) -> DataFrame:
+    """(id, parent, level): a breadth-first tree over all nodes in reach of ``root``, or over the levels up to that of ``until``.
 
-    Levels are jobs: the frontier's edges, less what was reached before. Each level is checkpointed, and only the
-    route's nodes, one per level, come to the driver.
+    A node's parent is the smallest of those one level above. A job takes one level, or up to LEVELS_A_JOB where levels are small, as in a
+    chain of pages; there a node found within the job may be come to again, and its least level counts. Jobs are cut by checkpoints.
     """
     spark = edge_rows.sparkSession
-    start = spark.createDataFrame([(root, None, 0)], "id string, parent string, level int")
-    reached, frontier, level = start, start, 0
-    while root != target and level < most and frontier.take(1) and not frontier.where(F.col("id") == target).take(1):
-        level += 1
-        step = edge_rows.join(frontier.select(F.col("id").alias("source")), "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
-        frontier = step.join(reached.select("id"), "id", "left_anti").withColumn("level", F.lit(level)).checkpoint()
-        reached = reached.unionByName(frontier)
-    route, at = [], target
-    while at is not None:
-        row = reached.where(F.col("id") == at).select("parent").take(1)
-        if not row:
-            return spark.createDataFrame([], "step int, id string")
-        route.append(at)
-        at = row[0].parent
-    return spark.createDataFrame([(i, x) for i, x in enumerate(reversed(route))], "step int, id string")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # edges lie by their source, as each level's nodes do after they are grouped, so a level is one shuffle
+    edge_rows = edge_rows.select("source", "target").where("source != target").distinct().repartition(n, "source").sortWithinPartitions("source").checkpoint()
+    frontier = spark.createDataFrame([(root, None, 0)], "id string, parent string, level int").checkpoint()
+    reached, level, steps = frontier, 0, 1
+    for job in itertools.count(1):
+        # the level that is taken is in the rows, so that all levels run the same compiled code
+        part = frontier.withColumn("now", F.col("level"))
+        for _ in range(steps):
+            step = part.join(edge_rows.hint("merge"), (F.col("id") == F.col("source")) & (F.col("level") == F.col("now")), "left")
+            later = F.col("now") + 1
+            own, child = F.struct("id", "parent", "level", later.alias("now")), F.struct(F.col("target").alias("id"), F.col("id").alias("parent"), later.alias("level"), later.alias("now"))
+            both = step.select(F.explode(F.array(own, child)).alias("x")).select("x.*").where("id is not null")
+            part = both.groupBy("id").agg(F.min(F.struct("level", "parent", "now")).alias("r")).select("id", "r.parent", "r.level", "r.now")
+        part = part.drop("now")
+        new = part.where(F.col("level") > level).join(reached.select("id").hint("merge"), "id", "left_anti").checkpoint()
+        level += steps
+        frontier = new.where(F.col("level") == level)
+        reached = reached.unionByName(new)
+        if not frontier.take(1) or until is not None and new.where(F.col("id") == until).take(1):
+            return reached
+        if job % 8 == 0:  # one table again
+            reached = reached.checkpoint()
+        steps = min(2 * steps, LEVELS_A_JOB) if frontier.limit(FEW_NODES + 1).count() <= FEW_NODES else 1
+
+
+def routes(tree: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, step, id): the route to each target (id) that is in the tree, the root first, read off by pointer doubling.
+
+    After k rounds a node points 2 ** k levels up, and a route's known part doubles, so a route of n steps takes log n joins.
+    """
+    top = tree.agg(F.max("level")).first()[0] or 0
+    up = tree.where("parent is not null").select("id", F.col("parent").alias("above")).checkpoint()
+    known = targets.select("id").distinct().join(tree.select("id", "level").hint("merge"), "id").select(F.col("id").alias("target"), F.col("level").alias("step"), "id").checkpoint()
+    span = 1
+    while span <= top:
+        more = known.join(up.hint("merge"), "id").select("target", (F.col("step") - span).alias("step"), F.col("above").alias("id"))
+        known = known.unionByName(more).checkpoint()
+        up = up.join(up.select(F.col("id").alias("above"), F.col("above").alias("next")).hint("merge"), "above").select("id", F.col("next").alias("above")).checkpoint()
+        span *= 2
+    return known.select("target", "step", "id")
+
+
+def shortest_route(edge_rows: DataFrame, root: str, target: str) -> DataFrame:
+    """(step, id) of a shortest directed route; no rows if the target is out of reach, one row from a node to itself."""
+    wanted = edge_rows.sparkSession.createDataFrame([(target,)], "id string")
+    return routes(route_tree(edge_rows, root, target), wanted).select("step", "id")
 
 
 def hop_levels(edge_rows: DataFrame, roots: DataFrame, hops: int) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegrain.functions.text import added_text_percent, natural_key
+from sitegrain.functions.text import SPACE, added_text_percent, natural_key
 from sitegrain.functions.urls import url_extension, url_host, url_origin
 
 
@@ -205,10 +207,10 @@ def compare_rendering(raw: DataFrame, rendered: DataFrame) -> DataFrame:
 
 
 def source_line_diff(pairs: DataFrame, most_lines: int = 300, most_chars: int = 1200, most_text: int = 120_000) -> DataFrame:
-    """(id, line, same, added, removed) of pairs (id, before, after): lines between tags, as a multiset; order is not aligned."""
+    """(id, line, same, added, removed) of pairs (id, before, after): lines as they are broken, and between tags, as a multiset; order is not aligned."""
 
     def lines(col: str, name: str) -> DataFrame:
-        cut = F.slice(F.split(F.substring(col, 1, most_text), r"(?<=>)\s*(?=<)"), 1, most_lines)
+        cut = F.slice(F.split(F.regexp_replace(F.substring(col, 1, most_text), f">{SPACE}*<", ">\n<"), r"\r?\n"), 1, most_lines)
         rows = pairs.select("id", F.explode(cut).alias("line")).select("id", F.substring("line", 1, most_chars).alias("line"))
         return rows.groupBy("id", "line").agg(F.count("*").alias(name))
 
@@ -225,15 +227,38 @@ def render_totals(network: DataFrame, console: DataFrame | None = None) -> DataF
     return network.groupBy("url").agg(F.count("*").alias("requests"), F.count_if(bad).alias("errors"), F.coalesce(F.sum(F.when(~F.col("cached"), F.col("body_bytes"))), F.lit(0)).cast("long").alias("bytes"))
 
 
-def run_digest(pages: DataFrame, errors: DataFrame, stopped: bool = False) -> DataFrame:
-    """One row (digest): SHA-256 over the digests of pages, less timings, depth and requested address, in order of address, and of errors, sorted.
+#: Rows of a leaf of a digest tree, on average.
+LEAF_ROWS = 1024
+
+
+def digest_tree(pages: DataFrame, errors: DataFrame, depth: int | None = None) -> DataFrame:
+    """(level, prefix, digest): a hash tree over a run's pages, less timings, depth and requested address, and its errors.
 
-    Per-row digests are hashed in groups by their first digits and the groups' digests once more, so no task holds all rows' texts.
+    A page lies below the first digits of its address's hash, an error below those of its own, ``depth`` of them (else as many as leave about
+    LEAF_ROWS rows a leaf, by the number of rows). A leaf hashes its rows' digests in order, a node the digests of its at most 16
+    children: no list is longer than a leaf, and a page that changes changes one path. Equal rows are one with a count.
     """
-    stable = [c for c in sorted(pages.columns) if c not in ("duration_ms", "depth", "requested_url", "capture_seq")]
-    rows = pages.select(F.lit("p").alias("k"), F.sha2(F.to_json(F.struct(*stable)), 256).alias("h")).unionByName(errors.select(F.lit("e").alias("k"), F.sha2(F.to_json(F.struct(*[c for c in sorted(errors.columns) if c != "error_seq"])), 256).alias("h")))
-    groups = rows.groupBy("k", F.substring("h", 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return groups.agg(F.sha2(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "g", "h"))), lambda x: F.concat(x["k"], x["g"], x["h"])), ""), F.lit(str(stopped))), 256).alias("digest"))
+    left_out = ("duration_ms", "depth", "requested_url", "capture_seq")
+    of = lambda df, skip: F.sha2(F.to_json(F.struct(*[c for c in sorted(df.columns) if c not in skip])), 256)
+    known = pages.select(F.lit("p").alias("k"), F.sha2("url", 256).alias("at"), of(pages, left_out).alias("h"))
+    failed = errors.select(F.lit("e").alias("k"), of(errors, ("error_seq",)).alias("at"), of(errors, ("error_seq",)).alias("h"))
+    rows = known.unionByName(failed).groupBy("k", "at", "h").agg(F.count("*").alias("n")).checkpoint()
+    if depth is None:
+        depth = max(0, math.ceil(math.log(max(1, rows.count() / LEAF_ROWS), 16)))
+    entries = F.array_sort(F.collect_list(F.concat_ws(":", "k", "at", "h", "n")))
+    level = rows.groupBy(F.substring("at", 1, depth).alias("prefix")).agg(F.sha2(F.array_join(entries, ""), 256).alias("digest")).checkpoint()
+    out = level.withColumn("level", F.lit(depth))
+    for k in reversed(range(depth)):
+        children = F.array_sort(F.collect_list(F.concat_ws(":", "prefix", "digest")))
+        level = level.groupBy(F.substring("prefix", 1, k).alias("prefix")).agg(F.sha2(F.array_join(children, ""), 256).alias("digest")).checkpoint()
+        out = out.unionByName(level.withColumn("level", F.lit(k)))
+    return out.select("level", "prefix", "digest")
+
+
+def run_digest(pages: DataFrame, errors: DataFrame, stopped: bool = False, depth: int | None = None) -> DataFrame:
+    """One row (digest): the root of ``digest_tree`` and whether the run was stopped."""
+    root = digest_tree(pages, errors, depth).where("level = 0").agg(F.max("digest").alias("root"))
+    return root.select(F.sha2(F.concat(F.coalesce("root", F.lit("")), F.lit(str(stopped))), 256).alias("digest"))
 
 
 def diff_runs(before: DataFrame, after: DataFrame) -> DataFrame:

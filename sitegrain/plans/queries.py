@@ -275,6 +275,65 @@ def g3(spark, d):
     return graph.hop_levels(graph.edges(p), p.where("page_id % 50 = 0").select(F.col("url").alias("id")), 2)
 
 
+@query("g3_chain_routes", """WITH n AS (SELECT page_id AS id, page_id // 101 AS b FROM pages), t AS (SELECT id, b FROM n WHERE id % 40 = 0)
+SELECT CAST(t.id AS VARCHAR) AS target, CAST(n.id - 101 * n.b + 1 AS INTEGER) AS step, CAST(n.id AS VARCHAR) AS id FROM t JOIN n ON n.b = t.b AND n.id <= t.id
+UNION ALL SELECT CAST(id AS VARCHAR), 0, 'root' FROM t""")
+def g3_chain(spark, d):
+    """Routes along chains of 101 pages that each begin at one root; every page also leads back to its chain's first."""
+    from sitegrain.cluster import checkpoints
+
+    checkpoints(spark)
+    n = F.col("page_id")
+    first, text = F.floor(n / 101) * 101, lambda c: c.cast("string")
+    p = pages(spark, d).select("page_id")
+    down = p.where(n % 101 > 0).select(text(n - 1).alias("source"), text(n).alias("target"))
+    back = p.where(n % 101 > 1).select(text(n).alias("source"), text(first).alias("target"))
+    start = p.where(n % 101 == 0).select(F.lit("root").alias("source"), text(n).alias("target"))
+    tree = graph.route_tree(down.unionByName(back).unionByName(start), "root")
+    return graph.routes(tree, p.where(n % 40 == 0).select(text(n).alias("id")))
+
+
+@query("g3_route_tree", f"""{WITH.replace("WITH ep", "WITH RECURSIVE ep", 1)}, e AS (SELECT DISTINCT source, target FROM res UNION SELECT 'hub', url FROM cap WHERE page_id % 9 = 0),
+hops AS (SELECT 'hub' AS id, 0 AS level UNION SELECT target, level + 1 FROM hops JOIN e ON e.source = hops.id WHERE level < 40), lev AS (SELECT id, min(level) AS level FROM hops GROUP BY id)
+SELECT l.id AS id, min(e.source) AS parent, l.level AS level FROM lev l LEFT JOIN (SELECT e.source, e.target, p.level FROM e JOIN lev p ON p.id = e.source) e ON e.target = l.id AND e.level = l.level - 1 GROUP BY l.id, l.level""")
+def g3_tree(spark, d):
+    """The tree over the link graph, from a hub that links every ninth page."""
+    from sitegrain.cluster import checkpoints
+
+    checkpoints(spark)
+    p = captures(spark, d)
+    hub = p.where("page_id % 9 = 0").select(F.lit("hub").alias("source"), F.col("url").alias("target"))
+    return graph.route_tree(graph.edges(p).select("source", "target").unionByName(hub), "hub")
+
+
+#: Addresses in odd forms, and whether they are public.
+ODD_ADDRESSES = [
+    ("01.2.3.4", False), ("1.2.3", False), ("256.1.1.1", False), ("1.2.3.4.5", False), ("8.8.4.4", True), ("192.88.99.7", False), ("198.19.0.1", False), ("203.0.113.9", False), ("223.255.255.255", True),
+    ("2606:1:2:3:4:5:6:7:8:9", False), ("2606::1::2", False), ("2606:::::", False), ("2606::", True), ("2606:4700::8.8.8.8", True), ("2606:4700::8.8.8", False), ("::ffff:8.8.8.8", False), ("::", False),
+    ("2001:1ff::1", False), ("2001:200::1", True), ("2001:DB8:1::", False), ("2001:db9::", True), ("3ffe::1", True), ("3fff:1::", False), ("2002::1", False), ("4000::1", False), ("1:2:3:4:5:6:7:8", False), ("2a00:0:0:0:0:0:0:1", True),
+]
+
+
+@query("f20_odd_addresses", f"SELECT page_id, address, public FROM (SELECT page_id, page_id % {len(ODD_ADDRESSES)} AS i FROM pages) JOIN (VALUES {', '.join(f'({i}, {a!r}, {str(ok).lower()})' for i, (a, ok) in enumerate(ODD_ADDRESSES))}) v(i, address, public) USING (i)")
+def f20_odd(spark, d):
+    address = F.element_at(F.array(*(F.lit(a) for a, _ in ODD_ADDRESSES)), (F.col("page_id") % len(ODD_ADDRESSES) + 1).cast("int"))
+    return pages(spark, d).select("page_id", address.alias("address")).withColumn("public", http.is_public_ip(F.col("address")))
+
+
+@query("f34_long_numbers", """WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'page ' || repeat('9', CAST(page_id % 37 + 1 AS INTEGER)) WHEN 1 THEN 'Page ' || page_id WHEN 2 THEN 'page 0' || page_id WHEN 3 THEN 'pâge ' || page_id ELSE 'pager' END AS title FROM pages)
+SELECT page_id, title, row_number() OVER (ORDER BY CASE page_id % 5 WHEN 4 THEN 2 ELSE 1 END, CASE WHEN page_id % 5 = 0 THEN page_id % 37 + 1 WHEN page_id % 5 < 4 THEN length(CAST(page_id AS VARCHAR)) END,
+  CASE page_id % 5 WHEN 0 THEN repeat('9', CAST(page_id % 37 + 1 AS INTEGER)) WHEN 4 THEN '' ELSE CAST(page_id AS VARCHAR) END, page_id) AS place FROM t""")
+def f34_order(spark, d):
+    """Titles with long numbers, leading zeros, accents and capitals in natural order: by one global numbering, not one window."""
+    from sitegrain.functions.text import natural_key
+
+    i = F.col("page_id")
+    number = i.cast("string")
+    title = F.when(i % 5 == 0, F.concat(F.lit("page "), F.expr("repeat('9', cast(page_id % 37 + 1 as int))"))).when(i % 5 == 1, F.concat(F.lit("Page "), number)).when(i % 5 == 2, F.concat(F.lit("page 0"), number)).when(i % 5 == 3, F.concat(F.lit("pâge "), number)).otherwise(F.lit("pager"))
+    rows = pages(spark, d).select("page_id", title.alias("title")).withColumn("key", natural_key(F.col("title")))
+    return windows.number_rows(rows, ["key", "page_id"], "place").select("page_id", "title", (F.col("place") + 1).alias("place"))
+
+
 @query("a13_path_groups", f"{WITH} SELECT coalesce(list_filter(string_split({P}, '/'), lambda x: x <> '')[1], '(root)') AS name, count(*) AS count FROM pages GROUP BY 1")
 def a13(spark, d):
     return graph.path_groups(pages(spark, d))
@@ -487,8 +546,8 @@ def o2(spark, d):
     return rows.select("user_id", F.size(tables.set_delta("a", "b")).alias("n"))
 
 
-LINE_SIDES = f"""{WITH}, b AS (SELECT page_id AS id, unnest(list_slice(string_split(regexp_replace(substr(html, 1, 120000), '>\\s*<', '>' || chr(1) || '<', 'g'), chr(1)), 1, 300)) AS line FROM pages),
-a AS (SELECT page_id AS id, unnest(list_slice(string_split(regexp_replace(substr(html, 1, 120000), '>\\s*<', '>' || chr(1) || '<', 'g'), chr(1)), 1, 300)) AS line FROM ep),
+LINE_SIDES = f"""{WITH}, b AS (SELECT page_id AS id, unnest(list_slice(regexp_split_to_array(regexp_replace(substr(html, 1, 120000), '>\\s*<', '>' || chr(10) || '<', 'g'), '\r?\n'), 1, 300)) AS line FROM pages),
+a AS (SELECT page_id AS id, unnest(list_slice(regexp_split_to_array(regexp_replace(substr(html, 1, 120000), '>\\s*<', '>' || chr(10) || '<', 'g'), '\r?\n'), 1, 300)) AS line FROM ep),
 c AS (SELECT id, substr(line, 1, 1200) AS line, count(*) FILTER (WHERE k = 'b') AS nb, count(*) FILTER (WHERE k = 'a') AS na FROM (SELECT *, 'b' AS k FROM b UNION ALL SELECT *, 'a' FROM a) GROUP BY 1, 2)
 SELECT id, CAST(sum(least(na, nb)) AS BIGINT) AS same, CAST(sum(greatest(na - nb, 0)) AS BIGINT) AS added, CAST(sum(greatest(nb - na, 0)) AS BIGINT) AS removed FROM c GROUP BY id"""
 
@@ -661,6 +720,36 @@ def e22_markup(spark, d):
     return sitemaps.sitemap_entries(store).where("kind = 'urlset'").select("sitemap", F.col("pos").cast("long").alias("pos"), "url")
 
 
+@query("k11_run_store", """SELECT CAST(user_id % 30 AS VARCHAR) AS run_id, CASE WHEN user_id % 30 % 3 = 0 THEN 5 WHEN user_id % 30 % 3 = 1 THEN 3 ELSE 4 END AS revision, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids
+FROM events WHERE user_id % 30 < 25 AND CASE user_id % 30 % 3 WHEN 0 THEN event_id % 2 = 1 WHEN 1 THEN event_id % 2 = 0 ELSE event_id % 5 = 0 END GROUP BY 1, 2""")
+def k11(spark, d):
+    """A store of runs after four writes: revision 3 of every run, 5 of a third, 4 of a third and then, too late, 2 of all; and without five runs."""
+    from sitegrain.cluster import new_folder
+    from sitegrain.sources import sinks
+
+    at, run, n = new_folder(spark, "runs"), F.col("user_id") % 30, F.col("event_id")
+    rows = table(spark, d, "events").select(run.cast("string").alias("run_id"), "event_id", (run % 3).alias("third"))
+    of = lambda where, revision: rows.where(where).withColumn("revision", F.lit(revision)).drop("third")
+    for part in (of(n % 2 == 0, 3), of((F.col("third") == 0) & (n % 2 == 1), 5), of((F.col("third") == 2) & (n % 5 == 0), 4), of(n % 7 == 0, 2)):
+        sinks.save_run(part, at)
+    for gone in range(25, 30):
+        sinks.delete_run(spark, at, str(gone))
+    return sinks.read_runs(spark, at).groupBy("run_id", "revision").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("a24_digest_tree", """WITH r AS (SELECT 'p:' || sha256(url) || ':' || sha256(to_json({'page_id': page_id, 'url': url})) || ':1' AS e, sha256(url) AS spot FROM pages UNION ALL
+SELECT 'e:' || x || ':' || x || ':1', x FROM (SELECT sha256(to_json({'kind': 'http', 'url': url})) AS x FROM pages WHERE page_id % 10 = 0)),
+l2 AS (SELECT spot[1:2] AS prefix, sha256(string_agg(e, '' ORDER BY e)) AS digest FROM r GROUP BY 1), l1 AS (SELECT prefix[1:1] AS prefix, sha256(string_agg(prefix || ':' || digest, '' ORDER BY prefix)) AS digest FROM l2 GROUP BY 1)
+SELECT 2 AS level, prefix, digest FROM l2 UNION ALL SELECT 1, prefix, digest FROM l1 UNION ALL SELECT 0, '', sha256(string_agg(prefix || ':' || digest, '' ORDER BY prefix)) FROM l1""")
+def a24_tree(spark, d):
+    from sitegrain.cluster import checkpoints
+
+    checkpoints(spark)
+    p = pages(spark, d).select("page_id", "url").withColumn("duration_ms", F.col("page_id") * 3)
+    failed = p.where(F.col("page_id") % 10 == 0).select("url", F.lit("http").alias("kind"), F.col("page_id").alias("error_seq"))
+    return tables.digest_tree(p, failed, depth=2)
+
+
 @query("a01_run_summary", f"{WITH} SELECT count(*) AS pages, (SELECT count(*) FROM err) AS failed, (SELECT count(DISTINCT target) FROM tgt WHERE starts_with(target, 'https://site.example')) AS internal_links, (SELECT count(DISTINCT target) FROM tgt WHERE NOT starts_with(target, 'https://site.example')) AS external_links FROM cap")
 def a01_run(spark, d):
     from sitegrain.operators.merge import run_summary

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,14 +106,85 @@ def export_network(network: DataFrame, out: str) -> None:
     write_csv(network.withColumn("redirects", F.to_json("redirects")) if "redirects" in network.columns else network, out)
 
 
-def save_run(rows: DataFrame, path: str) -> None:
-    """The newest revision of each run replaces what the store has of it."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
 
-def delete_run(spark, path: str, run_id: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run_id}")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a run store that were written whole, in order."""
+    fs, path_of = _files(spark, path)
+    heads = path_of(f"{path}/heads")
+    names = [s.getPath().getName() for s in (fs.listStatus(heads) if fs.exists(heads) else [])]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(path_of(f"{path}/heads/{n}/_SUCCESS")))
+
+
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    done = _versions(spark, path)
+    schema = "run_id string, revision long, version int"
+    return spark.read.schema(schema).parquet(f"{path}/heads/v{done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def _advance(spark: SparkSession, path: str, heads: DataFrame, n: int) -> None:
+    """Make ``heads`` the store's version ``n``: it is in force when its last file, the mark of success, is there."""
+    heads.write.mode("overwrite").parquet(f"{path}/heads/v{n}")
+
+
+def _claim(spark: SparkSession, path: str) -> int:
+    """The number of the next version, which no other writer can have."""
+    fs, path_of = _files(spark, path)
+    n = max([-1, *_versions(spark, path)]) + 1
+    while True:
+        try:
+            fs.create(path_of(f"{path}/claims/{n}"), False).close()
+            return n
+        except Py4JJavaError as e:
+            if "Exists" not in str(e.java_exception.getClass().getName()):
+                raise
+            if n in _versions(spark, path):
+                n += 1
+            else:  # claimed, and not written whole: by another writer, or one that failed
+                raise RuntimeError(f"version {n} of {path} is being written; if its writer failed, delete claims/{n}") from e
+
+
+def save_run(rows: DataFrame, path: str, revision: str = "revision") -> None:
+    """Put runs (run_id, ..., ``revision``) into the store; a run replaces what the store has of it if its revision is higher.
+
+    Rows are written beside what is there, in a folder of their own, and then a new version of the list of runs, which names each run's
+    revision and folder. A write that fails leaves the version before it in force, and an older revision that comes later changes nothing.
+    """
+    spark = rows.sparkSession
+    n = _claim(spark, path)
+    heads = _heads(spark, path)
+    try:
+        given = rows.withColumn("run_id", F.col("run_id").cast("string"))
+        newest = given.groupBy("run_id").agg(F.max(F.col(revision).cast("long")).alias("new"))
+        wins = newest.join(heads.hint("merge"), "run_id", "left").where("revision is null or new > revision").select("run_id", "new")
+        kept = given.join(wins.hint("merge"), "run_id").where(F.col(revision) == F.col("new")).drop("new")
+        kept.write.partitionBy("run_id").parquet(f"{path}/data/version={n}")
+        after = heads.join(wins.hint("merge"), "run_id", "left_anti").unionByName(wins.select("run_id", F.col("new").alias("revision"), F.lit(n).alias("version")))
+        _advance(spark, path, after, n)
+    except Exception:
+        fs, path_of = _files(spark, path)
+        fs.delete(path_of(f"{path}/claims/{n}"), False)
+        fs.delete(path_of(f"{path}/data/version={n}"), True)
+        raise
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of every run in its newest revision."""
+    heads = _heads(spark, path).select("run_id", "version")
+    rows = spark.read.option("mergeSchema", "true").option("basePath", f"{path}/data").parquet(f"{path}/data").withColumn("run_id", F.col("run_id").cast("string"))
+    return rows.join(heads.hint("merge"), ["run_id", "version"], "left_semi").drop("version")
+
+
+def delete_run(spark: SparkSession, path: str, run_id: str) -> None:
+    """Take a run out of the list of runs, then delete its rows."""
+    n = _claim(spark, path)
+    _advance(spark, path, _heads(spark, path).where(F.col("run_id") != run_id), n)
+    fs, path_of = _files(spark, path)
+    for folder in fs.globStatus(path_of(f"{path}/data/version=*/run_id={run_id}")) or []:
+        fs.delete(folder.getPath(), True)
 
 
 def save_evidence(evidence: DataFrame, path: str) -> DataFrame:

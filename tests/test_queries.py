@@ -49,6 +49,6 @@ def test_line_diff_sides(spark):
     import re
 
     sides = {r.id: (r.same + r.removed, r.same + r.added) for r in site.queries()["o7_source_line_diff_sides"](spark, SF).collect()}
-    lines = lambda df: {r.page_id: len(re.split(r"(?<=>)\s*(?=<)", r.html[:120_000])[:300]) for r in df.collect()}
+    lines = lambda df: {r.page_id: len(re.split(r"\r?\n", re.sub(r">\s*<", ">\n<", r.html[:120_000]))[:300]) for r in df.collect()}
     before, after = lines(site.pages(spark, SF)), lines(site.enriched(spark, SF))
     assert sides == {i: (n, after[i]) for i, n in before.items()} and any(a != b for a, b in sides.values())

@@ -79,6 +79,7 @@ def test_pages_and_selection(spark):
 
 
 def test_run_digest_ignores_timings(spark):
+    checkpoints(spark)
     a = spark.createDataFrame([("u", "h", 1), ("v", "h", 2)], "url string, heading string, duration_ms int")
     none = spark.createDataFrame([], "url string, kind string")
     d = lambda df: tables.run_digest(df, none).first().digest

@@ -99,11 +99,16 @@ def test_sinks(spark, tmp_path):
     text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "c").glob("part-*"), key=lambda p: p.stat().st_size))
     assert text.endswith('"x","y","z"\r\n"\'=1+1","a | b",""\r\n')
     runs = spark.createDataFrame([(1, "u", 1), (2, "v", 1)], "run_id int, url string, rev int")
-    sinks.save_run(runs, f"{tmp_path}/r")
-    sinks.save_run(spark.createDataFrame([(1, "u", 2)], "run_id int, url string, rev int"), f"{tmp_path}/r")
-    assert {(r.run_id, r.rev) for r in spark.read.parquet(f"{tmp_path}/r").collect()} == {(1, 2), (2, 1)}
+    sinks.save_run(runs, f"{tmp_path}/r", "rev")
+    sinks.save_run(spark.createDataFrame([(1, "u", 2)], "run_id int, url string, rev int"), f"{tmp_path}/r", "rev")
+    sinks.save_run(spark.createDataFrame([(1, "late", 1), (2, "w", 1)], "run_id int, url string, rev int"), f"{tmp_path}/r", "rev")
+    assert {(r.run_id, r.rev, r.url) for r in sinks.read_runs(spark, f"{tmp_path}/r").collect()} == {("1", 2, "u"), ("2", 1, "v")}
+    broken = spark.createDataFrame([(1, "x", 9)], "run_id int, url string, rev int").withColumn("url", F.raise_error(F.lit("no")))
+    with pytest.raises(Exception, match="no"):
+        sinks.save_run(broken, f"{tmp_path}/r", "rev")
+    assert sinks.read_runs(spark, f"{tmp_path}/r").count() == 2
     sinks.delete_run(spark, f"{tmp_path}/r", "1")
-    assert spark.read.parquet(f"{tmp_path}/r").count() == 1
+    assert [r.run_id for r in sinks.read_runs(spark, f"{tmp_path}/r").collect()] == ["2"]
 
 
 def test_saving_evidence_of_a_run_keeps_other_runs(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.functions import http, text, urls
@@ -622,6 +622,109 @@ def t3(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+def arriving(spark: SparkSession, rows: DataFrame, part: Column, parts: int, files: int = 1) -> DataFrame:
+    """A stream of ``rows`` that arrive in ``parts`` pieces, one after another, ``files`` of them a batch."""
+    from sitegrain.cluster import new_folder
+
+    at = new_folder(spark, "arriving")
+    for i in range(parts):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(at)
+
+
+def clicks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("t1_stream_extract", "SELECT page_id, url, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, CAST(len(list_distinct(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1))) AS INTEGER) AS links FROM pages")
+def t1_stream(spark, d):
+    """Pages parsed as they arrive in three pieces."""
+    from sitegrain.cluster import new_folder
+    from sitegrain.streaming import streams
+
+    rows = streams.stream_extract(arriving(spark, pages(spark, d), F.col("page_id") % 3, 3)).select("page_id", "url", F.col("doc.title").alias("title"), F.size("doc.plain_links").alias("links"))
+    return streams.run_to_table(rows, new_folder(spark, "t1"))
+
+
+@query("t2_stream_dedup", "SELECT DISTINCT user_id * 10 + event_id % 7 AS key FROM events")
+def t2_stream(spark, d):
+    """The first row of each key, in pieces of which each repeats keys of the ones before; the last piece's rows are the oldest."""
+    from sitegrain.cluster import new_folder
+    from sitegrain.streaming import streams
+
+    rows = clicks(spark, d).select((F.col("user_id") * 10 + F.col("event_id") % 7).alias("key"), "ts")
+    stream = arriving(spark, rows, F.lit(3) - F.floor((F.dayofmonth("ts") - 1) / 8), 4)
+    return streams.run_to_table(streams.stream_dedup(stream, "key", "ts", "60 days"), new_folder(spark, "t2")).select("key")
+
+
+@query("t3_stream_telemetry", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def t3_stream(spark, d):
+    """Hourly counts and sums of rows that arrive in four pieces, the oldest last and all counted."""
+    from sitegrain.cluster import new_folder
+    from sitegrain.streaming import streams
+
+    stream = arriving(spark, clicks(spark, d).select("ts", "event_type", "value"), F.lit(3) - F.floor((F.dayofmonth("ts") - 1) / 8), 4)
+    out = streams.run_to_table(streams.stream_telemetry(stream, "ts", "event_type", "1 hour", "60 days"), new_folder(spark, "t3"), "complete")
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query("t4_stream_latest_outcome", "SELECT user_id AS key, bool_or(event_type = 'purchase') AS ok, arg_max(event_id, (CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) * 1000000000 + event_id) AS seq, arg_max(event_type, (CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) * 1000000000 + event_id) AS status FROM events GROUP BY user_id")
+def t4_stream(spark, d):
+    """Latest outcomes by keyed state, over rows that arrive in four pieces, the newest first."""
+    from sitegrain.cluster import new_folder
+    from sitegrain.streaming import streams
+
+    n = F.col("event_id")
+    rows = clicks(spark, d).select(F.col("user_id").alias("key"), n.alias("seq"), (F.col("event_type") == "purchase").alias("ok"), F.col("event_type").alias("status"), "ts")
+    stream = arriving(spark, rows, F.lit(3) - F.col("seq") % 4, 4)
+    return streams.latest_outcome(streams.run_to_table(streams.stream_latest_outcome(stream, "ts", "60 days"), new_folder(spark, "t4"), "update"))
+
+
+@query("t7_stream_budget", """WITH o AS (SELECT user_id % 20 AS run, event_id, sum(CAST(1 + event_id % 50 AS BIGINT)) OVER (PARTITION BY user_id % 20 ORDER BY event_id % 4, ts, event_id) AS used FROM events)
+SELECT CAST(run AS INTEGER) AS run, event_id FROM o WHERE used <= 5000""")
+def t7_stream(spark, d):
+    """Rows of each run within its budget: four pieces in the order of their arrival, and in each by time."""
+    from sitegrain.cluster import new_folder
+    from sitegrain.streaming import streams
+
+    n = F.col("event_id")
+    rows = clicks(spark, d).select((F.col("user_id") % 20).cast("int").alias("run"), (1 + n % 50).cast("long").alias("size"), "ts", "event_id")
+    stream = streams.stream_budget(arriving(spark, rows, n % 4, 4), 5000, ["ts", "event_id"], "ts", "60 days")
+    return streams.run_to_table(stream, new_folder(spark, "t7")).select("run", "event_id")
+
+
+@query("t5_stream_run_store", "SELECT user_id, arg_max(n, part) AS n, max(part) AS part FROM (SELECT user_id, event_id % 4 AS part, count(*) AS n FROM events WHERE (user_id + event_id % 4) % 3 > 0 GROUP BY 1, 2) GROUP BY user_id")
+def t5_stream(spark, d):
+    """The newest row of each key in a store that a stream appends to, batch by batch."""
+    from sitegrain.cluster import new_folder
+    from sitegrain.streaming import streams
+
+    part = (F.col("event_id") % 4).alias("part")
+    rows = clicks(spark, d).where((F.col("user_id") + F.col("event_id") % 4) % 3 > 0).groupBy("user_id", part).agg(F.count("*").alias("n"))
+    at = new_folder(spark, "t5")
+    streams.write_run_stream(arriving(spark, rows, F.col("part"), 4), f"{at}/rows", f"{at}/checkpoint", ["user_id"]).awaitTermination()
+    return streams.read_run_store(spark, f"{at}/rows", ["user_id"]).select("user_id", "n", "part")
+
+
+@query("t6_monitor", """WITH w AS (SELECT r.r AS run, user_id % 40 AS name, CASE WHEN user_id % 40 % 3 = 0 THEN r.r ELSE r.r // 2 END AS digest, user_id % 40 % 10 = 0 AND r.r = 2 AS bad, user_id % 40 < 30 OR r.r > 0 AS there
+  FROM (SELECT DISTINCT user_id FROM events), range(0, 3) r(r)), d AS (SELECT DISTINCT run, name, digest, bad FROM w WHERE there), c AS (SELECT *, lag(digest) OVER (PARTITION BY name ORDER BY run) AS was FROM d)
+SELECT CAST(run AS INTEGER) AS run, CAST(name AS VARCHAR) AS name, was IS NULL OR was <> digest AS changed, bad AS unhealthy FROM c WHERE was IS NULL OR was <> digest OR bad""")
+def t6(spark, d):
+    """What three calls of the monitor report: new sites, changed digests, failures."""
+    from sitegrain.cluster import new_folder
+    from sitegrain.streaming import streams
+
+    at, out = new_folder(spark, "t6"), None
+    names = table(spark, d, "events").select((F.col("user_id") % 40).alias("name")).distinct()
+    for run in range(3):
+        digest = F.when(F.col("name") % 3 == 0, run).otherwise(run // 2).cast("string").alias("digest")
+        bad = F.when((F.col("name") % 10 == 0) & F.lit(run == 2), 1).otherwise(0).cast("long").alias("failures")
+        given = names.where((F.col("name") < 30) | F.lit(run > 0)).select(F.col("name").cast("string").alias("name"), digest, bad)
+        told = streams.advance_monitor(spark, given, at).select(F.lit(run).alias("run"), "name", "changed", "unhealthy")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 @query("a01_site_summary", f"""SELECT {H} AS host, count(*) AS pages, CAST(sum(n) AS BIGINT) AS links FROM (SELECT url, len(list_distinct(regexp_extract_all(html, '<a href="(/[^"]*)"', 1))) AS n FROM pages) GROUP BY 1""")
 def a01(spark, d):
     """Pages and distinct internal links of each host: parse once, then aggregate."""

@@ -31,21 +31,40 @@ def stream_telemetry(stream: DataFrame, time: str, group: str, window: str = "1
 
 
 OUTCOME_STATE = "ok boolean, seq long, status string"
+#: State of keys that nothing arrives for is dropped after so long.
+STATE_TTL_MS = 7 * 24 * 3600 * 1000
 
 
-def _latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = state.get if state.exists else (False, -1, "")
-    for b in batches:
-        for ok, seq, status in zip(b["ok"], b["seq"], b["status"], strict=True):
-            best = max(best, (bool(ok), int(seq), str(status)))
-    state.update(best)
-    yield pd.DataFrame({"key": [key[0]], "ok": [best[0]], "seq": [best[1]], "status": [best[2]]})
+def _marked(stream: DataFrame, time: str | None, delay: str) -> tuple[DataFrame, str]:
+    """The stream with a watermark where there is a column of times, and how its states end: by that, or never."""
+    return (stream, GroupStateTimeout.NoTimeout) if time is None else (stream.withWatermark(time, delay), GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_latest_outcome(stream: DataFrame) -> DataFrame:
-    """Latest outcome per key of (key, seq, ok, status): a success replaces a failure whatever their order of arrival, never the reverse."""
+def stream_latest_outcome(stream: DataFrame, time: str | None = None, delay: str = "1 hour", ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+    """Latest outcome per key of (key, seq, ok, status): a success replaces a failure whatever their order of arrival, never the reverse.
+
+    Where ``time`` names a column, a key is forgotten ``ttl_ms`` after the watermark has passed its newest row, and begins anew when it comes
+    again. (Timeouts by the clock would keep a stream that reads what is there from ending.)
+    """
+    marked, ending = _marked(stream, time, delay)
+
+    def latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, until = state.get if state.exists else (False, -1, ""), 0
+        for b in batches:
+            for ok, seq, status in zip(b["ok"], b["seq"], b["status"], strict=True):
+                best = max(best, (bool(ok), int(seq), str(status)))
+            if time is not None and len(b):
+                until = max(until, int(b[time].max().timestamp() * 1000))
+        state.update(best)
+        if time is not None:
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + ttl_ms)
+        yield pd.DataFrame({"key": [key[0]], "ok": [best[0]], "seq": [best[1]], "status": [best[2]]})
+
     key_type = stream.schema["key"].dataType.simpleString()
-    return stream.groupBy("key").applyInPandasWithState(_latest, f"key {key_type}, {OUTCOME_STATE}", OUTCOME_STATE, "update", GroupStateTimeout.NoTimeout)
+    return marked.groupBy("key").applyInPandasWithState(latest, f"key {key_type}, {OUTCOME_STATE}", OUTCOME_STATE, "update", ending)
 
 
 def latest_outcome(rows: DataFrame) -> DataFrame:
@@ -92,16 +111,60 @@ def advance_monitor(spark: SparkSession, digests: DataFrame, path: str) -> DataF
     return out
 
 
-def stream_budget(stream: DataFrame, limit: int) -> DataFrame:
-    """Rows of (run, size, ...) until a run's total exceeds ``limit``; the total is the state of its key."""
+def stream_budget(stream: DataFrame, limit: int, order: list[str] | None = None, time: str | None = None, delay: str = "1 hour", ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+    """Rows of (run, size, ...) until a run's total exceeds ``limit``; the total is the state of its key, which ends as in ``stream_latest_outcome``.
+
+    The rows of a batch are taken in the order of columns ``order``, where given; batches as they arrive.
+    """
     schema = stream.schema
+    marked, ending = _marked(stream, time, delay)
 
     def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        for b in batches:
-            total = used + b["size"].cumsum()
-            yield b[total <= limit]
-            used = int(total.iloc[-1]) if len(b) else used
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used, until = state.get[0] if state.exists else 0, 0
+        arrived = [b for b in batches if len(b)]
+        if arrived and used <= limit:  # of a run that is over its budget nothing more is taken
+            rows = pd.concat(arrived)
+            rows = rows.sort_values(order) if order else rows
+            total = used + rows["size"].cumsum()
+            used = int(total.iloc[-1])
+            yield rows[total <= limit]
+        if time is not None:
+            until = max([0, *(int(b[time].max().timestamp() * 1000) for b in arrived)])
         state.update((used,))
+        if time is not None:
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + ttl_ms)
+
+    return marked.groupBy("run").applyInPandasWithState(take, schema, "used long", "append", ending)
+
+
+def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that has arrived, into a table below ``path``, and read it; the checkpoint lies beside it.
+
+    ``append``: rows are added, each batch once; ``update``: so are rows that replace earlier ones. ``complete``: each batch's whole result is a version of its own,
+    and the last is read.
+    """
+    spark = stream.sparkSession
+    out = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).outputMode(mode)
+    if mode == "append":
+        _ended(out.format("parquet").start(f"{path}/rows"))
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+
+    _ended(out.foreachBatch(put).start())
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    if mode == "update":
+        return spark.read.schema(stream.schema).parquet(*(f"{path}/rows/{n}" for n in names))
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={max(int(n.split('=')[1]) for n in names)}")
+
 
-    return stream.groupBy("run").applyInPandasWithState(take, schema, "used long", "append", GroupStateTimeout.NoTimeout)
+def _ended(running) -> None:
+    """Wait for a stream that ends by itself; what made it fail is raised."""
+    running.awaitTermination()
+    if running.exception() is not None:
+        raise running.exception()

@@ -126,3 +126,20 @@ def test_monitor_stores_its_state(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(x, "name string, digest string, failures long")
     seen = [sorted(r.name for r in advance_monitor(spark, d, f"{tmp_path}/m").collect()) for d in (rows(("a", "1", 0), ("b", "1", 0)), rows(("a", "1", 0), ("b", "2", 0)), rows(("a", "1", 3)), rows(("b", "2", 0), ("c", "9", 0)))]
     assert seen == [["a", "b"], ["b"], ["a"], ["c"]]
+
+
+def test_outcomes_are_forgotten_behind_the_watermark(spark, tmp_path):
+    from datetime import datetime
+
+    schema = "key string, seq long, ok boolean, status string, ts timestamp"
+    for rows in ([("a", 1, True, "good", datetime(2024, 1, 1))], [("b", 1, True, "good", datetime(2024, 2, 1))], [("c", 1, True, "good", datetime(2024, 2, 1))], [("a", 2, False, "bad", datetime(2024, 2, 2)), ("b", 2, False, "bad", datetime(2024, 2, 2))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = streams.run_to_table(streams.stream_latest_outcome(stream, "ts", "1 hour", 3 * 24 * 3600 * 1000), f"{tmp_path}/out", "update")
+    assert sorted(tuple(r) for r in out.collect()) == [("a", False, 2, "bad"), ("a", True, 1, "good"), ("b", True, 1, "good"), ("b", True, 1, "good"), ("c", True, 1, "good")]
+
+
+def test_budget_takes_a_batch_in_order(spark, tmp_path):
+    spark.createDataFrame([(1, 4, 3), (1, 4, 1), (1, 4, 2)], "run int, size long, n int").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("run int, size long, n int").parquet(f"{tmp_path}/in")
+    assert sorted(r.n for r in streams.run_to_table(streams.stream_budget(stream, 8, ["n"]), f"{tmp_path}/out").collect()) == [1, 2]

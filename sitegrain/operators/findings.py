@@ -180,6 +180,21 @@ def sort_findings(found: DataFrame, order: str = "severity") -> DataFrame:
 # Issues: the second set of rules. It counts unknown titles as missing and takes the first H1 or H2 for the heading.
 
 
+#: Title, what is said (after a number, or whole), severity.
+ISSUES = {
+    "rendering": ("JavaScript · Rendering incomplete", "", "review"),
+    "console": ("JavaScript · Console entries", " console warnings/errors captured. Inspect JavaScript evidence; not all warnings indicate a broken page.", "review"),
+    "requests": ("Resources · Failed or blocked requests", " requests failed or were blocked by crawl policy. Inspect the network waterfall.", "review"),
+    "structured": ("Structured data · Invalid JSON-LD", "At least one JSON-LD block could not be parsed. Inspect the captured error.", "review"),
+    "rule": ("Custom extraction · Rule error", "", "review"),
+    "noindex": ("Indexability · noindex declared", "This page declares noindex. This may be intentional; review before including it in a sitemap.", "info"),
+    "title": ("Missing page title", "No text was found in the HTML <title> element.", "review"),
+    "heading": ("Missing main heading", "No H1 or fallback H2 heading was found.", "review"),
+    "description": ("Missing meta description", "No meta description was found in the downloaded HTML.", "review"),
+    "repeated": ("Repeated page title", " crawled pages share this exact title. Review whether this is intentional.", "review"),
+}
+
+
 def issues(pages: DataFrame, errors: DataFrame) -> DataFrame:
     """(title, detail, url, severity) of failures and pages. Pages also carry heading, console_errors, network_errors, structured_invalid and extraction_errors."""
     status = F.col("status_code")
@@ -189,21 +204,28 @@ def issues(pages: DataFrame, errors: DataFrame) -> DataFrame:
         F.col("message").alias("detail"), "url", F.when(F.col("kind").isin("non-html", "aborted"), "info").otherwise("error").alias("severity"),
     )
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    row = lambda cond, title, detail, severity="review": F.when(cond, F.struct(F.lit(title).alias("title"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"), F.lit(severity).alias("severity")))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    more = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+
+    def row(name: str, before: Column | None = None) -> Column:
+        title, said, severity = ISSUES[name]
+        detail = F.lit(said) if before is None else F.concat(before.cast("string"), F.lit(said))
+        return F.struct(F.lit(title).alias("title"), detail.alias("detail"), F.lit(severity).alias("severity"))
+
     rules = F.array(
-        row(F.coalesce("render_failure", F.lit("")) != "", "JavaScript · Rendering incomplete", F.col("render_failure")),
-        row(F.coalesce("console_errors", F.lit(0)) > 0, "JavaScript · Console entries", F.concat(F.col("console_errors").cast("string"), F.lit(" console warnings/errors captured. Inspect JavaScript evidence; not all warnings indicate a broken page."))),
-        row(F.coalesce("network_errors", F.lit(0)) > 0, "Resources · Failed or blocked requests", F.concat(F.col("network_errors").cast("string"), F.lit(" requests failed or were blocked by crawl policy. Inspect the network waterfall."))),
-        row(F.coalesce("structured_invalid", F.lit(False)), "Structured data · Invalid JSON-LD", "At least one JSON-LD block could not be parsed. Inspect the captured error."),
-        row(declares_noindex(F.col("robots"), F.col("x_robots_tag")), "Indexability · noindex declared", "This page declares noindex. This may be intentional; review before including it in a sitemap.", "info"),
-        row(blank("title"), "Missing page title", "No text was found in the HTML <title> element."),
-        row(F.coalesce("heading", F.lit("")) == "", "Missing main heading", "No H1 or fallback H2 heading was found."),
-        row(blank("description"), "Missing meta description", "No meta description was found in the downloaded HTML."),
+        F.when(~empty("render_failure"), row("rendering", F.col("render_failure"))),
+        F.when(more("console_errors"), row("console", F.col("console_errors"))),
+        F.when(more("network_errors"), row("requests", F.col("network_errors"))),
+        F.when(F.coalesce("structured_invalid", F.lit(False)), row("structured")),
+        F.when(declares_noindex(F.col("robots"), F.col("x_robots_tag")), row("noindex")),
+        F.when(blank("title"), row("title")),
+        F.when(empty("heading"), row("heading")),
+        F.when(blank("description"), row("description")),
     )
-    own = pages.select("url", F.explode(F.array_compact(rules)).alias("i")).select("i.title", "i.detail", "url", "i.severity")
-    custom = pages.select("url", F.explode("extraction_errors").alias("detail")).select(F.lit("Custom extraction · Rule error").alias("title"), "detail", "url", F.lit("review").alias("severity"))
-    shared = repeated_titles(pages).select(F.lit("Repeated page title").alias("title"), F.concat(F.col("size").cast("string"), F.lit(" crawled pages share this exact title. Review whether this is intentional.")).alias("detail"), "url", F.lit("review").alias("severity"))
-    return failed.unionByName(own).unionByName(custom).unionByName(shared)
+    custom = F.transform(F.coalesce("extraction_errors", F.array().cast("array<string>")), lambda e: row("rule", e))
+    own = pages.select("url", F.explode(F.concat(F.array_compact(rules), custom)).alias("i"))
+    shared = repeated_titles(pages).select("url", row("repeated", F.col("size")).alias("i"))
+    return failed.unionByName(own.unionByName(shared).select("i.title", "i.detail", "url", "i.severity"))
 
 
 def issue_group(title: Column) -> Column:

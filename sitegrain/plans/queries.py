@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitegrain.functions import http, text, urls
 from sitegrain.operators import findings as fi
 from sitegrain.operators import frontier, graph, links, robots, sitemaps, tables, windows
-from sitegrain.operators.parse import parse_pages
+from sitegrain.operators.parse import parse_pages, structured_rows
 from sitegrain.plans.captures import CAPTURES, ENRICHED, ERRORS, ROOT, TARGETS, captures, enriched, errors, parsed, table
 from sitegrain.streaming.streams import latest_outcome
 
@@ -200,7 +200,7 @@ def e07(spark, d):
 
 @query("e11_jsonld", f"""{WITH} SELECT page_id, page_id % 5 = 0 AS valid, CASE WHEN page_id % 5 = 0 THEN 'Article,Person,Agent' ELSE '' END AS types FROM ep WHERE page_id % 5 < 2""")
 def e11(spark, d):
-    return parsed(spark, d).select("page_id", F.explode("doc.structured_data").alias("s")).select("page_id", "s.valid", F.array_join("s.types", ",").alias("types"))
+    return structured_rows(parsed(spark, d), "page_id").select("page_id", "valid", F.array_join("types", ",").alias("types"))
 
 
 @query("e14_hints", f"""{WITH} SELECT page_id, 'Next.js' AS name, CAST(CASE WHEN page_id % 3 = 0 THEN 2 WHEN page_id % 3 = 1 THEN 1 ELSE 0 END AS INTEGER) + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS meta, 'de' AS alternate FROM ep""")
@@ -952,7 +952,7 @@ def w13(spark, d):
 
 @query("d4_structured", f"""{WITH} SELECT url AS "Source page", CASE WHEN page_id % 5 = 0 THEN 'Article, Person, Agent' ELSE 'Unspecified' END AS "Type", CASE WHEN page_id % 5 = 0 THEN 'Parsed' ELSE 'Invalid' END AS "Parsing" FROM ep WHERE page_id % 5 < 2""")
 def d4(spark, d):
-    items = parsed(spark, d).select("url", F.explode("doc.structured_data").alias("s")).select("url", "s.*", F.lit(None).cast("string").alias("context"))
+    items = structured_rows(parsed(spark, d), "url").select("*", F.lit(None).cast("string").alias("context"))
     return tables.dataset_structured(items).select("Source page", "Type", "Parsing")
 
 

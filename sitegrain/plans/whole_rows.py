@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from sitegrain.cluster import checkpoints
 from sitegrain.functions import http, text, urls
+from sitegrain.functions.jsonld import is_json, with_jsonld_types
 from sitegrain.operators import findings as fi
 from sitegrain.operators import frontier, graph, links, merge, robots, sitemaps, tables, windows
-from sitegrain.operators.parse import parse_pages
+from sitegrain.operators.parse import parse_pages, structured_rows
 from sitegrain.plans.captures import ROOT, captures, enriched, errors, parsed, table
 from sitegrain.plans.queries import FAILED, ORIGIN_SITEMAPS, H, P, PATH, RULE_SQL, WITH, origin_sitemaps, pages, query
 from sitegrain.sources import captures as sources
@@ -589,6 +590,52 @@ def k7(spark, d):
     return sinks.issue_rows(fi.issues(captures(spark, d), errors(spark, d))).where("Category = 'HTTP / Network'")
 
 
+def _issue(name: str, where: str, before: str = "''", rows: str = "cap") -> str:
+    title, said, severity = fi.ISSUES[name]
+    return f"SELECT '{title}' AS t, {before} || '{said}' AS e, url, '{severity}' AS s FROM {rows} WHERE {where}"
+
+
+#: Every rule on pages, with console entries on pages by number and a rule error on each ninth.
+ISSUE_SQL = " UNION ALL ".join([
+    _issue("rendering", "page_id % 41 = 0", "'Timed out'"), _issue("console", "page_id % 4 > 0", "(page_id % 4)"), _issue("requests", "page_id % 20 = 0", "1"), _issue("structured", "page_id % 5 = 1"),
+    _issue("noindex", "page_id % 7 = 0 OR page_id % 37 = 0"), _issue("title", "trim(coalesce(title, '')) = ''"), _issue("heading", "page_id % 12 = 0"), _issue("description", "page_id % 3 > 0"),
+    _issue("rule", "page_id % 9 = 0", "('field ' || page_id % 3 || ': no match')"),
+    _issue("repeated", "n > 1", "n", "(SELECT url, count(*) OVER (PARTITION BY trim(title)) AS n FROM cap WHERE trim(title) <> '')"),
+])
+
+
+@query("k7_issue_rows_all", f"""{WITH}, {FAILED}, failed AS (SELECT CASE WHEN coalesce(status_code, 0) <> 0 THEN 'HTTP ' || status_code || ' · ' || CASE WHEN kind = 'non-html' THEN 'Not an HTML page' ELSE 'Request failed' END ELSE CASE WHEN kind = 'network' THEN 'Connection failed' ELSE kind END || ' · Could not read page' END AS t, message AS e, url, CASE WHEN kind = 'non-html' THEN 'info' ELSE 'error' END AS s FROM err)
+SELECT CASE WHEN t LIKE 'JavaScript · %' THEN 'JavaScript' WHEN t LIKE 'Resources · %' THEN 'Resources' WHEN t LIKE 'Structured data · %' THEN 'Structured data' WHEN t LIKE 'Custom extraction · %' THEN 'Custom extraction' WHEN t LIKE 'Indexability · %' THEN 'Indexability'
+  WHEN t LIKE '% · %' THEN 'HTTP / Network' WHEN t LIKE '%heading%' THEN 'Content' ELSE 'Metadata' END AS "Category", s AS "Severity", t AS "Issue", url AS "URL", e AS "Evidence" FROM (SELECT t, e, url, s FROM failed UNION ALL {ISSUE_SQL})""")
+def k7_all(spark, d):
+    n = F.col("page_id")
+    error = F.when(n % 9 == 0, F.array(F.concat(F.lit("field "), (n % 3).cast("string"), F.lit(": no match"))))
+    return sinks.issue_rows(fi.issues(captures(spark, d).withColumns({"console_errors": n % 4, "extraction_errors": error}), errors(spark, d)))
+
+
+#: Texts by page number: nested and mixed types, depth, strings that look like objects, long lists, order of keys, trailing text.
+JSON_TEXTS = r"""case page_id % 5
+  when 0 then concat('{"@graph":[{"@type":"', host, '","n":1},{"@type":["Person","Agent",7]}],"@type":"Thing"}')
+  when 1 then concat(repeat('{"x":', cast(page_id % 16 as int)), '{"@type":"', host, '"}', repeat('}', cast(page_id % 16 as int)))
+  when 2 then concat('{"a":"{\\"@type\\":\\"No\\"}","@type":"', host, '"}')
+  when 3 then concat('[', array_join(transform(sequence(1, page_id % 130 + 1), i -> concat('{"@type":"T', i, '"}')), ','), ']')
+  else concat('{"z":{"@type":"Z"},"a":{"@type":"', host, '"}}', if(page_id % 10 = 4, ' tail', ' ')) end"""
+
+
+@query("f33_jsonld_types", r"""SELECT page_id, page_id % 10 <> 4 AS valid, CASE page_id % 5 WHEN 0 THEN 'Thing,' || host || ',Person,Agent' WHEN 1 THEN CASE WHEN page_id % 16 <= 12 THEN host ELSE '' END WHEN 2 THEN host
+  WHEN 3 THEN array_to_string(['T' || i for i in range(1, least(page_id % 130 + 1, 40) + 1)], ',') ELSE CASE WHEN page_id % 10 = 4 THEN '' ELSE 'Z,' || host END END AS types FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)""")
+def f33(spark, d):
+    hosts = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"))
+    texts = hosts.select("page_id", F.expr(JSON_TEXTS).alias("text"))
+    return with_jsonld_types(texts, "text").select("page_id", is_json(F.col("text")).alias("valid"), F.array_join("types", ",").alias("types"))
+
+
+@query("e11_structured_rows", f"""{WITH} SELECT page_id, 0 AS pos, 'json-ld' AS format, CASE WHEN page_id % 5 = 0 THEN 'Article,Person,Agent' ELSE '' END AS types, page_id % 5 = 0 AS valid, CASE WHEN page_id % 5 = 1 THEN 'invalid JSON' END AS error,
+  CASE WHEN page_id % 5 = 0 THEN '{{"@type":"Article","author":{{"@type":["Person","Agent"]}}}}' END AS value FROM ep WHERE page_id % 5 < 2""")
+def e11_rows(spark, d):
+    return structured_rows(parsed(spark, d), "page_id").withColumn("types", F.array_join("types", ","))
+
+
 @query("k7_page_rows", f"""{WITH} SELECT url AS "URL", title AS "Title", status_code AS "Status", CASE WHEN page_id % 3 = 0 THEN 'browser' ELSE 'http' END AS "Method", page_id * 7 % 500 AS "Words", depth AS "Depth", duration_ms AS "Duration_ms" FROM cap""")
 def k7_pages(spark, d):
     return sinks.page_rows(with_method(captures(spark, d)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions.text import declares_noindex, is_fingerprint
 from sitegrain.functions.urls import url_identity
+from sitegrain.joins import hot_keys, skew_join
 from sitegrain.operators.links import aliases, incoming, sample_failures
 from sitegrain.operators.windows import last_per_key
 
@@ -63,26 +64,27 @@ def page_rules() -> list[Column]:
     ]
 
 
-def related_duplicate(df: DataFrame, keys: list[str]) -> DataFrame:
+def related_duplicate(df: DataFrame, key: str) -> DataFrame:
     """``df`` with its group's ``size`` and ``related``: the group's first page, or the second for the first itself.
 
-    Groups are aggregated before the join, so a title shared by many pages is not sorted in one task.
+    Groups are aggregated before the join, and the rows of a title that many pages share are dealt to many tasks.
     """
-    first = df.groupBy(*keys).agg(F.count("*").alias("size"), F.min(F.struct("capture_seq", "url")).alias("one"))
-    second = df.join(first, keys).where(F.col("capture_seq") != F.col("one.capture_seq")).groupBy(*keys).agg(F.min(F.struct("capture_seq", "url")).alias("two"))
-    return df.join(first.where("size > 1").join(second, keys, "left"), keys).withColumn("related", F.when(F.col("capture_seq") == F.col("one.capture_seq"), F.col("two.url")).otherwise(F.col("one.url"))).drop("one", "two")
+    first = df.groupBy(key).agg(F.count("*").alias("size"), F.min(F.struct("capture_seq", "url")).alias("one"))
+    hot = hot_keys(df, key)
+    second = skew_join(df, first, key, hot=hot).where(F.col("capture_seq") != F.col("one.capture_seq")).groupBy(key).agg(F.min(F.struct("capture_seq", "url")).alias("two"))
+    return skew_join(df, first.where("size > 1").join(second, key, "left"), key, hot=hot).withColumn("related", F.when(F.col("capture_seq") == F.col("one.capture_seq"), F.col("two.url")).otherwise(F.col("one.url"))).drop("one", "two")
 
 
 def repeated_titles(pages: DataFrame) -> DataFrame:
     """(capture_seq, url, title, size, related) of pages whose trimmed title others share."""
     rows = pages.select("capture_seq", "url", F.trim("title").alias("title")).where("title != ''")
-    return related_duplicate(rows, ["title"])
+    return related_duplicate(rows, "title")
 
 
 def duplicate_text(pages: DataFrame) -> DataFrame:
     """(capture_seq, url, content_fingerprint, size, related) of pages with equal body texts."""
     rows = pages.select("capture_seq", "url", "content_fingerprint").where(is_fingerprint(F.col("content_fingerprint")))
-    return related_duplicate(rows, ["content_fingerprint"])
+    return related_duplicate(rows, "content_fingerprint")
 
 
 def findings(pages: DataFrame, errors: DataFrame) -> DataFrame:

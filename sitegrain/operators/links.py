@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions.text import follow_state
 from sitegrain.functions.urls import url_identity, url_origin
+from sitegrain.joins import skew_join
 from sitegrain.operators.windows import last_per_key
 
 
@@ -22,7 +23,7 @@ def aliases(pages: DataFrame) -> DataFrame:
 def resolve_alias(df: DataFrame, col: str, table: DataFrame) -> DataFrame:
     """``col`` as an identity: its page's final address where there is one, else its own."""
     own = df.withColumn("_id", url_identity(F.col(col)))
-    return own.join(table.withColumnRenamed("alias", "_id").hint("merge"), "_id", "left").withColumn(col, F.coalesce("identity", "_id")).drop("_id", "identity")
+    return skew_join(own, table.withColumnRenamed("alias", "_id"), "_id", "left").withColumn(col, F.coalesce("identity", "_id")).drop("_id", "identity")
 
 
 def page_links(parsed: DataFrame, most: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -59,7 +60,7 @@ def link_status(links: DataFrame, pages: DataFrame, errors: DataFrame) -> DataFr
     failed = failed.select("destination", F.coalesce(F.col("status_code").cast("string"), "kind").alias("failed"))
     statuses = links.select("destination").distinct().join(captured.hint("merge"), "destination", "left").join(failed.hint("merge"), "destination", "left")
     statuses = statuses.select("destination", F.coalesce("captured", "failed", F.lit("Not crawled")).alias("status"))
-    return links.join(statuses.hint("merge"), "destination", "left")
+    return skew_join(links, statuses, "destination", "left")
 
 
 def dataset_links(pages: DataFrame, errors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegrain.functions.urls import normalize_url, url_origin, url_path
+from sitegrain.joins import hot_keys, skew_join
 
 LONGEST_RULE = 4096
 TOO_LONG = "robots.txt rule exceeds the supported length"
@@ -84,7 +85,10 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     broken = rules.where("error is not null").select("origin").distinct().withColumn("broken", F.lit(True))
     query = F.regexp_extract(normalize_url(F.col("url")), r"(\?[^#]*)", 1)
     asked = urls.select("url").distinct().select("url", url_origin(F.col("url")).alias("origin"), octets(F.concat(url_path(F.col("url")), query)).alias("path"))
-    hit = asked.join(own.hint("merge"), "origin").where(pattern_matches("path", "pattern", "to_end"))
+    hot = hot_keys(asked, "origin")
+    hit = skew_join(asked, own, "origin", hot=hot).where(pattern_matches("path", "pattern", "to_end"))
     verdict = hit.groupBy("url").agg(F.max_by("allow", F.struct("length", "allow")).alias("allow"))
-    out = urls.withColumn("origin_", url_origin(F.col("url"))).join(verdict.hint("merge"), "url", "left").join(broken.withColumnRenamed("origin", "origin_").hint("merge"), "origin_", "left")
-    return out.withColumn("allowed", F.coalesce("allow", F.lit(True)) & F.col("broken").isNull()).drop("allow", "broken", "origin_")
+    # what an origin forbids as a whole is told once per address, so the rows of ``urls`` are joined by address only
+    closed = skew_join(asked.select("url", "origin"), broken, "origin", hot=hot).select("url", "broken")
+    out = skew_join(urls, verdict.join(closed.hint("merge"), "url", "full"), "url", "left")
+    return out.withColumn("allowed", F.coalesce("allow", F.lit(True)) & F.col("broken").isNull()).drop("allow", "broken")

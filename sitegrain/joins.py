@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys looked for, the least share of the rows (one in HOT_SHARE) and number of rows that make a key hot, and the tasks that a hot key's rows are dealt to.
-MOST_HOT, HOT_SHARE, FEW_ROWS, SALTS = 100, 100, 20_000, 64
+MOST_HOT, HOT_SHARE, FEW_ROWS, SALTS = 100, 100, 1_000, 64
 #: Keys that the count of frequent keys keeps track of; a key of a share above 1 / TRACKED is never lost from it.
 TRACKED = 10_000
 

@@ -5,7 +5,7 @@ import pytest
 from sitegrain.plans import queries as site
 
 TITLES = ["R&amp;D &amp", "Salt &ampand&quot;s&quot", "a &lt;b&gt; &amp;lt; &l", "one &nbsp;two　three", "&copy 2024 &middot x"]
-COLUMNS = {"e01_page_core": "page_id, title, heading", "e03_headings": "page_id, pos, text", "a17_heading_occurrences": "url, pos, text", "t1_stream_extract": "page_id, title, links"}
+COLUMNS = {"e01_page_core": "page_id, title, heading", "e03_headings": "page_id, pos, text", "a17_heading_occurrences": "url, pos, text", "t1_stream_extract": "page_id, title, links", "d7_custom": "URL, Field: paper, Field: names"}
 
 
 @pytest.fixture(scope="module")

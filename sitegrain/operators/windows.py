@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegrain.cluster import checkpoints
+
 
 def distinct_in_order(df: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
     """The first row by ``pos`` of each (keys, value)."""
@@ -30,13 +32,15 @@ def number_rows(df: DataFrame, order: list[str], name: str = "ord", limit: int |
     """Global numbers from 0 in the given order, without bringing all rows to one task.
 
     Rows are range-partitioned by the order; each partition is numbered by itself, and the partitions' sizes, one row
-    per partition, give the offsets.
+    per partition, give the offsets. The ranged rows are checkpointed: the bounds come from a sample, so that rows and sizes
+    would be dealt differently if each were computed by itself.
     """
+    checkpoints(df.sparkSession)
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    local = ranged.withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    local = ranged.withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id").checkpoint()
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    out = local.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_id", "_own", "_before")
+    out = local.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
     return out if limit is None else out.where(F.col(name) < limit)
 
 

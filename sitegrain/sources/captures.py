@@ -54,7 +54,10 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def usable_sitemaps(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.col("text").rlike("(?i)<!DOCTYPE|<!ENTITY") & (F.length("text") <= SITEMAP_MOST))
+    """Files of at most SITEMAP_MOST characters without a document type or entities; the pattern runs over short texts with a declaration only."""
+    declared = F.col("text").contains("<!") & F.col("text").rlike("(?i)<!DOCTYPE|<!ENTITY")
+    short = (F.octet_length("text") <= 4 * SITEMAP_MOST) & (F.length("text") <= SITEMAP_MOST)
+    return rows.where(F.when(short, ~declared))
 
 
 def read_evidence(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:

@@ -70,3 +70,14 @@ def test_odd_xml(spark):
     df = spark.createDataFrame([(f"{O}/{n}.xml", t) for n, t in rows], "sitemap_url string, text string")
     got = {(r.sitemap[-5:], r.pos, r.url[len(O) :], r.lastmod) for r in sitemaps.sitemap_entries(df).where(F.col("kind") == "urlset").collect()}
     assert got == {("a.xml", 0, "/a?x=1&y=2", "2026"), ("a.xml", 2, "/b", ""), ("g.xml", 2, "/ok", "")}
+
+
+def test_the_pattern_leaves_long_files_alone(spark):
+    from sitegrain.sources.captures import SITEMAP_MOST, usable_sitemaps
+
+    ends = ["<!doctype x>", "<urlset>", "<!entity", "<!-- DOCTYPE -->"]
+    rows = spark.createDataFrame([(i, e, n) for i, (e, n) in enumerate([(e, n) for e in ends for n in (0, SITEMAP_MOST - len(e), SITEMAP_MOST - len(e) + 1)])] + [(99, None, 0)], "id int, e string, n int")
+    texts = rows.select("id", F.concat("e", F.expr("repeat('é', n)")).alias("text"))
+    assert sorted(r.id for r in usable_sitemaps(texts).collect()) == [3, 4, 9, 10]
+    plan = usable_sitemaps(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("length(") < plan.index("RLIKE")

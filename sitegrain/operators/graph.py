@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions.urls import path_group, path_label, path_segments, url_identity, url_origin
+from sitegrain.joins import skew_join
 from sitegrain.operators.links import aliases, resolve_alias
 
 
@@ -106,41 +107,79 @@ def graph_subset(node_rows: DataFrame, edge_rows: DataFrame, focus: str = "", li
     return top, among.orderBy("source", "target").limit(most_edges)
 
 
-#: Levels that one job takes while a level has few nodes, and how many are few.
-LEVELS_A_JOB, FEW_NODES = 4, 1000
+#: Rounds that one job takes while a round has few nodes, and how many are few.
+ROUNDS_A_JOB, FEW_NODES = 4, 1000
+
+
+def only_ways(edge_rows: DataFrame) -> DataFrame:
+    """(id, above, top, span): nodes that one edge alone leads to, its source, and the first node upwards that is no such node, ``span`` edges up.
+
+    Found by pointer doubling, in a logarithmic number of joins. What lies on or behind a ring of such nodes is in reach of none and is left out.
+    """
+    one = edge_rows.groupBy("target").agg(F.count("*").alias("n"), F.min("source").alias("above")).where("n = 1").select(F.col("target").alias("id"), "above").checkpoint()
+    ends = skew_join(one.select("id", "above", F.col("above").alias("top")), one.select(F.col("id").alias("top"), F.lit(True).alias("more")), "top", "left")
+    up = ends.select("id", "above", "top", F.lit(1).alias("span"), F.col("more").isNull().alias("done")).checkpoint()
+    left = up.where("not done").count()
+    while left:
+        step = up.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("span").alias("by"), F.col("done").alias("end"))
+        on = skew_join(up.where("not done"), step, "top").select("id", "above", F.col("next").alias("top"), (F.col("span") + F.col("by")).alias("span"), F.col("end").alias("done"))
+        up = up.where("done").unionByName(on).checkpoint()
+        before, left = left, up.where("not done").count()
+        if left == before:  # rings
+            break
+    return up.where("done").drop("done")
 
 
 def route_tree(edge_rows: DataFrame, root: str, until: str | None = None) -> DataFrame:
     """(id, parent, level): a breadth-first tree over all nodes in reach of ``root``, or over the levels up to that of ``until``.
 
-    A node's parent is the smallest of those one level above. A job takes one level, or up to LEVELS_A_JOB where levels are small, as in a
-    chain of pages; there a node found within the job may be come to again, and its least level counts. Jobs are cut by checkpoints.
+    A node's parent is the smallest of those one level above. Nodes that one edge alone leads to, as in chains of pages, take no round: they lie a known
+    number of levels below others (``only_ways``), between which edges have that number as their length. A round goes on from all nodes whose level fell,
+    so there are at most as many rounds as levels. A job takes one round, or up to ROUNDS_A_JOB where they are small, and jobs are cut by checkpoints.
     """
     spark = edge_rows.sparkSession
+    edge_rows = edge_rows.select("source", "target").where((F.col("source") != F.col("target")) & (F.col("target") != root)).distinct().checkpoint()
+    ways = only_ways(edge_rows)
+    single = edge_rows.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").select("target")
+    many = skew_join(edge_rows, single, "target").select("source", "target").checkpoint()
+    near = skew_join(many, ways.select(F.col("id").alias("source"), "top", "span"), "source", "left")
+    long = near.select(F.coalesce("top", "source").alias("source"), "target", (F.coalesce("span", F.lit(0)) + 1).alias("length")).where("source != target").groupBy("source", "target").agg(F.min("length").alias("length"))
+    # edges lie by their source, as each round's nodes do after they are grouped, so a round is one shuffle
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # edges lie by their source, as each level's nodes do after they are grouped, so a level is one shuffle
-    edge_rows = edge_rows.select("source", "target").where("source != target").distinct().repartition(n, "source").sortWithinPartitions("source").checkpoint()
-    frontier = spark.createDataFrame([(root, None, 0)], "id string, parent string, level int").checkpoint()
-    reached, level, steps = frontier, 0, 1
+    long = long.repartition(n, "source").sortWithinPartitions("source").checkpoint()
+    # levels beyond that of ``until`` are not gone into
+    at = ways.where(F.col("id") == until).select("top", "span").first() if until is not None else None
+    goal, below = (at.top, at.span) if at else (until, 0)
+    frontier = spark.createDataFrame([(root, 0)], "id string, level int").checkpoint()
+    reached, most, steps = frontier, None, 1
     for job in itertools.count(1):
-        # the level that is taken is in the rows, so that all levels run the same compiled code
-        part = frontier.withColumn("now", F.col("level"))
+        part = frontier.withColumn("fresh", F.lit(True))
         for _ in range(steps):
-            step = part.join(edge_rows.hint("merge"), (F.col("id") == F.col("source")) & (F.col("level") == F.col("now")), "left")
-            later = F.col("now") + 1
-            own, child = F.struct("id", "parent", "level", later.alias("now")), F.struct(F.col("target").alias("id"), F.col("id").alias("parent"), later.alias("level"), later.alias("now"))
+            step = part.join(long.hint("merge"), (F.col("id") == F.col("source")) & F.col("fresh"), "left")
+            own, child = F.struct("id", "level", F.col("level").alias("was")), F.struct(F.col("target").alias("id"), (F.col("level") + F.col("length")).alias("level"), F.lit(None).cast("int").alias("was"))
             both = step.select(F.explode(F.array(own, child)).alias("x")).select("x.*").where("id is not null")
-            part = both.groupBy("id").agg(F.min(F.struct("level", "parent", "now")).alias("r")).select("id", "r.parent", "r.level", "r.now")
-        part = part.drop("now")
-        new = part.where(F.col("level") > level).join(reached.select("id").hint("merge"), "id", "left_anti").checkpoint()
-        level += steps
-        frontier = new.where(F.col("level") == level)
-        reached = reached.unionByName(new)
-        if not frontier.take(1) or until is not None and new.where(F.col("id") == until).take(1):
-            return reached
+            part = both.groupBy("id").agg(F.min("level").alias("level"), F.min("was").alias("was")).select("id", "level", (F.col("was").isNull() | (F.col("level") < F.col("was"))).alias("fresh"))
+        old = reached.groupBy("id").agg(F.min("level").alias("old"))
+        new = part.join(old.hint("merge"), "id", "left").where("old is null or level < old").select("id", "level", "fresh").checkpoint()
+        reached = reached.unionByName(new.select("id", "level"))
+        if until is not None and (hit := reached.where(F.col("id") == goal).agg(F.min("level").alias("level")).first().level) is not None:
+            most = hit + below
+        frontier = new.where("fresh").select("id", "level") if most is None else new.where(F.col("fresh") & (F.col("level") < most)).select("id", "level")
+        if not frontier.take(1):
+            break
         if job % 8 == 0:  # one table again
-            reached = reached.checkpoint()
-        steps = min(2 * steps, LEVELS_A_JOB) if frontier.limit(FEW_NODES + 1).count() <= FEW_NODES else 1
+            reached = reached.groupBy("id").agg(F.min("level").alias("level")).checkpoint()
+        steps = min(2 * steps, ROUNDS_A_JOB) if frontier.limit(FEW_NODES + 1).count() <= FEW_NODES else 1
+    top = reached.groupBy(F.col("id").alias("top")).agg(F.min("level").alias("at"))
+    lower = skew_join(ways, top, "top").select("id", F.col("above").alias("parent"), (F.col("at") + F.col("span")).alias("level"))
+    lower = lower.checkpoint()
+    levels = lower.select(F.col("id").alias("source"), "level").unionByName(top.select(F.col("top").alias("source"), F.col("at").alias("level"))).checkpoint()
+    # the least level above, and the smallest node there
+    best = skew_join(many, levels, "source").groupBy(F.col("target").alias("id")).agg(F.min(F.struct("level", "source")).alias("b"))
+    upper = best.select("id", F.col("b.source").alias("parent"), (F.col("b.level") + 1).alias("level"))
+    first = spark.createDataFrame([(root, None, 0)], "id string, parent string, level int")
+    tree = first.unionByName(lower).unionByName(upper)
+    return (tree if most is None else tree.where(F.col("level") <= most)).checkpoint()
 
 
 def routes(tree: DataFrame, targets: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegrain.functions.urls import canonical_transition, in_scope, normalize_url, url_identity, url_origin, url_path
-from sitegrain.operators.robots import robots_allowed
+from sitegrain.operators.robots import robots_allowed, robots_verdicts
 
 REASONS = ("invalid_url", "out_of_scope", "duplicate", "depth_limit", "robots", "page_limit", "query_limit")
 
@@ -35,8 +35,12 @@ def replay_crawl(store: DataFrame, seed: str, max_depth: int = 3, max_pages: int
     """
     spark = store.sparkSession
     origin = url_origin(F.lit(seed))
-    links = store.select(url_identity(F.col("url")).alias("url"), "outgoing_links")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # addresses are put in normal form once, and pages lie by them, so that a level shuffles its own rows only
+    links = store.select(url_identity(F.col("url")).alias("url"), "outgoing_links").repartition(n, "url").sortWithinPartitions("url").checkpoint()
+    rules = None if rules is None else rules.checkpoint()
     level = spark.createDataFrame([(seed, [])], "url string, pos array<int>").select(normalize_url(F.col("url")).alias("url"), "pos", F.lit(0).alias("depth"))
+    level = level.withColumn("o", url_origin(F.col("url"))).withColumn("p", url_path(F.col("url"))).checkpoint()
     accepted, skipped, taken = level, None, 1
     for depth in range(1, max_depth + 2):
         found = level.join(links.hint("merge"), "url").select(F.col("pos").alias("parent"), F.posexplode("outgoing_links").alias("link", "raw"))
@@ -50,18 +54,22 @@ def replay_crawl(store: DataFrame, seed: str, max_depth: int = 3, max_pages: int
             F.when(F.col("to").isNull(), "invalid_url").when(~in_scope(F.col("to"), origin, F.lit(prefix)), "out_of_scope").when(F.col("seen"), "duplicate").when(F.lit(depth > max_depth), "depth_limit")
         )
         found = found.withColumn("reason", early)
-        if rules is not None:
-            verdict = robots_allowed(found.where("reason is null").select(F.col("to").alias("url")).distinct(), rules, agent).select(F.col("url").alias("to"), "allowed")
-            found = found.join(verdict.hint("merge"), "to", "left").withColumn("reason", F.when(F.col("reason").isNull() & ~F.coalesce("allowed", F.lit(True)), "robots").otherwise(F.col("reason")))
         found = found.checkpoint()
+        if rules is not None:
+            # the rules are asked about a level's rows as they are written, not about what leads to them
+            verdict = robots_verdicts(found.where("reason is null and not again").select(F.col("to").alias("url")), rules, agent).select(F.col("url").alias("to"), "allowed")
+            found = found.join(verdict.hint("merge"), "to", "left").withColumn("reason", F.when(F.col("reason").isNull() & ~F.coalesce("allowed", F.lit(True)), "robots").otherwise(F.col("reason"))).checkpoint()
         left = max(0, max_pages - taken)
         fresh = found.where("reason is null and not again").select(F.col("to").alias("url"), "parent", "link")
-        known = accepted.groupBy(url_origin(F.col("url")).alias("o"), url_path(F.col("url")).alias("p")).agg(F.count("*").alias("have"))
+        known = accepted.groupBy("o", "p").agg(F.count("*").alias("have"))
         fresh = fresh.withColumn("o", url_origin(F.col("url"))).withColumn("p", url_path(F.col("url"))).join(known.hint("merge"), ["o", "p"], "left")
         nth = F.row_number().over(Window.partitionBy("o", "p").orderBy("parent", "link")) + F.coalesce("have", F.lit(0))
-        new = fresh.withColumn("nth", nth).where(F.col("nth") <= max_variants).select("url", "parent", "link").orderBy("parent", "link").limit(left)
-        level = new.select("url", F.array_append("parent", F.col("link")).alias("pos"), F.lit(depth).alias("depth")).checkpoint()
+        new = fresh.withColumn("nth", nth).where(F.col("nth") <= max_variants)
+        level = new.select("url", F.array_append("parent", F.col("link")).alias("pos"), F.lit(depth).alias("depth"), "o", "p").checkpoint()
         count = level.count()
+        if count > left:  # only then is there an order to cut at
+            level = level.orderBy("pos").limit(left).checkpoint()
+            count = left
         # the budget is full after the link that took its last place; what comes later is not tried for its variants
         full = F.lit(left == 0)
         if count and count >= left:

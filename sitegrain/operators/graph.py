@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.cluster import checkpoints
 from sitegrain.functions.urls import path_group, path_label, path_segments, url_identity, url_origin
 from sitegrain.joins import skew_join
 from sitegrain.operators.links import aliases, resolve_alias
@@ -14,9 +15,11 @@ from sitegrain.operators.links import aliases, resolve_alias
 
 def edges(pages: DataFrame) -> DataFrame:
     """Distinct (source, target) identities of all links, aliases resolved; what has no origin is dropped, self-edges stay."""
-    links = pages.select(F.col("url").alias("source"), F.explode("outgoing_links").alias("target"))
-    table = aliases(pages)
-    out = resolve_alias(resolve_alias(links.distinct(), "target", table), "source", table)
+    checkpoints(pages.sparkSession)
+    # both are read again by the joins and by their search for hot keys
+    links = pages.select(F.col("url").alias("source"), F.explode("outgoing_links").alias("target")).distinct().checkpoint()
+    table = aliases(pages).checkpoint()
+    out = resolve_alias(resolve_alias(links, "target", table).checkpoint(), "source", table)
     return out.where(url_origin(F.col("target")).isNotNull()).select("source", "target").distinct()
 
 
@@ -37,7 +40,8 @@ def known_urls(pages: DataFrame, errors: DataFrame, edge_rows: DataFrame, sitema
     listed = sitemap.select(F.col("url").alias("id"), F.lit("discovered").alias("state"))
     plain = lambda df: df.withColumn("depth", F.lit(-1).cast("long")).withColumn("status", F.lit(0).cast("long")).withColumn("title", F.lit("")).withColumn("seq", F.lit(0).cast("long"))
     every = rank(own, 0).unionByName(rank(bad, 1)).unionByName(rank(plain(far), 2)).unionByName(rank(plain(listed), 3))
-    every = resolve_alias(every, "id", table)
+    checkpoints(pages.sparkSession)
+    every = resolve_alias(every.checkpoint(), "id", table)
     best = every.groupBy("id").agg(F.min_by(F.struct("state", "depth", "status", "title"), F.struct("rank", "seq")).alias("b"))
     return best.select("id", "b.*")
 

@@ -137,11 +137,25 @@ def pretokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(start), slow
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the first place of each, and each place's key; told apart by a hash table, so that only distinct ones are sorted."""
+    found = pa.array(keys).dictionary_encode()
+    values, at = found.dictionary.to_numpy(), found.indices.to_numpy()
+    order = np.argsort(values)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first = np.full(len(order), len(keys), np.int64)
+    # a key's number in the dictionary is the order of its first place: there the highest number so far rises
+    top = np.maximum.accumulate(at)
+    first[place] = np.flatnonzero(np.append(True, top[1:] > top[:-1]))
+    return values[order], first, place[at]
+
+
 class Encoder:
     """Token ids of texts; remembers the ids of distinct pretokens in sorted arrays."""
 
     def __init__(self, path: str):
-        self.path, self.tokenizer = path, None
+        self.path, self.tokenizer, self.added = path, None, []
         self.clear()
 
     def clear(self) -> None:
@@ -156,7 +170,9 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the fast form gives the same ids and keeps no places of tokens in the text
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
         found = self._encoded([x.decode("utf-8", "replace") for x in raw])
@@ -183,7 +199,7 @@ class Encoder:
             return [np.empty(0, np.uint32)] * (len(off) - 1)
         starts, slow = pretokens(data, off)
         ends = np.append(starts[1:], len(data))
-        keys, first, back = np.unique(V.word_hashes(data, starts, ends, V.PLAIN), return_index=True, return_inverse=True)
+        keys, first, back = distinct(V.word_hashes(data, starts, ends, V.PLAIN))
         if len(self.keys) > CACHE:
             self.clear()
         where = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
@@ -192,6 +208,14 @@ class Encoder:
         self._learn(keys[new], [raw[a:b] for a, b in zip(starts[first[new]], ends[first[new]], strict=True)])
         where = np.searchsorted(self.keys, keys)[back]
         slow = np.union1d(slow, np.searchsorted(off, starts[self._other(data, starts, ends, where)], "right") - 1)
+        # a text with an added token, which is one id and no pretokens, is encoded whole
+        marked = []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                marked.append(at)
+                at = raw.find(token, at + 1)
+        slow = np.union1d(slow, np.searchsorted(off, np.array(marked, np.int64), "right") - 1)
         n = self.n[where].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.at[where].astype(np.int64) - total[:-1], n) + np.arange(total[-1])]

@@ -8,14 +8,15 @@ least 0.75 and groups what is linked.
    different slots are correlated and no two of an element's ranks fall in the same unit interval; a
    document stops at the first step that can no longer lower any slot) and its 32 band keys.
 2. Documents with equal digests are one class; only its smallest id goes on.
-3. In every bucket of a band, the members are compared with the bucket's smallest member, then with
-   another one chosen by hash, and links are grouped. Buckets that then still hold several groups are finished by an
+3. In every bucket of a band, the members are compared with the bucket's smallest and its largest member,
+   and links are grouped. Buckets that then still hold several groups are finished by an
    exact prefix join: of their members, those of different groups that share one of their rarest
    shingles are compared. A bucket never needs all its pairs, texts that only have a frequent passage in common are
    not compared, and no pair that shares a bucket and could change the groups is left out.
 4. Candidates are confirmed on the full shingle sets.
 
 A pair with similarity s shares a bucket with probability 1 - (1 - s**4)**32: 0.999995 at 0.75. A digest or a bucket may hold a large share of the rows; those of hot ones are salted (``spread_join``).
+Tables of a few numbers a row are counted and broadcast up to a bound, so on small inputs most joins need no shuffle; beyond it both sides are shuffled.
 Shingles count as equal when their 64-bit hashes are.
 
 Defined results: null or empty text, or text without words: no shingles, linked with nothing.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.llm import vectors as V
-from sitegrain.llm.scratch import Scratch, prepare, sized, spread_join
+from sitegrain.llm.scratch import Scratch, prepare, sized, spread_join, strategy
 
 WORDS = 5
 PERCENT = 75
@@ -138,25 +139,25 @@ def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id reachable over the links (a, b), for every id that has a link.
+    """(id, comp): the smallest id reachable over the links (a, b; written), for every id that has a link.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so
     the number of rounds follows the logarithm of a component's width. Labels are small rows that
-    stay in Spark throughout.
+    stay in Spark throughout; where they are few, a round is one shuffle.
     """
-    both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct())
+    both = links.select("a", "b").union(links.select("b", "a"))
     labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("comp")))
+    how = strategy(labels)
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        hop = labels.join(near.hint("merge"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-        up = labels.select(F.col("id").alias("mid"), F.col("comp").alias("up")).hint("merge")
+        near = both.join(labels.withColumnRenamed("id", "b").hint(how), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        hop = near.join(labels.hint(how), "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        up = labels.select(F.col("id").alias("mid"), F.col("comp").alias("up")).hint(how)
         new = scratch.save(hop.join(up, "mid", "left").select("id", "old", F.least("mid", F.coalesce("up", "mid")).alias("comp")))
         moved = bool(new.where("old != comp").take(1))
         scratch.drop(labels)
         labels = new.select("id", "comp")
         labels.__dict__["_scratch_path"] = new.__dict__.pop("_scratch_path")
         if not moved:
-            scratch.drop(both)
             return labels
 
 
@@ -203,7 +204,7 @@ def _sharing_rare(s: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
         count[r.cell] = r.n
     first = s.save(sets.mapInArrow(_prefixes(count), "id long, n long, i long, key long").join(sized(ids), "id").select("key", "id", "n", "i", "comp"))
     often = s.save(first.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key"))
-    some = s.save(first.join(often.hint("merge"), "key", "left_semi"))
+    some = s.save(first.join(sized(often), "key", "left_semi"))
     s.drop(sets, first)
     rest = some.toDF("key", "other", "m", "j", "other_comp").hint("merge")
     bound = f"{100 + PERCENT} * least(n - i, m - j) >= {PERCENT} * (n + m)"  # if this is the first that they share
@@ -222,40 +223,53 @@ class _Grouping:
         s = self.scratch
         pairs = pairs.distinct()
         if self.tested is not None:
-            pairs = pairs.join(self.tested.hint("merge"), ["a", "b"], "left_anti")
+            pairs = pairs.join(sized(self.tested), ["a", "b"], "left_anti")
         pairs = s.save(pairs)
         if not pairs.take(1):
             return None
-        self.tested = pairs if self.tested is None else s.save(self.tested.union(pairs))
-        sig = self.reps.select("id", "n_shingles", "low")
-        near = pairs.join(sig.toDF("b", "n_b", "low_b").hint("merge"), "b").join(sig.toDF("a", "n_a", "low_a").hint("merge"), "a")
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        # Signatures and sets are wide: pairs go to them where pairs are few, and of them only what is in a pair is shuffled.
+        sig, how = self.reps.select("id", "n_shingles", "low"), strategy(pairs)
+        if how == "broadcast":
+            sig = s.save(sig.join(_ids(pairs).hint(how), "id", "left_semi"))
+        near = sig.toDF("b", "n_b", "low_b").join(pairs.hint(how), "b").join(sig.toDF("a", "n_a", "low_a").hint("merge"), "a")
         near = near.where(F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")).select("a", "b", "low_a", "low_b")
         alike = s.save(near.mapInArrow(_alike, "a long, b long"))
-        ids = s.save(alike.select(F.col("a").alias("id")).union(alike.select("b")).distinct())
-        sets = self.docs.select("id", "text").join(sized(ids), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
-        sets = s.save(sets)
-        both = alike.join(sets.toDF("b", "set_b").hint("merge"), "b").join(sets.toDF("a", "set_a").hint("merge"), "a")
+        how = strategy(alike)
+        sets = s.save(self.docs.select("id", "text").join(_ids(alike).hint(how), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"))
+        both = sets.toDF("b", "set_b").join(alike.hint(how), "b").join(sets.toDF("a", "set_a").hint("merge"), "a")
         found = s.save(both.mapInArrow(_confirmed, "a long, b long"))
-        s.drop(alike, ids, sets)
+        s.drop(alike, sets, sig)
         return found if found.take(1) else None
 
     def link(self, links: DataFrame | None) -> None:
-        """Add links: those between present groups are grouped, and the result is composed with the groups."""
+        """Add links (written): those between present groups are grouped, and the result is composed with the groups."""
         s = self.scratch
         if links is None:
             return
         if self.groups is None:
             self.groups = components(s, links)
             return
-        of = lambda c: self.groups.toDF(c, f"comp_{c}").hint("merge")
+        how = strategy(self.groups)
+        of = lambda c: self.groups.toDF(c, f"comp_{c}").hint(how)
         between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a != b")
-        more = components(s, between.distinct())
-        joined = self.groups.join(more.toDF("comp", "up").hint("merge"), "comp", "left")
-        new = s.save(joined.select("id", F.coalesce("up", "comp").alias("comp")).union(more).distinct())
-        s.drop(self.groups, more)
+        between = s.save(between)
+        more = components(s, between)
+        joined = self.groups.join(sized(more.toDF("comp", "up")), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
+        new = s.save(joined.union(more.join(self.groups.select("id").hint(how), "id", "left_anti")))
+        s.drop(self.groups, more, between)
         self.groups = new
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
+
+def _keyed(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``spread_join``; where ``right`` has few rows, it is broadcast, and no key's rows meet in a task."""
+    return left.join(right.drop("n").hint("broadcast"), key) if strategy(right) == "broadcast" else spread_join(left, right, key)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module's docstring."""
     prepare(spark)
@@ -264,51 +278,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     sigs = s.save(docs.mapInArrow(_signatures, "id long, n_shingles long, digest binary, bands array<long>, low binary"))
     some = sigs.where("n_shingles > 0 and id is not null")
 
-    # Equal sets are a class, known by its smallest id.
-    classes = s.save(some.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep", "n"))
-    same = s.save(spread_join(some.select("id", "digest"), classes, "digest").where("id != rep").select("id", "digest", "rep").distinct())
-    reps = s.save(some.join(same.select("id", "digest").hint("merge"), ["id", "digest"], "left_anti").select("id", "n_shingles", "bands", "low").dropDuplicates(["id", "low"]))
-    s.drop(classes)
+    # Equal sets are a class, known by its smallest id: the row of that id goes on.
+    row = F.struct("id", "n_shingles", "bands", "low")
+    reps = s.save(some.groupBy("digest").agg(F.min_by(row, "id").alias("row"), F.count("*").alias("n")).select("digest", "n", "row.*"))
+    classes = reps.where("n > 1").select("digest", F.col("id").alias("rep"), "n")
+    same = s.save(_keyed(some.select("id", "digest"), classes, "digest").where("id != rep").select("id", "rep"))
     # An id with several texts belongs to the class of each.
     several = s.save(some.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("id"))
     given = s.save(same.join(sized(several), "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
     entries = reps.select("id", F.explode("bands").alias("key"))
-    shared = s.save(entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
-    members = s.save(spread_join(entries, shared, "key"))
-
-    def grouped(g: _Grouping) -> DataFrame:
-        """Members of buckets with their group."""
-        if g.groups is None:
-            return members.select("key", "id", F.col("id").alias("comp"))
-        return members.join(g.groups.hint("merge"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    shared = s.save(entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other"), F.count("*").alias("n")).where("n > 1"))
+    members = s.save(_keyed(entries, shared, "key"))
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     g = _Grouping(s, docs, reps)
     g.link(given if given.take(1) else None)
-    g.link(g.confirmed(members.where("id != pivot").select(*pair("id", "pivot"))))
-    for last in (False, True):
-        now = s.save(grouped(g))
-        split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key")).alias("other"), F.count("*").alias("n")).where("low != high")
-        split = s.save(split.select("key", F.col("other.id").alias("other"), F.col("other.comp").alias("other_comp"), "n"))
-        if not split.take(1):
-            break
-        left = spread_join(now, split, "key")
-        if last:
-            left = _sharing_rare(s, docs, s.save(left.select("id", "comp").distinct()))
-        g.link(g.confirmed(left.where("comp != other_comp").select(*pair("id", "other"))))
-        s.drop(now, split)
-    s.drop(members, shared, reps)
+    g.link(g.confirmed(members.select("id", F.explode(F.array("pivot", "other")).alias("other")).where("id != other").select(*pair("id", "other"))))
+    # Without a link, every member is a group of its own.
+    comp = members.select("key", "id", F.col("id").alias("comp")) if g.groups is None else members.join(sized(g.groups), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    now = s.save(comp)
+    split = s.save(now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n"))
+    if split.take(1):
+        left = s.save(_keyed(now, split, "key").select("id", "comp").distinct())
+        g.link(g.confirmed(_sharing_rare(s, docs, left).select(*pair("id", "other"))))
+    s.drop(now, split, members, shared, reps)
 
     # A row has its class's group; it keeps its own id where it is linked with nothing.
-    group = same.select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep"))
+    group = same.withColumnRenamed("rep", "comp")
     if g.groups is not None:
-        lookup = g.groups.toDF("rep", "comp")
-        group = group.join(lookup.hint("merge"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp"))
-        group = group.union(g.groups.select("id", "comp")).groupBy("id").agg(F.min("comp").alias("comp"))
-    else:
-        group = group.withColumnRenamed("rep", "comp")
-    group = s.save(group.where("id != comp"))
+        lookup = sized(g.groups.toDF("rep", "comp"))
+        group = same.join(lookup, "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp")).union(g.groups.select("id", "comp"))
+    group = s.save(group.groupBy("id").agg(F.min("comp").alias("comp")).where("id != comp"))
     return (
         sigs.select("id", "n_shingles")
         .join(sized(group), "id", "left")

@@ -68,9 +68,14 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def strategy(table: DataFrame, rows: int = BROADCAST_ROWS, otherwise: str = "merge") -> str:
+    """The join hint for ``table`` (narrow, already written): a broadcast if it has at most ``rows`` rows, else ``otherwise``."""
+    return "broadcast" if len(table.limit(rows + 1).groupBy().count().where(F.col("count") <= rows).take(1)) else otherwise
+
+
 def sized(table: DataFrame, rows: int = BROADCAST_ROWS, otherwise: str = "merge") -> DataFrame:
     """``table`` (narrow, already written) hinted for a broadcast if it has at most ``rows`` rows, else for a shuffle."""
-    return F.broadcast(table) if len(table.limit(rows + 1).groupBy().count().where(F.col("count") <= rows).take(1)) else table.hint(otherwise)
+    return table.hint(strategy(table, rows, otherwise))
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", n: str = "n") -> DataFrame:

@@ -565,3 +565,35 @@ def test_near_duplicates_with_hot_keys(spark, monkeypatch):
     rows += [(200 + i, prose(50, 16)) for i in range(60)] + [(300 + i, prose(60, 700 + i)) for i in range(20)]
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == near_groups(rows)
+
+
+def variants_and_pairs():
+    """Near and exact copies of one text, pairs of near copies, texts with a common passage and an id with two texts."""
+    base, rows = prose(120, 21).split(" "), []
+    for i in range(60):
+        r, w = random.Random(i), list(base)
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(len(w))] = f"new{i}x{r.randrange(99)}"
+        rows.append((900 - i, " ".join(w)))
+    rows += [(2000 + i, prose(70, 22) + " " + prose(40, 800 + i)) for i in range(40)]
+    rows += [(3000 + 2 * i + j, prose(60, 900 + i) + " more" * j) for i in range(20) for j in range(2)]
+    return rows + [(4000 + i, prose(50, 23)) for i in range(30)] + [(4000, prose(80, 24)), (4100, prose(80, 24))]
+
+
+def test_near_duplicates_take_few_shuffles(spark):
+    """On a small table, fewer than 125 jobs (106 now, 146 where every join shuffles): the joins with lists of numbers need none."""
+    docs = spark.createDataFrame(variants_and_pairs(), "doc_id long, text string").repartition(3)
+    spark.sparkContext.setJobGroup("near", "near")
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, docs).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("near")
+    assert got == near_groups(variants_and_pairs()) and 0 < len(jobs) < 125, len(jobs)
+
+
+def test_near_duplicates_where_nothing_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "strategy", lambda table, *_: "merge")
+    monkeypatch.setattr(near_dedup, "sized", lambda table, *_: table.hint("merge"))
+    docs = spark.createDataFrame(variants_and_pairs(), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, docs).collect()} == near_groups(variants_and_pairs())
